@@ -1,20 +1,478 @@
-"""The query catalogue of the engine's own operators, with the SQL each is compared with."""
+"""The query catalogue of the engine's own operators, with the SQL each is compared with.
+
+Every query runs over its whole tables. ``query`` registers a function under its name together with its SQL, or without
+where SQL cannot say it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrybed.functions import labels, text, times, usn
+from quarrybed.operators import carving, records, search
 from quarrybed.session import table
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def entries(spark: SparkSession, d: str) -> DataFrame:
+    """File system entries, each once."""
+    return table(spark, d, "filesystem_entries").drop("ingested_at").distinct()
+
+
+ENTRIES = "(SELECT DISTINCT * EXCLUDE (ingested_at) FROM filesystem_entries)"
+
+
+def field(name: str):
+    return F.try_variant_get(F.try_parse_json("metadata_json"), f"$.{name}", "string")
+
+
+def field_sql(name: str) -> str:
+    return f"json_extract_string(try_cast(metadata_json AS JSON), '$.{name}')"
+
+
+# Search ---------------------------------------------------------------------------------------------------------------
+
+
+def document_entries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as entries, and the text of those of known language as parsed segments."""
+    docs = table(spark, d, "documents")
+    found = docs.select(F.col("doc_id").alias("entry_id"), F.lit(1).cast("bigint").alias("evidence_id"), F.concat_ws("/", F.lit(""), "source", "doc_id").alias("logical_path"), F.format_string("%d.txt", "doc_id").alias("entry_name"), F.lit("file").alias("entry_kind"), F.lit("{}").alias("metadata_json"), F.col("text").cast("binary").alias("content_head"))
+    segments = docs.where("lang is not null").select(F.col("doc_id").alias("entry_id"), F.lit("text").alias("parser_name"), F.lit("body").alias("part_name"), F.lit(0).alias("segment_index"), F.col("text").alias("content"))
+    return found, segments
 
+
+@query(f"""
+WITH e AS (SELECT doc_id, '/' || source || '/' || doc_id AS p, instr(translate('/' || source || '/' || doc_id, {FOLD}), 'report') > 0 AS by_path, lang IS NOT NULL AND instr(translate(text, {FOLD}), 'report') > 0 AS by_text, instr(translate(text, {FOLD}), 'report') > 0 AS by_content FROM documents)
+SELECT CASE WHEN by_path THEN 0 WHEN by_text THEN 1 ELSE 2 END AS phase, doc_id AS entry_id, p AS logical_path, CASE WHEN by_path THEN 'path' WHEN by_text THEN 'parsed_content' ELSE 'content' END AS match_kind FROM e WHERE by_path OR by_text OR by_content""")
 def deep_search_phases(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.instr(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), " the ") > 0).select("doc_id")
+    return search.deep_search(*document_entries(spark, d), "Report").select("phase", "entry_id", "logical_path", "match_kind")
+
+
+@query(f"""
+WITH e AS (SELECT doc_id, '/' || source || '/' || doc_id AS logical_path FROM documents WHERE instr(translate(text, {FOLD}), 'shadow copy') > 0)
+SELECT doc_id AS entry_id, logical_path FROM e WHERE (logical_path, doc_id) > ('/chat_logs/5', 5) ORDER BY logical_path, doc_id LIMIT 51""")
+def search_page_keyset(spark: SparkSession, d: str) -> DataFrame:
+    """One page after a cursor: the limit is the feature, one row more says that there is a next page."""
+    found = document_entries(spark, d)[0].where(text.contains_any([F.col("content_head").cast("string")], "shadow copy"))
+    return records.keyset_page(found.select("entry_id", "logical_path"), ["logical_path", "entry_id"], ("/chat_logs/5", 5), 50)
+
+
+@query(f"SELECT entry_id, logical_path FROM {ENTRIES} WHERE instr(translate(logical_path, {FOLD}), 'report') > 0 OR instr(translate(entry_name, {FOLD}), 'report') > 0 OR instr(translate(metadata_json, {FOLD}), 'report') > 0")
+def path_contains(spark: SparkSession, d: str) -> DataFrame:
+    return entries(spark, d).where(search.path_match("REPORT")).select("entry_id", "logical_path")
+
+
+@query(f"SELECT entry_id, entry_name FROM {ENTRIES} WHERE translate(entry_name, {FOLD}) LIKE '%.pdf' OR translate(entry_name, {FOLD}) LIKE '%.t_t'")
+def extension_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The underscore of an extension is a wildcard."""
+    return search.scope(entries(spark, d), None, [".pdf", "t_t"]).select("entry_id", "entry_name")
+
+
+@query("SELECT doc_id, CAST(instr(text, 'hashed again') - 1 AS BIGINT) AS match_offset FROM documents WHERE instr(text, 'hashed again') > 0 AND strlen(text) = length(text)")
+def content_offset(spark: SparkSession, d: str) -> DataFrame:
+    """Byte offset of the first exact match, in texts where a character is a byte."""
+    docs = table(spark, d, "documents").where(F.octet_length("text") == F.char_length("text"))
+    return docs.select("doc_id", text.byte_find(F.col("text").cast("binary"), b"hashed again").alias("match_offset")).where("match_offset is not null")
+
+
+@query("SELECT doc_id, CAST((length(text) - length(replace(text, 'scan', ''))) / 4 AS BIGINT) AS hits FROM documents WHERE contains(text, 'scan')")
+def raw_exact_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of a byte pattern in chunks that overlap, counted per stream."""
+    streams = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").cast("binary").alias("bytes"))
+    hits = search.raw_search(search.chunked(streams, 4096, 3), "hex:" + b"scan".hex())
+    return hits.groupBy(F.col("source_id").alias("doc_id")).agg(F.count("*").alias("hits"))
+
+
+@query()
+def raw_utf16_hits(spark: SparkSession, d: str) -> DataFrame:
+    streams = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.encode("text", "UTF-16LE").alias("bytes"))
+    return search.raw_search(search.chunked(streams, 8192, 64), "Shadow Copy")
+
+
+@query()
+def carve_hits(spark: SparkSession, d: str) -> DataFrame:
+    return carving.carve(table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.encode("text", "UTF-8").alias("bytes")))
+
+
+@query()
+def sector_scan(spark: SparkSession, d: str) -> DataFrame:
+    return carving.lost_file_systems(table(spark, d, "filesystem_entries").select(F.col("entry_id").alias("source_id"), F.col("content_head").alias("bytes")))
+
+
+# Aggregates, categories, tree, timeline ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT coalesce({field_sql('artifact_kind')}, 'Uncategorized') AS category_main, entry_kind AS category_sub, count(*) AS entries FROM {ENTRIES} GROUP BY ALL")
+def category_counts(spark: SparkSession, d: str) -> DataFrame:
+    return entries(spark, d).groupBy(F.coalesce(field("artifact_kind"), F.lit("Uncategorized")).alias("category_main"), F.col("entry_kind").alias("category_sub")).agg(F.count("*").alias("entries"))
+
+
+@query("""
+WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n, count(*) OVER (PARTITION BY source) AS total FROM documents)
+SELECT source, doc_id, n AS place, total, greatest(total - 10, 0) AS omitted FROM r WHERE n <= 10""")
+def category_topk_omitted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    top = docs.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where("place <= 10")
+    counts = docs.groupBy("source").agg(F.count("*").alias("total"))
+    return top.join(counts, "source").select("source", "doc_id", F.col("place").cast("bigint").alias("place"), "total", F.greatest(F.col("total") - 10, F.lit(0)).alias("omitted"))
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
+SELECT o_custkey AS evidence_id, o_orderkey AS job_id, o_orderstatus AS status FROM r WHERE n = 1""")
+def latest_per_group(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "orders").select(F.col("o_custkey").alias("evidence_id"), F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), "o_orderdate")
+    return records.latest_per_group(jobs, ["evidence_id"], ["o_orderdate", "job_id"]).select("evidence_id", "job_id", "status")
+
+
+@query("""
+WITH n AS (SELECT s.evidence_id, s.attach_status, count(e.entry_id) AS k FROM evidence_sources s LEFT JOIN (SELECT DISTINCT entry_id, evidence_id FROM filesystem_entries) e USING (evidence_id) GROUP BY 1, 2)
+SELECT evidence_id, attach_status, k AS entries_indexed, CASE WHEN k = 0 THEN 'not indexed' WHEN attach_status = 'attached' THEN 'complete: ' || k || ' entries' ELSE 'partial: ' || k || ' entries, source ' || attach_status END AS coverage FROM n""")
+def evidence_coverage(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "filesystem_entries").select("entry_id", "evidence_id").distinct().groupBy("evidence_id").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    cover = F.when(n == 0, "not indexed").when(F.col("attach_status") == "attached", F.format_string("complete: %d entries", n)).otherwise(F.format_string("partial: %d entries, source %s", n, F.col("attach_status")))
+    return table(spark, d, "evidence_sources").join(counts, "evidence_id", "left").select("evidence_id", "attach_status", n.alias("entries_indexed"), cover.alias("coverage"))
+
+
+@query("SELECT event_type, count(*) AS candidates, count(*) FILTER (WHERE value >= 50) AS parsed, count(*) FILTER (WHERE value < 50) AS partial, count(*) FILTER (WHERE value IS NULL) AS failed, count(DISTINCT user_id) AS sources FROM events GROUP BY 1")
+def kind_counters(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("candidates"), F.count_if(F.col("value") >= 50).alias("parsed"), F.count_if(F.col("value") < 50).alias("partial"), F.count_if(F.col("value").isNull()).alias("failed"), F.countDistinct("user_id").alias("sources"))
+
+
+@query("SELECT l_orderkey AS pair_id, min(nullif(l_linenumber - 1, 0)) AS first_used, max(nullif(l_linenumber - 1, 0)) AS last_used, count(nullif(l_linenumber - 1, 0)) AS uses FROM lineitem GROUP BY 1")
+def autofill_agg(spark: SparkSession, d: str) -> DataFrame:
+    used = F.nullif(F.col("l_linenumber") - 1, F.lit(0))
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pair_id")).agg(F.min(used).alias("first_used"), F.max(used).alias("last_used"), F.count(used).alias("uses"))
+
+
+@query("""
+SELECT l_orderkey AS download_id, list_aggregate(list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, l_partkey)[1:3], 'string_agg', ' ') AS url_chain, arg_min(l_partkey, l_linenumber * 1000000000 + l_partkey) AS original_url, arg_max(l_partkey, l_linenumber * 1000000000 + l_partkey) AS final_url, count(*) AS total, greatest(count(*) - 3, 0) AS omitted
+FROM lineitem GROUP BY 1""")
+def url_chain(spark: SparkSession, d: str) -> DataFrame:
+    c = records.ordered_chain(table(spark, d, "lineitem"), ["l_orderkey"], "l_partkey", "l_linenumber", 3)
+    return c.select(F.col("l_orderkey").alias("download_id"), F.array_join(F.col("chain").cast("array<string>"), " ").alias("url_chain"), F.col("first_value").alias("original_url"), F.col("last_value").alias("final_url"), "total", "omitted")
+
+
+@query("SELECT count(*) AS candidates, max(entry_id) AS high_water, count(DISTINCT entry_id) AS different FROM usn_records")
+def snapshot_hwm(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "usn_records").agg(F.count("*").alias("candidates"), F.max("entry_id").alias("high_water"), F.countDistinct("entry_id").alias("different"))
+
+
+@query(r"""
+WITH p AS (SELECT DISTINCT logical_path, list_filter(string_split(replace(logical_path, '\', '/'), '/'), lambda x: x <> '') AS parts FROM filesystem_entries)
+SELECT '/' || array_to_string(parts[1:i], '/') AS ancestor, count(*) AS entries_below FROM (SELECT parts, unnest(generate_series(1, len(parts) - 1)) AS i FROM p) GROUP BY 1""")
+def path_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    paths = table(spark, d, "filesystem_entries").select("logical_path").distinct()
+    return paths.select(F.explode(text.path_prefixes(F.col("logical_path"))).alias("ancestor")).groupBy("ancestor").agg(F.count("*").alias("entries_below"))
+
+
+@query(r"""
+WITH p AS (SELECT DISTINCT logical_path, list_filter(string_split(replace(logical_path, '\', '/'), '/'), lambda x: x <> '') AS parts FROM filesystem_entries)
+SELECT logical_path, len(parts) - 1 AS indent, parts[-1] AS line FROM p WHERE len(parts) > 0 ORDER BY parts, logical_path LIMIT 500""")
+def tree_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A directory tree cut after so many lines: the limit is the feature."""
+    parts = text.path_parts(F.col("logical_path"))
+    rows = table(spark, d, "filesystem_entries").select("logical_path").distinct().withColumn("parts", parts).where("size(parts) > 0")
+    return rows.orderBy("parts", "logical_path").limit(500).select("logical_path", (F.size("parts") - 1).cast("bigint").alias("indent"), F.element_at("parts", -1).alias("line"))
+
+
+@query("SELECT event_id, epoch_us(ts) AS at_micros FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00'")
+def timeline_range(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").where(F.col("ts").between(F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-12 12:00:00").cast("timestamp")))
+    return rows.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_micros"))
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, translate(text, {FOLD}) AS k FROM documents WHERE text IS NOT NULL)
+SELECT min(doc_id) AS doc_id, count(*) AS copies FROM r GROUP BY k""")
+def dedupe_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Exact copies up to ASCII case: the first one stands for all. Only a digest and the length of each text are shuffled."""
+    folded = text.ascii_lower(F.col("text"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(folded, 256).alias("k"), F.char_length("text").alias("n"))
+    return docs.groupBy("k", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+
+
+@query("""
+WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY n) FILTER (WHERE n <= 32) AS sample, count(*) AS total, greatest(count(*) - 32, 0) AS omitted FROM r GROUP BY 1""")
+def diagnostics_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The first 32 of each source and how many more there are: the bound is the feature."""
+    s = records.bounded_sample(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", "event_id")
+    return s.select("user_id", F.array_join(F.col("sample").cast("array<string>"), " ").alias("sample"), "total", "omitted")
+
+
+@query("SELECT coalesce(activity_type, -1) AS activity_type, count(*) AS records FROM (SELECT DISTINCT entry_id, activity_type FROM activity) GROUP BY 1")
+def activity_type_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "activity").select("entry_id", "activity_type").distinct().groupBy(F.coalesce("activity_type", F.lit(-1)).alias("activity_type")).agg(F.count("*").alias("records"))
+
+
+@query("""
+SELECT evidence_id, list_aggregate(list_distinct(list(usn_version)), 'max') AS newest_version, count(*) AS records, count(*) FILTER (WHERE unknown_reason_bits <> 0) AS unknown_reasons, count(*) FILTER (WHERE timestamp_utc IS NULL) AS without_time
+FROM (SELECT DISTINCT entry_id, evidence_id, usn_version, unknown_reason_bits, timestamp_utc FROM usn_records) GROUP BY 1""")
+def parse_statistics(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "usn_records").select("entry_id", "evidence_id", "usn_version", "unknown_reason_bits", "timestamp_utc").distinct()
+    return rows.groupBy("evidence_id").agg(F.max("usn_version").alias("newest_version"), F.count("*").alias("records"), F.count_if(F.col("unknown_reason_bits") != 0).alias("unknown_reasons"), F.count_if(F.col("timestamp_utc").isNull()).alias("without_time"))
+
+
+# Joins and windows --------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH v AS (SELECT event_id, user_id, ts, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_visit FROM events)
+SELECT v.event_id, v.event_type, r.event_id AS referrer_id, r.event_type AS referrer_type, o.event_id AS opener_id, o.event_type AS opener_type
+FROM v LEFT JOIN v r ON r.event_id = v.from_visit LEFT JOIN v o ON o.event_id = r.from_visit""")
+def visit_chain(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "events").select("event_id", "event_type", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("from_visit"))
+    r = v.select(F.col("event_id").alias("referrer_id"), F.col("event_type").alias("referrer_type"), F.col("from_visit").alias("opener"))
+    o = v.select(F.col("event_id").alias("opener_id"), F.col("event_type").alias("opener_type"))
+    return v.join(r, v.from_visit == r.referrer_id, "left").join(o, F.col("opener") == o.opener_id, "left").select("event_id", "event_type", "referrer_id", "referrer_type", "opener_id", "opener_type")
+
+
+@query("SELECT event_id, event_type AS term, user_id AS url_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS ordinal FROM events")
+def search_term_rank(spark: SparkSession, d: str) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("event_id"))
+    return table(spark, d, "events").select("event_id", F.col("event_type").alias("term"), F.col("user_id").alias("url_id"), n.cast("bigint").alias("ordinal"))
+
+
+@query("""
+WITH v AS (SELECT s_suppkey AS volume, CAST((s_suppkey - 1) * 5000 AS BIGINT) AS start_at, CAST(4000 AS BIGINT) AS size_at FROM supplier),
+h AS (SELECT doc_id, doc_id * 37 AS hit_at FROM documents)
+SELECT h.doc_id, h.hit_at, v.volume, CASE WHEN v.volume IS NULL THEN 'partition-gap/unpartitioned' ELSE 'in-partition' END AS region, h.hit_at // 512 AS sector
+FROM h LEFT JOIN v ON h.hit_at >= v.start_at AND h.hit_at < v.start_at + v.size_at""")
+def range_attribution(spark: SparkSession, d: str) -> DataFrame:
+    vols = table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("volume"), ((F.col("s_suppkey") - 1) * 5000).cast("bigint").alias("start_at"), F.lit(4000).cast("bigint").alias("size_at"))
+    hits = table(spark, d, "documents").select("doc_id", (F.col("doc_id") * 37).alias("hit_at"))
+    got = records.interval_of(hits, "hit_at", vols, "start_at", "size_at", "volume", 4096)
+    return got.select("doc_id", "hit_at", "volume", F.when(F.col("volume").isNull(), "partition-gap/unpartitioned").otherwise("in-partition").alias("region"), F.call_function("div", F.col("hit_at"), F.lit(512).cast("bigint")).alias("sector"))
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce(s_name, 'ID #' || l_suppkey) AS app_name FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey")
+def dictionary_join(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "supplier").where("s_acctbal > 0")
+    return records.dictionary_join(table(spark, d, "lineitem"), "l_suppkey", names, "s_suppkey", "s_name", "app_name").select("l_orderkey", "l_linenumber", "app_name")
+
+
+@query("""
+SELECT user_id, first_value || chr(92) || second_value AS account FROM (
+  SELECT user_id, max(CASE WHEN event_type = 'signup' THEN CAST(event_id AS VARCHAR) END) AS first_value, max(CASE WHEN event_type = 'purchase' THEN CAST(event_id AS VARCHAR) END) AS second_value FROM events GROUP BY 1)
+WHERE first_value IS NOT NULL AND second_value IS NOT NULL""")
+def pair_assembly(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("user_id", "event_type", F.col("event_id").cast("string").alias("v"))
+    return records.pair_assembly(rows, "user_id", "event_type", "v", "signup", "purchase").select("user_id", F.concat_ws("\\", "first_value", "second_value").alias("account"))
+
+
+@query("""
+WITH RECURSIVE n(id, parent, name) AS (SELECT n_nationkey + 100, n_regionkey, n_name FROM nation UNION ALL SELECT r_regionkey, NULL, r_name FROM region),
+t(id, path, depth) AS (SELECT id, '/' || name, 0 FROM n WHERE parent IS NULL UNION ALL SELECT n.id, t.path || '/' || n.name, t.depth + 1 FROM n JOIN t ON n.parent = t.id)
+SELECT id, path, depth FROM t""")
+def recursive_ancestry(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("bigint").alias("id"), F.col("n_regionkey").cast("bigint").alias("parent"), F.col("n_name").alias("name"))
+    nodes = nodes.unionByName(table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("parent"), F.col("r_name").alias("name")))
+    nodes.createOrReplaceTempView("qb_nodes")
+    return spark.sql("WITH RECURSIVE t(id, path, depth) AS (SELECT id, concat('/', name), 0 FROM qb_nodes WHERE parent IS NULL UNION ALL SELECT n.id, concat(t.path, '/', n.name), t.depth + 1 FROM qb_nodes n JOIN t ON n.parent = t.id) SELECT id, path, depth FROM t")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def anti_pending(spark: SparkSession, d: str) -> DataFrame:
+    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
+
+
+@query("SELECT l_orderkey AS staged_id, l_linenumber AS ordinal, o_orderkey * 10 AS entry_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
+def staged_remap(spark: SparkSession, d: str) -> DataFrame:
+    to = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("staged_id"), (F.col("o_orderkey") * 10).alias("entry_id"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("staged_id"), F.col("l_linenumber").alias("ordinal")).join(to, "staged_id")
+
+
+@query("SELECT e.entry_id, e.entry_name, p.entry_name AS parent_name FROM " + ENTRIES + " e LEFT JOIN " + ENTRIES + " p ON e.parent_id = p.entry_id")
+def parent_title(spark: SparkSession, d: str) -> DataFrame:
+    e = entries(spark, d)
+    p = e.select(F.col("entry_id").alias("pid"), F.col("entry_name").alias("parent_name"))
+    return e.join(p, e.parent_id == p.pid, "left").select("entry_id", "entry_name", "parent_name")
+
+
+@query("""
+WITH s AS (SELECT user_id, epoch(date_trunc('second', ts))::BIGINT AS sec, count(*)::BIGINT AS n FROM events GROUP BY ALL),
+c AS (SELECT user_id, sec, sum(n) OVER (PARTITION BY user_id ORDER BY sec)::BIGINT AS done FROM s)
+SELECT user_id, sec, round(CASE WHEN count(*) OVER w >= 3 AND sec - min(sec) OVER w >= 1 THEN (done - first(done) OVER w) / (sec - min(sec) OVER w) END, 6) AS rate FROM c WINDOW w AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 100000 PRECEDING AND CURRENT ROW)""")
+def rolling_rate(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "events").groupBy("user_id", F.unix_seconds(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("sec")).agg(F.count("*").alias("n"))
+    c = s.select("user_id", "sec", F.sum("n").over(Window.partitionBy("user_id").orderBy("sec")).alias("done"))
+    return records.rolling_rate(c, ["user_id"], "sec", "done", 100_000).select("user_id", "sec", F.round("rate", 6).alias("rate"))
+
+
+@query("SELECT event_type AS record_kind, event_id AS record_id, CAST(user_id AS VARCHAR) AS subject FROM events WHERE event_type IN ('click', 'view', 'signup') UNION ALL SELECT 'order', o_orderkey, CAST(o_custkey AS VARCHAR) FROM orders UNION ALL SELECT 'part', p_partkey, p_name FROM part")
+def union_records(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events").where(F.col("event_type").isin("click", "view", "signup")).select(F.col("event_type").alias("record_kind"), F.col("event_id").cast("bigint").alias("record_id"), F.col("user_id").cast("string").alias("subject"))
+    od = table(spark, d, "orders").select(F.lit("order").alias("record_kind"), F.col("o_orderkey").cast("bigint").alias("record_id"), F.col("o_custkey").cast("string").alias("subject"))
+    pt = table(spark, d, "part").select(F.lit("part").alias("record_kind"), F.col("p_partkey").cast("bigint").alias("record_id"), F.col("p_name").alias("subject"))
+    return ev.unionByName(od).unionByName(pt)
+
+
+# Scalar functions ------------------------------------------------------------------------------------------------------------
+
+
+def _case(expr: str, names: dict, otherwise: str) -> str:
+    return f"CASE {expr} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in names.items()) + f" ELSE {otherwise} END"
+
+
+@query(f"SELECT event_id, {_case('(event_id * 7) & 255', labels.TRANSITIONS, repr('unknown'))} AS transition_type, " + " || ".join(f"CASE WHEN (event_id * 2654435 & {b}) <> 0 THEN '{n},' ELSE '' END" for b, n in labels.QUALIFIERS.items()) + " AS qualifiers FROM events")
+def transition_labels(spark: SparkSession, d: str) -> DataFrame:
+    q = labels.transition_qualifiers(F.col("event_id") * 2654435)
+    return table(spark, d, "events").select("event_id", labels.transition_type(F.col("event_id") * 7).alias("transition_type"), F.array_join(F.transform(q, lambda x: F.concat(x, F.lit(","))), "").alias("qualifiers"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, {_case('l_linenumber - 1', labels.DOWNLOAD_STATES, "'unknown (' || (l_linenumber - 1) || ')'")} AS state, {_case('l_suppkey % 52', labels.INTERRUPTS, "'unknown (' || (l_suppkey % 52) || ')'")} AS reason, {_case('l_partkey % 10', labels.DANGERS, "'unknown (' || (l_partkey % 10) || ')'")} AS danger, {_case('l_partkey % 12', labels.FIREFOX_VISITS, repr('unknown'))} AS visit, {_case('l_partkey % 12', labels.FIREFOX_DOWNLOADS, "'unknown (' || (l_partkey % 12) || ')'")} AS ff_state FROM lineitem""")
+def code_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", labels.label(F.col("l_linenumber") - 1, labels.DOWNLOAD_STATES).alias("state"), labels.label(F.col("l_suppkey") % 52, labels.INTERRUPTS).alias("reason"), labels.label(F.col("l_partkey") % 10, labels.DANGERS).alias("danger"), labels.label(F.col("l_partkey") % 12, labels.FIREFOX_VISITS, "unknown").alias("visit"), labels.label(F.col("l_partkey") % 12, labels.FIREFOX_DOWNLOADS).alias("ff_state"))
+
+
+@query("SELECT entry_id, " + " || ".join(f"CASE WHEN (reason & {b}) <> 0 THEN '{n},' ELSE '' END" for b, n in usn.REASONS.items()) + f" AS flags, reason & {0xFFFFFFFF & ~usn.KNOWN} AS unknown_bits FROM (SELECT DISTINCT entry_id, reason FROM usn_records)")
+def usn_reason_flags(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "usn_records").select("entry_id", "reason").distinct()
+    return rows.select("entry_id", F.array_join(F.transform(usn.reason_flags(F.col("reason")), lambda x: F.concat(x, F.lit(","))), "").alias("flags"), usn.unknown_bits(F.col("reason")).alias("unknown_bits"))
+
+
+@query("SELECT entry_id, file_reference.raw & 281474976710655 AS entry_number, file_reference.raw >> 48 AS sequence_number FROM (SELECT DISTINCT entry_id, file_reference FROM usn_records) WHERE file_reference.raw IS NOT NULL")
+def usn_reference_split(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.col("file_reference.raw")
+    return table(spark, d, "usn_records").select("entry_id", "file_reference").distinct().where(raw.isNotNull()).select("entry_id", raw.bitwiseAND(F.lit(281474976710655)).alias("entry_number"), F.shiftrightunsigned(raw, 48).alias("sequence_number"))
+
+
+@query("""
+WITH e AS (SELECT event_id, epoch_us(ts) AS us FROM events)
+SELECT event_id, us AS chrome_micros, CASE WHEN event_id % 2 = 0 THEN (us // 1000000) * 1000000 ELSE us END AS download_micros, us AS filetime_micros, (us // 1000000) * 1000000 AS safari_micros, (us // 1000) * 1000 AS timeline_micros FROM e""")
+def epoch_round_trips(spark: SparkSession, d: str) -> DataFrame:
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    sec = F.call_function("div", us, F.lit(1_000_000).cast("bigint"))
+    chrome = us + times.CHROME_SHIFT
+    return table(spark, d, "events").select("event_id", times.chrome_micros(chrome).alias("chrome_micros"), times.download_micros(F.when(F.col("event_id") % 2 == 0, sec).otherwise(chrome)).alias("download_micros"), times.filetime_micros(us * 10 + times.FILETIME_SHIFT + 7).alias("filetime_micros"), times.safari_micros((sec - times.SAFARI_SHIFT).cast("double")).alias("safari_micros"), times.timeline_micros(F.call_function("div", us, F.lit(1000).cast("bigint")).cast("string")).alias("timeline_micros"))
+
+
+@query("SELECT entry_id, raw_filetime, CASE WHEN raw_filetime >= 116444736000000000 THEN (raw_filetime - 116444736000000000) // 10 END AS micros FROM (SELECT DISTINCT entry_id, raw_filetime FROM shimcache_entries)")
+def filetime_guard(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "shimcache_entries").select("entry_id", "raw_filetime").distinct().select("entry_id", "raw_filetime", times.filetime_micros(F.col("raw_filetime")).alias("micros"))
+
+
+@query("""
+WITH t AS (SELECT o_orderkey, CAST(round(o_totalprice * 10000) AS BIGINT) * 997 AS us FROM orders), p AS (SELECT *, (us + 50000) // 100000 AS x FROM t)
+SELECT o_orderkey, CASE WHEN x >= 36000 THEN (x // 36000) || 'h ' || ((x % 36000) // 600) || 'm ' || ((x % 600) // 10) || '.' || (x % 10) || 's' WHEN x >= 600 THEN (x // 600) || 'm ' || ((x % 600) // 10) || '.' || (x % 10) || 's' ELSE (x // 10) || '.' || (x % 10) || 's' END AS duration, format('{:,}', us) AS grouped FROM p""")
+def duration_human(spark: SparkSession, d: str) -> DataFrame:
+    us = F.round(F.col("o_totalprice") * 10000).cast("bigint") * 997
+    return table(spark, d, "orders").select("o_orderkey", text.human_duration(us).alias("duration"), text.grouped(us).alias("grouped"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_linenumber - 1, 0) * 100, 4) AS percent, CASE WHEN l_linenumber > 1 THEN 'known' ELSE 'unknown' END AS total_state FROM lineitem""")
+def percent_complete(spark: SparkSession, d: str) -> DataFrame:
+    total = F.col("l_linenumber") - 1
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(labels.percent_complete(F.col("l_extendedprice").cast("double"), total), 4).alias("percent"), F.when(total > 0, "known").otherwise("unknown").alias("total_state"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE l_linenumber - 1
+  WHEN 1 THEN 'complete - ' || format('{:,}', l_partkey * 1000) || ' bytes in 1.5s'
+  WHEN 4 THEN 'interrupted at ' || format('{:,}', l_partkey * 1000) || ' of ' || format('{:,}', l_partkey * 2000) || ' bytes' || CASE WHEN l_partkey > 0 THEN ' (50%)' ELSE '' END || ' after 1.5s - network_failed'
+  WHEN 0 THEN 'in_progress - ' || format('{:,}', l_partkey * 1000) || ' of ' || format('{:,}', l_partkey * 2000) || ' bytes after 1.5s - network_failed'
+  WHEN 2 THEN 'cancelled - ' || format('{:,}', l_partkey * 1000) || ' of ' || format('{:,}', l_partkey * 2000) || ' bytes after 1.5s - network_failed'
+  WHEN 3 THEN 'obsolete_bug_140687 - ' || format('{:,}', l_partkey * 1000) || ' of ' || format('{:,}', l_partkey * 2000) || ' bytes after 1.5s - network_failed'
+  ELSE 'unknown (' || (l_linenumber - 1) || ') - ' || format('{:,}', l_partkey * 1000) || ' of ' || format('{:,}', l_partkey * 2000) || ' bytes after 1.5s - network_failed' END AS outcome FROM lineitem""")
+def outcome_summary(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("l_partkey").cast("bigint")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", labels.download_outcome(F.col("l_linenumber") - 1, k * 1000, k * 2000, F.lit("1.5s"), F.lit(20)).alias("outcome"))
+
+
+@query(f"SELECT entry_id, {field_sql('artifact_kind')} AS kind, coalesce({field_sql('parser')}, {field_sql('prefetch.header.executable')}) AS first_value, {field_sql('lnk.header.flags')} AS nested_value FROM {ENTRIES}")
+def json_path(spark: SparkSession, d: str) -> DataFrame:
+    return entries(spark, d).select("entry_id", field("artifact_kind").alias("kind"), F.coalesce(field("parser"), field("prefetch.header.executable")).alias("first_value"), field("lnk.header.flags").alias("nested_value"))
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def lenient_number(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+@query(r"""
+WITH a AS (SELECT DISTINCT entry_id, trim(app_id) AS t FROM activity WHERE app_id IS NOT NULL)
+SELECT entry_id, CASE WHEN t LIKE '[%' THEN trim(json_extract_string(t::JSON, '$[' || (list_position(list_transform(json_extract_string(t::JSON, '$[*].application'), lambda x: trim(x) <> ''), true) - 1) || '].application')) ELSE t END AS application,
+ CASE WHEN t LIKE '[%' THEN json_extract_string(t::JSON, '$[' || (list_position(list_transform(json_extract_string(t::JSON, '$[*].application'), lambda x: trim(x) <> ''), true) - 1) || '].platform') END AS platform FROM a""")
+def application_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "activity").where("app_id is not null").select("entry_id", "app_id").distinct()
+    return rows.select("entry_id", labels.application_of(F.col("app_id")).alias("a")).select("entry_id", "a.application", "a.platform")
+
+
+@query(f"SELECT entry_id, CASE activity_type " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in labels.ACTIVITY_TYPES.items()) + " ELSE 'Type ' || activity_type END AS type_name FROM (SELECT DISTINCT entry_id, activity_type FROM activity)")
+def activity_type_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "activity").select("entry_id", "activity_type").distinct().select("entry_id", labels.label(F.col("activity_type"), labels.ACTIVITY_TYPES, "Type {}").alias("type_name"))
+
+
+@query(r"""
+WITH r AS (SELECT DISTINCT entry_id, original_path, data_file_name, user_sid FROM recycle_bin_records)
+SELECT entry_id, nullif(trim(regexp_extract(regexp_extract(regexp_replace(trim(original_path), '[/\\]+$', ''), '^[^?#]*'), '[^/\\]*$')), '') AS leaf, nullif(lower(regexp_extract(original_path, '\.([A-Za-z0-9_]+)$', 1)), '') AS extension, CASE WHEN lower(left(data_file_name, 2)) = '$i' THEN '$R' || substr(data_file_name, 3) ELSE data_file_name END AS data_name FROM r""")
+def path_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "recycle_bin_records").select("entry_id", "original_path", "data_file_name", "user_sid").distinct()
+    return rows.select("entry_id", text.leaf(F.col("original_path")).alias("leaf"), text.path_extension(F.col("original_path")).alias("extension"), text.recycled_data_name(F.col("data_file_name")).alias("data_name"))
+
+
+@query("""
+WITH u AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'C:/Users/a/Google/Chrome/User Data' WHEN 1 THEN '/home/x/.config/microsoft-edge' WHEN 2 THEN 'D:/BraveSoftware/p' WHEN 3 THEN '/opt/opera/profile' ELSE '/srv/none' END AS p, 'https://user@host' || (doc_id % 7) || '.example:8080/a/b.txt?q=1' AS u FROM documents)
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'chrome' WHEN 1 THEN 'edge' WHEN 2 THEN 'brave' WHEN 3 THEN 'opera' END AS brand, 'host' || (doc_id % 7) || '.example' AS host, 'b.txt' AS leaf FROM u""")
+def host_and_brand(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 5
+    path = F.when(k == 0, r"C:\Users\a\Google\Chrome\User Data").when(k == 1, "/home/x/.config/microsoft-edge").when(k == 2, "D:/BraveSoftware/p").when(k == 3, "/opt/opera/profile").otherwise("/srv/none")
+    url = F.format_string("https://user@host%d.example:8080/a/b.txt?q=1", F.col("doc_id") % 7)
+    return table(spark, d, "documents").select("doc_id", text.browser_brand(path).alias("brand"), text.host(url).alias("host"), text.leaf(url).alias("leaf"))
+
+
+@query("SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm') AS turned, sha256(text) AS digest, substr(sha256(text), 1, 12) AS short_key, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM documents")
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", text.rot13(t).alias("turned"), F.sha2(t, 256).alias("digest"), text.short_key(t).alias("short_key"), text.escape_html(t).alias("escaped"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+p AS (SELECT doc_id, regexp_extract(line, '^\s*([A-Za-z_][A-Za-z0-9_.\-]*)\s*[=:]\s*(\S.*)$', 1) AS k, trim(regexp_extract(line, '^\s*([A-Za-z_][A-Za-z0-9_.\-]*)\s*[=:]\s*(\S.*)$', 2)) AS v FROM l)
+SELECT doc_id, k AS key_name, count(*) AS assignments, min(v) AS least_value FROM p WHERE k <> '' GROUP BY ALL""")
+def line_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """KEY=VALUE and KEY: VALUE lines, the raw material of secret leads."""
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    pattern = r"^\s*([A-Za-z_][A-Za-z0-9_.\-]*)\s*[=:]\s*(\S.*)$"
+    pairs = lines.select("doc_id", F.regexp_extract("line", pattern, 1).alias("key_name"), F.trim(F.regexp_extract("line", pattern, 2)).alias("v")).where("key_name <> ''")
+    return pairs.groupBy("doc_id", "key_name").agg(F.count("*").alias("assignments"), F.min("v").alias("least_value"))
+
+
+@query(f"SELECT entry_id, CASE WHEN content_head IS NULL OR octet_length(content_head) = 0 THEN 'unreadable' WHEN false THEN '' " + " ".join(f"WHEN starts_with(hex(content_head[1:16]), '{m}') THEN '{e}'" for m, e, _ in text.MAGIC) + f" ELSE 'unknown' END AS sniffed FROM {ENTRIES}")
+def sniffed_types(spark: SparkSession, d: str) -> DataFrame:
+    head = F.col("content_head")
+    return entries(spark, d).select("entry_id", F.when(head.isNull() | (F.octet_length(head) == 0), "unreadable").otherwise(F.coalesce(text.sniffed(head), F.lit("unknown"))).alias("sniffed"))
+
+
+@query()
+def signature_analysis(spark: SparkSession, d: str) -> DataFrame:
+    return entries(spark, d).groupBy(text.signature_outcome(F.col("entry_name"), F.col("content_head")).alias("outcome")).agg(F.count("*").alias("entries"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (deep_search_phases,)}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
