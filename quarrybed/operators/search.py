@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarrybed.functions.text import ascii_lower, contains_any, lenient_hex, overlap_bytes
 
 SECTOR = 512
+CONTEXT = 8
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -114,30 +115,32 @@ def all_matches(hay: bytes, query: str) -> list[tuple[int, int, str, int]]:
 def raw_search(chunks: DataFrame, query: str) -> DataFrame:
     """Every match in a byte stream: ``source_id, offset, length, encoding, sector, hex_preview, ascii_preview``.
 
-    ``chunks`` has ``source_id, chunk_offset, own_length, bytes``: each chunk carries the bytes that follow it, as many as a
-    match may need, and reports only matches that begin in its own part, so chunks are searched apart and no match is lost
-    or counted twice.
+    ``chunks`` has ``source_id, chunk_offset, own_length, lead, bytes``: each chunk carries ``lead`` bytes before it, for
+    previews, and those that follow it, as many as a match and its preview may need. It reports only matches that begin in
+    its own part, so chunks are searched apart and no match is lost or counted twice.
     """
     schema = "source_id bigint, offset bigint, length int, encoding string, encoding_rank int, sector bigint, hex_preview string, ascii_preview string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for sid, base, own, data in zip(*[c.to_pylist() for c in batch.columns]):
+            for sid, base, own, lead, data in zip(*[c.to_pylist() for c in batch.columns]):
                 for at, n, enc, rank in all_matches(data or b"", query):
-                    if at < own:
-                        cut = data[max(0, at - 8) : at + n + 8]
-                        rows.append((sid, base + at, n, enc, rank, (base + at) // SECTOR, cut.hex(" ").upper(), "".join(chr(c) if 32 <= c < 127 else "." for c in cut)))
+                    if lead <= at < lead + own:
+                        cut = data[max(0, at - CONTEXT) : at + n + CONTEXT]
+                        rows.append((sid, base + at - lead, n, enc, rank, (base + at - lead) // SECTOR, cut.hex(" ").upper(), "".join(chr(c) if 32 <= c < 127 else "." for c in cut)))
             types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string())
             names = ["source_id", "offset", "length", "encoding", "encoding_rank", "sector", "hex_preview", "ascii_preview"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
-    return chunks.select("source_id", "chunk_offset", "own_length", "bytes").mapInArrow(run, schema)
+    return chunks.select("source_id", "chunk_offset", "own_length", "lead", "bytes").mapInArrow(run, schema)
 
 
 def chunked(streams: DataFrame, size: int, overlap: int) -> DataFrame:
-    """``source_id, bytes`` cut to chunks with the overlap that follows each."""
+    """``source_id, bytes`` cut to chunks with what precedes and follows each. Null and empty streams have no chunk."""
     n = F.octet_length("bytes").cast("bigint")
-    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(n - 1, F.lit(0)), F.lit(size).cast("bigint"))).alias("chunk_offset")
-    cut = streams.select("source_id", "bytes", starts)
-    return cut.select("source_id", "chunk_offset", F.least(F.octet_length("bytes") - F.col("chunk_offset"), F.lit(size)).cast("bigint").alias("own_length"), F.substr("bytes", (F.col("chunk_offset") + 1).cast("int"), F.lit(size + overlap)).alias("bytes"))
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(size).cast("bigint"))).alias("chunk_offset")
+    cut = streams.where(n > 0).select("source_id", "bytes", starts)
+    lead = F.least(F.col("chunk_offset"), F.lit(CONTEXT).cast("bigint"))
+    own = F.least(F.octet_length("bytes") - F.col("chunk_offset"), F.lit(size)).cast("bigint")
+    return cut.select("source_id", "chunk_offset", own.alias("own_length"), lead.alias("lead"), F.substr("bytes", (F.col("chunk_offset") - lead + 1).cast("int"), (lead + size + overlap + CONTEXT).cast("int")).alias("bytes"))

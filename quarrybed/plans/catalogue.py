@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrybed.functions import labels, text, times, usn
-from quarrybed.operators import carving, records, search
+from quarrybed.operators import artifacts, browser, carving, records, report, search
 from quarrybed.session import table
+from quarrybed.sources.decoders import decode
+from quarrybed.streaming import incremental
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -163,7 +165,7 @@ def autofill_agg(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey AS download_id, list_aggregate(list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, l_partkey)[1:3], 'string_agg', ' ') AS url_chain, arg_min(l_partkey, l_linenumber * 1000000000 + l_partkey) AS original_url, arg_max(l_partkey, l_linenumber * 1000000000 + l_partkey) AS final_url, count(*) AS total, greatest(count(*) - 3, 0) AS omitted
+SELECT l_orderkey AS download_id, list_aggregate(list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, l_partkey)[1:3], 'string_agg', ' ') AS url_chain, arg_min(l_partkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey) AS original_url, arg_max(l_partkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey) AS final_url, count(*) AS total, greatest(count(*) - 3, 0) AS omitted
 FROM lineitem GROUP BY 1""")
 def url_chain(spark: SparkSession, d: str) -> DataFrame:
     c = records.ordered_chain(table(spark, d, "lineitem"), ["l_orderkey"], "l_partkey", "l_linenumber", 3)
@@ -411,7 +413,7 @@ def lenient_number(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""
 WITH a AS (SELECT DISTINCT entry_id, trim(app_id) AS t FROM activity WHERE app_id IS NOT NULL)
-SELECT entry_id, CASE WHEN t LIKE '[%' THEN trim(json_extract_string(t::JSON, '$[' || (list_position(list_transform(json_extract_string(t::JSON, '$[*].application'), lambda x: trim(x) <> ''), true) - 1) || '].application')) ELSE t END AS application,
+SELECT entry_id, CASE WHEN t LIKE '[%' THEN trim(json_extract_string(t::JSON, '$[' || (list_position(list_transform(json_extract_string(t::JSON, '$[*].application'), lambda x: trim(x) <> ''), true) - 1) || '].application')) ELSE nullif(t, '') END AS application,
  CASE WHEN t LIKE '[%' THEN json_extract_string(t::JSON, '$[' || (list_position(list_transform(json_extract_string(t::JSON, '$[*].application'), lambda x: trim(x) <> ''), true) - 1) || '].platform') END AS platform FROM a""")
 def application_names(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "activity").where("app_id is not null").select("entry_id", "app_id").distinct()
@@ -470,6 +472,92 @@ def signature_analysis(spark: SparkSession, d: str) -> DataFrame:
     return entries(spark, d).groupBy(text.signature_outcome(F.col("entry_name"), F.col("content_head")).alias("outcome")).agg(F.count("*").alias("entries"))
 
 
+# Sources, decoders, rules ----------------------------------------------------------------------------------------------------
+
+
+def _norm_sql() -> str:
+    p = "replace(logical_path, chr(92), '/')"
+    return f"CASE WHEN starts_with({p}, '/') THEN translate({p}, {FOLD}) ELSE '/' || translate({p}, {FOLD}) END"
+
+
+@query(f"""
+WITH e AS (SELECT entry_id, {_norm_sql()} AS p, translate(entry_name, {FOLD}) AS n FROM {ENTRIES} WHERE entry_kind = 'file')
+SELECT entry_id, CASE WHEN contains(p, '/windows/system32/tasks/') THEN 'scheduled_task' WHEN n LIKE '%.lnk' OR p LIKE '%.lnk' THEN 'shell_link' WHEN n LIKE '%.pf' OR p LIKE '%.pf' THEN 'prefetch' WHEN n LIKE '%.evtx' OR p LIKE '%.evtx' THEN 'event_log' ELSE 'recycle_bin' END AS artifact_source
+FROM e WHERE NOT contains(p, '/windows/winsxs/') AND (contains(p, '/windows/system32/tasks/') OR n LIKE '%.lnk' OR p LIKE '%.lnk' OR n LIKE '%.pf' OR p LIKE '%.pf' OR n LIKE '%.evtx' OR p LIKE '%.evtx' OR (contains(p, 'recycle.bin/') AND regexp_extract(p, '[^/]*$') LIKE '$i%'))""")
+def windows_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return artifacts.candidates(entries(spark, d)).select("entry_id", "artifact_source")
+
+
+@query("""
+WITH r AS (SELECT DISTINCT entry_id, format_version, original_file_size, deletion_timestamp_filetime AS t, original_path AS p FROM recycle_bin_records WHERE deletion_timestamp_filetime IS NOT NULL AND original_file_size >= 0 AND original_path IS NOT NULL)
+SELECT entry_id, 2 AS version, original_file_size AS original_size, CASE WHEN t > 0 THEN (t - 116444736000000000) // 10 - CASE WHEN (t - 116444736000000000) % 10 < 0 THEN 1 ELSE 0 END END AS deleted_micros, p AS original_path FROM r""")
+def recycle_bin_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Records put into the bytes of a deletion file and decoded again."""
+    rows = table(spark, d, "recycle_bin_records").where("deletion_timestamp_filetime is not null and original_file_size >= 0 and original_path is not null")
+    rows = rows.select("entry_id", "original_file_size", "deletion_timestamp_filetime", "original_path").distinct()
+    little = lambda c, n: F.unhex(F.regexp_replace(F.right(F.lpad(F.hex(c), 16, "0"), F.lit(2 * n)), "^" + "(..)" * n + "$", "".join(f"${n - i}" for i in range(n))))
+    data = F.concat(little(F.lit(2).cast("bigint"), 8), little(F.col("original_file_size"), 8), little(F.col("deletion_timestamp_filetime"), 8), little(F.char_length("original_path").cast("bigint"), 4), F.encode("original_path", "UTF-16LE"))
+    out = decode(rows.select("entry_id", data.alias("bytes")), "recycle_bin", "entry_id", "bytes")
+    return out.select(F.col("source_id").alias("entry_id"), F.col("version").cast("int").alias("version"), "original_size", "deleted_micros", "original_path")
+
+
+@query("SELECT DISTINCT entry_id, from_header, subject, message_id FROM rfc822_metadata WHERE regexp_full_match(coalesce(from_header, 'x'), '[ -~]+') AND regexp_full_match(coalesce(subject, 'x'), '[!-~]([ -~]*[!-~])?') AND NOT contains(coalesce(subject, ''), '  ') AND NOT contains(coalesce(subject, ''), '=?') AND message_id IS NOT NULL AND from_header IS NOT NULL AND subject IS NOT NULL AND NOT contains(from_header, '  ')")
+def eml_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Mails put into transport form and parsed again, where headers are plain ASCII."""
+    rows = table(spark, d, "rfc822_metadata").where("message_id is not null and from_header is not null and subject is not null").where(F.col("from_header").rlike("^[ -~]+$") & F.col("subject").rlike("^[!-~]([ -~]*[!-~])?$") & ~F.col("subject").contains("  ") & ~F.col("subject").contains("=?") & ~F.col("from_header").contains("  "))
+    raw = F.concat(F.lit("From: "), "from_header", F.lit("\r\nSubject: "), "subject", F.lit("\r\nMessage-ID: "), "message_id", F.lit("\r\n\r\n"), F.coalesce("body_preview", F.lit("")))
+    out = decode(rows.select("entry_id", F.encode(raw, "UTF-8").alias("bytes")).distinct(), "mail_message", "entry_id", "bytes")
+    return out.select(F.col("source_id").alias("entry_id"), "from_header", "subject", "message_id").distinct()
+
+
+@query()
+def secret_leads(spark: SparkSession, d: str) -> DataFrame:
+    return artifacts.secret_leads(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("SELECT user_id AS url_id, event_id AS visit_id, 'u' || user_id AS url, epoch_us(ts) AS visit_micros, " + _case("event_id % 9", labels.FIREFOX_VISITS, repr("unknown")) + " AS visit_type FROM events")
+def firefox_visits(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events")
+    visits = ev.select(F.col("event_id").alias("id"), F.col("user_id").alias("place_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("visit_date"), (F.col("event_id") % 9).alias("visit_type"))
+    places = ev.select(F.col("user_id").alias("id")).distinct().withColumn("url", F.format_string("u%d", "id"))
+    return browser.firefox_visits(visits, places).select(F.substring("url", 2, 20).cast("bigint").alias("url_id"), "visit_id", "url", "visit_micros", "visit_type")
+
+
+@query("""
+WITH v AS (SELECT event_id AS id, user_id AS url, epoch_us(ts) AS t, event_id - 1 AS prev FROM events)
+SELECT v.id AS visit_id, 'https://h' || v.url || '.example/p' AS url, v.t AS visit_micros, CASE WHEN r.id IS NOT NULL THEN 'https://h' || r.url || '.example/p' END AS referrer_url, 'h' || v.url || '.example' AS host FROM v LEFT JOIN v r ON r.id = v.prev""")
+def chromium_visits(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events")
+    visits = ev.select(F.col("event_id").alias("id"), F.col("user_id").alias("url"), (F.unix_micros(F.col("ts").cast("timestamp")) + times.CHROME_SHIFT).alias("visit_time"), (F.col("event_id") - 1).alias("from_visit"))
+    urls = ev.select(F.col("user_id").alias("id")).distinct().select("id", F.format_string("https://h%d.example/p", "id").alias("url"))
+    return browser.chromium_visits(visits, urls).select("visit_id", "url", "visit_micros", "referrer_url", "host")
+
+
+@query("""
+WITH w AS (SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS b FROM events)
+SELECT event_type, epoch_us(b) AS window_micros, count(*) AS records FROM w GROUP BY ALL""")
+def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return incremental.windowed_counts(ev, "ts", "event_type").select("event_type", F.unix_micros("window.start").alias("window_micros"), "records")
+
+
+@query("""
+WITH i AS (SELECT DISTINCT evidence_id, entry_id, logical_path FROM filesystem_entries)
+SELECT b.evidence_id, b.entry_id AS old_entry_id, max(e.entry_id) AS entry_id FROM i b JOIN i e USING (evidence_id, logical_path) GROUP BY ALL""")
+def bookmark_relink(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "filesystem_entries").select("evidence_id", "entry_id", "logical_path").distinct()
+    return report.relinked(e.withColumn("old_entry_id", F.col("entry_id")), e).select("evidence_id", "old_entry_id", "entry_id")
+
+
+@query("""
+WITH a AS (SELECT o_orderkey AS source_id, CASE o_orderstatus WHEN 'F' THEN 'parsed' WHEN 'P' THEN 'partial' ELSE 'failed' END AS status FROM orders), c AS (SELECT DISTINCT l_orderkey AS source_id FROM lineitem WHERE l_returnflag = 'R')
+SELECT source_id, CASE WHEN a.status IN ('parsed', 'partial') THEN a.status WHEN c.source_id IS NOT NULL THEN 'parsed' ELSE a.status END AS standing, coalesce(a.status IN ('parsed', 'partial'), false) AS replaced FROM a FULL JOIN c USING (source_id)""")
+def failed_attempts_kept(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("source_id"), F.when(F.col("o_orderstatus") == "F", "parsed").when(F.col("o_orderstatus") == "P", "partial").otherwise("failed").alias("status"), F.lit("why").alias("diagnostic"))
+    c = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("source_id")).distinct().withColumn("status", F.lit("parsed"))
+    return incremental.commit_plan(a, c).select("source_id", "standing", F.coalesce("replaced", F.lit(False)).alias("replaced"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
