@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+BUCKETS = 512
 
 
 def exact_total(tokens: dict[str, int], targets: dict[str, float], caps: dict[str, int]) -> float:
