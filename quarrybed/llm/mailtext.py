@@ -1,7 +1,7 @@
 """Emails reduced to what their sender newly wrote.
 
 A linear-chain model labels the lines of a message. Its states are new text, closing or signature, disclaimer, header or
-introduction of a quotation, marked quotation and unmarked quotation. Each line gives scores to the states by its
+introduction of a quotation, marked quotation, unmarked quotation and the ending of a quoted message. Each line gives scores to the states by its
 position, punctuation, prefix and neighbouring lines, and by whether its words stand in the message it answers; scores
 of transitions say which parts follow which. The best labelling of the whole message is found by dynamic programming.
 The weights are fixed parameters of the model, stated below.
@@ -16,21 +16,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrybed.llm.pii import EMAIL, PHONES, STREETS
+from quarrybed.llm.pii import EMAIL, PHONES, STREETS, fold
 
-STATES = ("new", "signature", "disclaimer", "intro", "quoted", "unmarked")
-NEW, SIGN, DISC, INTRO, QUOTE, BARE = range(6)
-_NO = -1e9
-#: Score of going from one state (row) to another (column): new, signature, disclaimer, intro, quoted, unmarked.
+STATES = ("new", "signature", "disclaimer", "intro", "quoted", "unmarked", "quoted_end")
+NEW, SIGN, DISC, INTRO, QUOTE, BARE, ENDING = range(7)
+#: Score of going from one state (row) to another (column), in the order of ``STATES``.
 TRANSITIONS = (
-    (0.4, 0.0, -0.3, 0.0, -0.5, -4.0),
-    (-4.0, 0.5, 0.0, 0.0, 0.0, -1.0),
-    (-3.0, -0.5, 0.8, 0.0, 0.0, -0.8),
-    (-3.5, -2.0, -2.0, 0.6, 0.6, 0.8),
-    (-0.6, -0.5, -1.0, 0.0, 0.8, -2.0),
-    (-3.0, -2.0, -2.0, 0.2, 0.2, 0.9),
+    (0.9, 0.0, -0.3, 0.0, -0.5, -4.0, -6.0),
+    (-4.0, 0.5, 0.0, 0.0, 0.0, -1.0, -3.0),
+    (-3.0, -0.5, 0.8, 0.0, 0.0, -0.8, -3.0),
+    (-3.5, -2.0, -2.0, 0.6, 0.6, 0.8, -1.0),
+    (-0.6, -0.5, -1.0, 0.0, 0.8, -2.0, -1.0),
+    (-3.0, -4.0, -4.0, 0.2, 0.2, 0.9, 0.0),
+    (-1.5, -1.0, -1.0, 0.2, 0.2, -0.3, 0.5),
 )
-START = (0.0, -1.0, -2.0, 0.0, 0.0, -2.5)
+START = (0.0, -1.0, -2.0, 0.0, 0.0, -2.5, -4.0)
+#: A greeting after the first line opens a section of its own: added to transitions into new text from each state.
+GREETED = (-5.9, 0.0, 0.0, 0.0, 1.0, 4.2, 2.0)
+#: Added when new text begins again after the sender signed, disclaimed or forwarded.
+REOPENED = -6.0
 
 _PREFIX = re.compile(r"^\s*((?:[>|:]\s?)+)")
 _CLOSING = re.compile(
@@ -71,6 +75,7 @@ _GREETING = re.compile(r"^(?:hi|hello|dear|team|good (?:morning|afternoon|evenin
 _LABELLED = re.compile(r"^(?:mail|e-?mail|e|phone|tel|telefon|t|m|mob|mobile|fax|web|www|tél)\.?:?\s", re.I)
 _NAME = re.compile(r"^(?:[A-ZÀ-Þ][\w'’.À-ÿ-]*|van|von|de|del|der)(?: (?:[A-ZÀ-Þ][\w'’.À-ÿ-]*|van|von|de|del|der)){1,3}$")
 _ROLE = re.compile(r"^(?:[A-ZÀ-Þ][\w'’&À-ÿ-]+)(?: (?:[A-ZÀ-Þ][\w'’&À-ÿ-]+|of|and|für|de|et|y)){0,3}(?:, [A-ZÀ-Þ][\w'’&À-ÿ-]+(?: [A-ZÀ-Þ][\w'’&À-ÿ-]+){0,3})?$")
+_OWN = re.compile(r"[^\W\d_]{3,}")
 _END = re.compile(r"[.!?:…»\"”)]$")
 
 
@@ -97,9 +102,11 @@ def _contact(line: str) -> bool:
     return False
 
 
-def scores(lines: list[str], parent: str, parent_whole: bool) -> list[list[float]]:
+def scores(lines: list[str], parent: str, parent_whole: bool, sender: str = "") -> list[list[float]]:
     """For each line the score of each state. ``parent`` is the result of ``answered``; ``parent_whole`` says that it was
-    not cut, so that a line it lacks is none of its own."""
+    not cut, so that a line it lacks is none of its own. ``sender`` is the sender's header: a name or address that it
+    holds too signs the sender's own text, not a quoted one."""
+    sender = fold(sender)
     bare = [clean(x) for x in lines]
     marks = [m[1].replace(" ", "") if (m := _PREFIX.match(x)) else "" for x in bare]
     text = [_PREFIX.sub("", x) for x in bare]
@@ -121,12 +128,12 @@ def scores(lines: list[str], parent: str, parent_whole: bool) -> list[list[float
         if m:
             near = sum(bool(_HEAD.match(bare[j].strip())) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < n)
             sure = bool(_HEAD_SURE.search(m[1])) and not m[1].endswith(".")
-            return 4.0 if near >= 1 and (sure or near >= 2 or not m[1].endswith(".")) else (1.0 if sure and "@" in m[1] else -1.0)
+            return 4.0 if near >= 1 and (sure or near >= 2 or not m[1].endswith(".")) else (1.0 if sure and "@" in m[1] else -4.0)
         return -4.0
 
     out = []
     for i in range(n):
-        s, line = [0.0] * 6, text[i].strip()
+        s, line = [0.0] * 7, text[i].strip()
         words = normal(line)
         size = len(words)
         goes_on = i > 0 and len(bare[i - 1]) > 38 and not _END.search(bare[i - 1]) and not marks[i - 1]
@@ -149,6 +156,7 @@ def scores(lines: list[str], parent: str, parent_whole: bool) -> list[list[float
         if intro(i) > 2 and not mark:
             s[NEW] -= 3.0
             s[SIGN] -= 3.0
+            s[BARE] -= 3.0
         # closings, signatures
         sign = -2.5
         if _CLOSING.match(line):
@@ -185,11 +193,17 @@ def scores(lines: list[str], parent: str, parent_whole: bool) -> list[list[float
             s[DISC] -= 2.5 if not (_LIST.search(line) or _LONG_RULE.match(line)) else 0.0
         if mark:
             s[DISC] -= 3.0
-        # new text
-        s[NEW] += 1.0 if re.search(r"[a-zà-ÿ]{3,} [a-zà-ÿ]{2,}", line) and not mark else 0.0
-        s[NEW] += 1.5 if _GREETING.match(line) and not mark else 0.0
-        if _GREETING.match(line) and i == 0:
-            s[NEW] += 1.0
+        s[ENDING] = max(s[SIGN], s[DISC])
+        if sender and sign >= 2.5 and not mark and (own := _OWN.findall(line)):
+            # the last word of a name, any word of an address before its @
+            words_ = _OWN.findall(line.split("@")[0]) if "@" in line else own[-1:]
+            if any(len(f := fold(w)) >= 4 and f in sender for w in words_):
+                s[SIGN] += 2.0
+                s[ENDING] -= 2.0
+        # running text, the sender's or another's
+        running = (1.0 if re.search(r"[a-zà-ÿ]{3,} [a-zà-ÿ]{2,}", line) else 0.0) + (1.5 if _GREETING.match(line) else 0.0) if not mark else 0.0
+        s[NEW] += running + (1.0 if _GREETING.match(line) and i == 0 else 0.0) - (3.0 if not line else 0.0)
+        s[BARE] += running
         # unmarked quotation: words of the message answered
         if parent and size >= 12:
             inside = f" {words} " in parent
@@ -208,30 +222,42 @@ def scores(lines: list[str], parent: str, parent_whole: bool) -> list[list[float
     return out
 
 
-def label_lines(text: str | None, parent: str | None = None, parent_whole: bool = False) -> list[int]:
+def label_lines(text: str | None, parent: str | None = None, parent_whole: bool = False, sender: str | None = None) -> list[int]:
     """The state of each line of ``text`` (split at line feeds) by the best path through the model."""
     if not text:
         return []
     lines = text.split("\n")
-    table = scores(lines, answered(parent), parent_whole)
-    best, back = [START[k] + table[0][k] for k in range(6)], []
-    for s in table[1:]:
-        step, now = [], []
-        for k in range(6):
-            p = max(range(6), key=lambda j: best[j] + TRANSITIONS[j][k])
-            step.append(p)
-            now.append(best[p] + TRANSITIONS[p][k] + s[k])
-        back.append(step)
+    table = scores(lines, answered(parent), parent_whole, sender or "")
+    # Beside its state a line has a mode: 0 before any new text, 1 in it, 2 after the sender closed it.
+    best = {(int(k == NEW), k): (START[k] + table[0][k], None) for k in range(len(STATES))}
+    trail = [best]
+    for line, s in zip(lines[1:], table[1:]):
+        bare = clean(line).strip()
+        greeted, header = bool(_GREETING.match(bare)), bool(_HEAD.match(bare) or _INTRO[-2].match(bare) or _INTRO[-1].match(bare))
+        now: dict = {}
+        for (mode, j), (sum_, _) in best.items():
+            row = TRANSITIONS[j]
+            for k in range(len(STATES)):
+                value, then = sum_ + row[k] + s[k], mode
+                if k == NEW:
+                    value += (GREETED[j] if greeted else 0.0) + (REOPENED if mode == 2 else 0.0)
+                    then = max(mode, 1)
+                elif mode == 1 and (k in (SIGN, DISC) or k == INTRO and header):
+                    then = 2
+                old = now.get((then, k))
+                if old is None or value > old[0]:
+                    now[then, k] = (value, (mode, j))
+        trail.append(now)
         best = now
-    k = max(range(6), key=best.__getitem__)
-    path = [k]
-    for step in reversed(back):
-        k = step[k]
-        path.append(k)
+    at = max(best, key=lambda x: best[x][0])
+    path = []
+    for step in reversed(trail):
+        path.append(at[1])
+        at = step[at][1]
     return path[::-1]
 
 
-def mail_lines(df: DataFrame, id_col: str = "entry_id", body: str = "body_preview", message_id: str = "message_id", in_reply_to: str = "in_reply_to", cut_col: str | None = "body_truncated") -> DataFrame:
+def mail_lines(df: DataFrame, id_col: str = "entry_id", body: str = "body_preview", message_id: str = "message_id", in_reply_to: str = "in_reply_to", cut_col: str | None = "body_truncated", sender: str | None = "from_header") -> DataFrame:
     """``record_id, line_no, label, line`` of every line of every message, lines counted from 0.
 
     The message answered is looked up by its id. Messages are joined to those they answer only where they name one, so
@@ -242,17 +268,17 @@ def mail_lines(df: DataFrame, id_col: str = "entry_id", body: str = "body_previe
     compare with; repeated rows give repeated lines; texts are read whole; other columns are not read.
     """
     cut = F.coalesce(F.col(cut_col).cast("boolean"), F.lit(False)) if cut_col else F.lit(False)
-    mails = df.select(F.col(id_col).cast("bigint").alias("i"), F.col(body).cast("string").alias("b"), F.trim(F.col(in_reply_to)).alias("r"))
+    mails = df.select(F.col(id_col).cast("bigint").alias("i"), F.col(body).cast("string").alias("b"), F.trim(F.col(in_reply_to)).alias("r"), (F.col(sender).cast("string") if sender else F.lit(None).cast("string")).alias("f"))
     known = df.where(F.col(message_id).isNotNull() & F.col(body).isNotNull()).groupBy(F.trim(F.col(message_id)).alias("r")).agg(F.min(F.struct(F.col(body).alias("b"), cut.alias("c"))).alias("p"))
     known = known.select("r", F.col("p.b").alias("pb"), (~F.col("p.c")).alias("pw"))
-    answers = mails.where("r is not null").join(known, "r", "left").select("i", "b", "pb", "pw")
-    first = mails.where("r is null").select("i", "b", F.lit(None).cast("string").alias("pb"), F.lit(None).cast("boolean").alias("pw"))
+    answers = mails.where("r is not null").join(known, "r", "left").select("i", "b", "f", "pb", "pw")
+    first = mails.where("r is null").select("i", "b", "f", F.lit(None).cast("string").alias("pb"), F.lit(None).cast("boolean").alias("pw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, nos, labels, texts = [], [], [], []
-            for i, b, pb, pw in zip(*[c.to_pylist() for c in batch.columns]):
-                for no, (k, line) in enumerate(zip(label_lines(b, pb, bool(pw)), (b or "").split("\n"))):
+            for i, b, f, pb, pw in zip(*[c.to_pylist() for c in batch.columns]):
+                for no, (k, line) in enumerate(zip(label_lines(b, pb, bool(pw), f), (b or "").split("\n"))):
                     ids.append(i)
                     nos.append(no)
                     labels.append(STATES[k])
