@@ -112,9 +112,12 @@ def sid_of_path(path: Column) -> Column:
 
 
 def app_of_usage_record(name: Column) -> Column:
-    """The application behind a usage record's name: volume devices read as ``C:\\``, service decorations cut."""
-    plain = F.regexp_replace(name, r"(?i)^!!([^!\[]+)![^\[]*(\[[^\]]*\])?$", "$1")
-    return F.regexp_replace(plain, r"(?i)^\\device\\harddiskvolume\d+\\", r"C:\\\\")
+    """The application behind a usage record's name: ``!!program!…[service]`` reads ``program [service]``, volume devices
+    read ``C:``; a blank name is unknown."""
+    t = F.trim(name)
+    program, service = F.regexp_extract(t, r"^!!([^!]+)", 1), F.regexp_extract(t, r"(\[[^\[\]!]*\])(?:!|$)", 1)
+    plain = F.regexp_replace(t, r"(?i)^\\device\\harddiskvolume[^\\]*\\", "C:\\\\")
+    return F.when(t == "", "Unknown Application").when(program != "", F.trim(F.concat_ws(" ", program, service))).otherwise(plain)
 
 
 def recycled_data_name(name: Column) -> Column:
