@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 512
+#: Hash buckets per level, and levels: documents are summed one by one only in a part of BUCKETS ** LEVELS of a source.
+BUCKETS, LEVELS = 512, 2
 
 
 def exact_total(tokens: dict[str, int], targets: dict[str, float], caps: dict[str, int]) -> float:
@@ -56,9 +57,10 @@ def plan_mix(sizes: DataFrame, specs: list[tuple[str, float, int]], total: float
 def mix(sizes: DataFrame, plan: list[tuple[str, int, float, int, float]], seed: int = 17) -> DataFrame:
     """``doc_id, source, n_tokens, repeats`` for every text of a planned source; texts not used have 0 repeats.
 
-    ``sizes`` has ``doc_id, source, n_tokens``. Documents are ordered by a seeded hash. Token counts per hash bucket say in
-    which bucket the fractional repetition ends; only inside that one bucket documents are summed one by one, so no source
-    is gathered in one task. The share is met to within one document.
+    ``sizes`` has ``doc_id, source, n_tokens``. Documents are taken in the order of a seeded hash. Token counts per hash
+    bucket say in which bucket the fractional repetition ends, and in that one again counts per finer bucket; only inside
+    the last one documents are summed one by one, so no source is gathered in one task. The share is met to within one
+    document.
 
     Defined results: texts of unplanned or null sources are left out; null sizes count as 0, and texts of 0 tokens get the
     whole repetitions only; repeated rows are documents of their own; an empty table gives an empty table; repeats never
@@ -66,22 +68,37 @@ def mix(sizes: DataFrame, plan: list[tuple[str, int, float, int, float]], seed:
     """
     rows = [(s, int(g // t) if t else 0, int(round(g - (g // t) * t)) if t else 0, c) for s, t, _, c, g in plan]
     # the cap binds also where rounding would lead beyond it
-    rows = [(s, min(w, c), p if w < c else 0) for s, w, p, c in rows]
-    docs = sizes.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens")).where(F.col("source").isin([r[0] for r in rows]))
-    whole = F.create_map(*[F.lit(x) for s, w, _ in rows for x in (s, w)]) if rows else F.create_map(F.lit(""), F.lit(0))
-    part = F.create_map(*[F.lit(x) for s, _, p in rows for x in (s, p)]) if rows else F.create_map(F.lit(""), F.lit(0))
-    docs = docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("b", F.pmod(F.col("h"), F.lit(BUCKETS)))
-    w = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = docs.groupBy("source", "b").agg(F.sum("n_tokens").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0)))
-    buckets = buckets.withColumn("rest", part[F.col("source")].cast("bigint") - F.col("before"))
-    buckets = buckets.select("source", "b", "rest", F.when(F.col("rest") <= 0, "none").when(F.col("rest") >= F.col("t"), "all").otherwise("cut").alias("use"))
-    # at most BUCKETS rows per source of a small fixed list
-    placed = docs.join(F.broadcast(buckets), ["source", "b"])
-    inside = placed.where("use = 'cut'").withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("source", "b").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    wanted = [(s, min(w, c), p if w < c else 0, c) for s, w, p, c in rows]
+    docs = sizes.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens")).where(F.col("source").isin([r[0] for r in wanted]))
+    whole = F.create_map(*[F.lit(x) for s, w, _, _ in wanted for x in (s, w)]) if wanted else F.create_map(F.lit(""), F.lit(0))
     cols = ["doc_id", "source", "n_tokens"]
-    cut = inside.select(*cols, ((F.col("n_tokens") > 0) & (F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest"))).cast("int").alias("more"))
-    rest = placed.where("use <> 'cut'").select(*cols, ((F.col("use") == "all") & (F.col("n_tokens") > 0)).cast("int").alias("more"))
-    return cut.unionByName(rest).select(*cols, (whole[F.col("source")] + F.col("more")).cast("bigint").alias("repeats"))
+    # tokens still wanted of each source: a constant at first, then what the buckets before leave
+    left = docs.withColumn("rest", _of(wanted)).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    decided: list[DataFrame] = []
+    group: list[str] = ["source"]
+    for level in range(LEVELS):
+        b = f"b{level}"
+        left = left.withColumn(b, F.pmod(F.shiftrightunsigned("h", 9 * level), F.lit(BUCKETS)))
+        w = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+        sums = left.groupBy(*group, b).agg(F.sum("n_tokens").alias("t"), F.min("rest").alias("want")).withColumn("remains", F.col("want") - F.coalesce(F.sum("t").over(w), F.lit(0)))
+        sums = sums.select(*group, b, F.col("remains").alias("rest"), F.when(F.col("remains") <= 0, "none").when(F.col("remains") >= F.col("t"), "all").otherwise("cut").alias("use"))
+        # at most BUCKETS rows per source of a small fixed list: one bucket of a source at most goes on to the next level
+        placed = left.drop("rest").join(F.broadcast(sums), [*group, b])
+        decided.append(placed.where("use <> 'cut'").select(*cols, ((F.col("use") == "all") & (F.col("n_tokens") > 0)).cast("int").alias("more")))
+        left = placed.where("use = 'cut'").drop("use")
+        group.append(b)
+    upto = F.sum("n_tokens").over(Window.partitionBy(*group).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = left.withColumn("upto", upto)
+    out = last.select(*cols, ((F.col("n_tokens") > 0) & (F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest"))).cast("int").alias("more"))
+    for part in decided:
+        out = out.unionByName(part)
+    return out.select(*cols, (whole[F.col("source")] + F.col("more")).cast("bigint").alias("repeats"))
+
+
+def _of(rows: list[tuple[str, int, int, int]]):
+    """The tokens wanted of a row's source beyond whole repetitions."""
+    part = F.create_map(*[F.lit(x) for s, _, p, _ in rows for x in (s, p)]) if rows else F.create_map(F.lit(""), F.lit(0))
+    return part[F.col("source")].cast("bigint")
 
 
 def share_report(mixed: DataFrame, plan: list[tuple[str, int, float, int, float]]) -> DataFrame:
