@@ -48,6 +48,9 @@ def _is_record(line: str) -> bool:
 
 _PARTS = re.compile(r"[^\W\d_]+")
 _VOWEL = re.compile(r"[aeiouyà-ÿ]")
+_RUN = re.compile(r"[bcdfghjklmnpqrstvwxz]{6,}")
+_PLAIN = re.compile(r"[A-Za-z]?[a-z]{1,31}")
+_DIGITS = re.compile(r"[\W\d_]+")
 
 
 def gibberish(token: str) -> bool:
@@ -55,19 +58,23 @@ def gibberish(token: str) -> bool:
 
     A plausible part has one case (or a leading capital), vowels unless it is very short, and no run of six consonants.
     """
-    total = good = 0
-    for c in token:
-        total += c.isalnum()
+    if _PLAIN.fullmatch(token):
+        return len(token) > 4 and not _VOWEL.search(token.lower()) or bool(_RUN.search(token))
+    alpha = good = 0
+    total = len(_NOT_ALNUM.sub("", token))
     for part in _PARTS.findall(token):
+        alpha += len(part)
         low = part.lower()
-        if len(part) < 3 and len(part) < total or len(part) > 32 or any(c > "ɏ" for c in part):
+        if len(part) < 3 and len(part) < total or len(part) > 32 or not part.isascii() and max(part) > "ɏ":
             continue
-        if (part == low or part.isupper() or part[1:] == low[1:]) and (len(part) < 5 or _VOWEL.search(low)) and not re.search(r"[bcdfghjklmnpqrstvwxz]{6,}", low):
+        if (part == low or part.isupper() or part[1:] == low[1:]) and (len(part) < 5 or _VOWEL.search(low)) and not _RUN.search(low):
             good += len(part)
-    return total > 0 and good < 0.4 * sum(c.isalpha() for c in token) + 0.1 * total
+    return total > 0 and good < 0.4 * alpha + 0.1 * total
 
 
 def _line_kind(line: str, common: frozenset[str]) -> str:
+    if line.count("\t") >= 2:
+        return "table"
     if _ITEM.match(line):
         return "list"
     if _CHAT.match(line):
@@ -78,10 +85,11 @@ def _line_kind(line: str, common: frozenset[str]) -> str:
     if _RULES.fullmatch(s):
         return "noise"
     if len(s) <= 90 and not s.endswith(_END[:6]):
-        words = WORD.findall(s.lower())
-        if _STRUCTURE.search(s) and len(s.split()) <= 4 and words:
+        parts = len(s.split())
+        words = WORD.findall(s.lower()) if parts <= 7 else ()
+        if words and parts <= 4 and _STRUCTURE.search(s):
             return "list"
-        if words and len(s.split()) <= 7:
+        if words:
             known = sum(w in common for w in words)
             if known == 0 or (len(words) >= 4 and known / len(words) <= 0.25 and len(s) < 50):
                 return "bare"
@@ -122,10 +130,10 @@ def describe(text: str | None, common: frozenset[str]) -> tuple:
         shares["prose"] += shares.pop("bare")
     listed, table = (shares["list"] + shares["bare"]) / total, shares["table"] / total
     gib = 0.0
-    strange = symbols > 0.3 or len(_ASCII.sub("", text)) > 0.1 * size
+    strange = symbols > 0.3 or not text.isascii() and len(_ASCII.sub("", text)) > 0.1 * size
     if strange if table > 0.5 else known < 0.3:
         weights = Counter(t for t in _SPLIT.split(text) if t)
-        judged = [(len(t) * k, t) for t, k in weights.items() if sum(map(str.isalpha, t)) >= 0.3 * len(t)]
+        judged = [(len(t) * k, t) for t, k in weights.items() if t.isalpha() or len(_DIGITS.sub("", t)) >= 0.3 * len(t)]
         gib = sum(k for k, t in judged if gibberish(t)) / max(1, sum(k for k, _ in judged))
     ends = sum(x.rstrip().endswith(_END) for x in lines) / len(lines)
     distinct = len(counts) / max(1, n)
