@@ -1 +1 @@
-
+"""Queries over the tables of a case."""

@@ -25,12 +25,16 @@ def same(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+ALL = {**problems.queries(), **catalogue.queries()}
+SQL = {**problems.oracle_sql(), **catalogue.oracle_sql()}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_oracle(spark, db, name):
-    df = catalogue.queries()[name](spark, DATA)
+    df = ALL[name](spark, DATA)
     cols = sorted(df.columns)
     got = sorted((tuple(same(r[c]) for c in cols) for r in df.collect()), key=repr)
-    res = db.execute(catalogue.oracle_sql()[name])
+    res = db.execute(SQL[name])
     names = [c[0] for c in res.description]
     assert sorted(names) == cols
     want = sorted((tuple(same(r[names.index(c)]) for c in cols) for r in res.fetchall()), key=repr)
