@@ -281,7 +281,7 @@ def pair_assembly(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE n(id, parent, name) AS (SELECT n_nationkey + 100, n_regionkey, n_name FROM nation UNION ALL SELECT r_regionkey, NULL, r_name FROM region),
+WITH RECURSIVE n(id, parent, name) AS (SELECT CAST(n_nationkey + 100 AS BIGINT), CAST(n_regionkey AS BIGINT), n_name FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT), NULL, r_name FROM region),
 t(id, path, depth) AS (SELECT id, '/' || name, 0 FROM n WHERE parent IS NULL UNION ALL SELECT n.id, t.path || '/' || n.name, t.depth + 1 FROM n JOIN t ON n.parent = t.id)
 SELECT id, path, depth FROM t""")
 def recursive_ancestry(spark: SparkSession, d: str) -> DataFrame:
