@@ -7,6 +7,7 @@ overlap. Each text is judged on its own, so nothing is shuffled and a text of an
 
 from __future__ import annotations
 
+import calendar
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -122,8 +123,8 @@ FORWARD = re.compile(rf"(?<![\w@.+'’-])((?:{_NAMEWORD}|{_INITIAL})(?:{_GAP}(?:
 WORDS = re.compile(rf"(?<![\w@.+'’-])(?:{_NAMEWORD}|{_INITIAL}|{_PARTICLE})(?![\w@+])")
 #: Words that end or begin a capitalised pair without being a name (fixed list: greetings, roles, months, firms' kinds).
 NOT_NAME = frozenset(
-    "the a an and or of in on at to for from by with is are was were be it this that these those we you they he she i not no yes our your my his her their nobody please thanks thank dear hi hello team all good morning afternoon evening best kind regards yours sincerely cheers sent subject date cc bcc re fw fwd aw wg tr rv mail phone tel fax mobile email e-mail original message begin forwarded confidentiality notice case build exhibit ticket section volume views page records clerk officer engineer coordinator examiner counsel analyst manager director lead head intake storage forensic security senior junior assistant partner partners works freight imaging archiv archive storage group holding consulting services systems ltd inc gmbh llc ag plc company office registered number address file apt unit suite street st lane road drive avenue ave court january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday mon tue wed thu fri sat sun jan feb mar apr jun jul aug sep oct nov dec mr mrs ms dr prof herr frau monsieur madame señor señora sr sra mme der die das ein eine und oder nicht wir sie ich bitte guten tag hallo zusammen liebe kollegen viele grüße beste mit freundlichen mfg von an betreff gesendet am im le la les un une bonjour chers collègues cordialement bien vous de à objet envoyé el los las una buenos días hola saludos un saludo para asunto enviado según queda registry hive jump list shell link change journal new contact according after before could thanks could there what when where".split()
-)
+    "the a an and or of in on at to for from by with is are was it this that we you not no our your please thanks thank dear hi hello all good morning afternoon evening best kind regards yours sincerely cheers sent subject date cc bcc re mail phone tel email original message notice case section clerk officer engineer coordinator examiner counsel analyst manager director intake storage forensic security partner partners works freight imaging archiv archive services ltd inc office registered address file apt street st lane road drive avenue ave court mr mrs ms dr prof herr frau mme der die das ein eine und oder nicht bitte guten tag hallo zusammen liebe kollegen viele grüße beste mit freundlichen mfg von betreff gesendet am im la bonjour chers collègues cordialement bien vous de à objet envoyé el los buenos días hola saludos saludo para asunto enviado según queda registry jump list link journal new contact according after before there".split()
+) | {x.lower() for names in (calendar.month_name, calendar.month_abbr, calendar.day_name, calendar.day_abbr) for x in names if x}
 #: Ordinary words that are names too: two of them together are no name without other evidence.
 ORDINARY = frozenset("will mark grace rose may april june august hope faith joy dawn iris ivy lily daisy ruby pearl amber art bill bob rob jack pat sue frank ernest day long field marsh brook hill wood lake stone rich young short white black brown green gray king bishop page carter cook baker mason".split())
 _TITLE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|M|Mme|Mlle|Sr|Sra|Don|Doña)\.?)\s+$")
