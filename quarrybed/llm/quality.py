@@ -147,13 +147,13 @@ def describe(text: str | None, common: frozenset[str]) -> tuple:
         kind = "junk"
     elif marked:
         kind = "list"
-    elif known < 0.2 and (gib > 0.5 or symbols > 0.3):
+    elif known < 0.2 and (gib > 0.5 or symbols > 0.3) or known < 0.3 and gib > 0.6:
         kind = "junk"
     elif listed > 0.5:
         kind = "list"
     elif listed + table > 0.6:
         kind = "list" if listed >= table else "table"
-    elif known < (0.16 if n >= 12 else 0.05) and n >= 3:
+    elif known < (0.22 if n >= 12 else 0.05) and n >= 3:
         kind = "junk"
     else:
         kind = "prose"
