@@ -182,3 +182,92 @@ def any_time_within(cols: list[Column], start: Column, end: Column) -> Column:
 def first_preview(values: list[Column], most: int = 4) -> Column:
     """The first few values that are not empty, joined by `` | ``."""
     return F.array_join(F.slice(F.filter(F.array(*values), lambda v: F.coalesce(v != "", F.lit(False))), 1, most), " | ")
+
+
+# Records derived from observations -----------------------------------------------------------------------------------------
+
+
+def startup_records(observations: DataFrame) -> DataFrame:
+    """Programs started with the system or a user, one per value, numbered in order of the hive."""
+    rows = observations.where(is_startup_key(F.col("key_path")) & (F.trim("value_data") != ""))
+    return rows.select("hive", "key_path", F.col("value_name").alias("entry"), F.trim("value_data").alias("command"), "last_write_utc", "ordinal")
+
+
+def inventory_records(observations: DataFrame) -> DataFrame:
+    """Programs of the application inventory: path of several candidate fields, digest without its leading zeros."""
+    key = ascii_lower(slashes(F.col("key_path")))
+    wanted = observations.where(key.rlike(r"/(?:inventoryapplicationfile|inventoryapplication|inventorydevicepnp|inventorydriverbinary|inventoryapplicationshortcut|file|programs)/[^/]+$"))
+    f = key_fields(wanted)
+    field = lambda *names: F.coalesce(*[F.nullif(F.try_element_at("fields", F.lit(n)), F.lit("")) for n in names])
+    digest = F.regexp_replace(field("sha1", "fileid", "101"), "^0000", "")
+    return f.select("key_path", field("lowercaselongpath", "path", "rootdirpath", "15", "filepath").alias("file_path"), field("name", "0", "productname").alias("name"), digest.alias("sha1"), field("publisher", "1").alias("publisher"), field("version", "productversion").alias("version"), field("linkdate", "installdate").alias("linked"))
+
+
+def user_assist_names(observations: DataFrame) -> DataFrame:
+    """Values below user-assist count keys with their names turned back."""
+    from quarrybed.functions.labels import known_folders
+    from quarrybed.functions.text import rot13
+
+    key = ascii_lower(slashes(F.col("key_path")))
+    rows = observations.where(key.contains("/explorer/userassist/") & key.endswith("/count"))
+    return rows.withColumn("program", known_folders(rot13(F.col("value_name"))))
+
+
+def bag_paths(names: DataFrame) -> DataFrame:
+    """Folders of shell bags: each key's path is the names of the keys above it. ``names``: key_path, name."""
+    parts = F.split(slashes(F.col("key_path")), "/")
+    up = names.select("key_path", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("n", "prefix"))
+    known = names.select(F.array_join(parts, "/").alias("prefix"), "name")
+    return up.join(known, "prefix").groupBy("key_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]), "\\").alias("folder_path"))
+
+
+#: The keys of a record's four times, in order of preference.
+TIME_KEYS = {"modified": ("ntfs_modified_utc", "ext_mtime_utc", "fat_modified_utc", "modified_utc"), "accessed": ("ntfs_accessed_utc", "ext_atime_utc", "fat_accessed_utc", "accessed_utc"), "changed": ("ntfs_record_changed_utc", "ext_ctime_utc", "changed_utc"), "born": ("ntfs_created_utc", "ext_crtime_utc", "fat_created_utc", "created_utc")}
+
+
+def four_times() -> list[Column]:
+    """Modified, accessed, changed and born: the first stamp present of each."""
+    return [F.coalesce(*[F.nullif(metadata(k), F.lit("")) for k in keys]).alias(f"{role}_utc") for role, keys in TIME_KEYS.items()]
+
+
+def category_page(df: DataFrame, name: str | None = None, extension: str | None = None, kind: str | None = None, deleted: bool | None = None, sha256: str | None = None, start: str | None = None, end: str | None = None, times: list[str] | None = None) -> DataFrame:
+    """Entries of a category page: each filter given narrows it; both bounds of time must be given to count."""
+    if name:
+        df = df.where(ascii_lower(F.col("entry_name")).contains(name.lower()))
+    if extension:
+        df = df.where(ascii_lower(F.col("entry_name")).endswith("." + extension.lower().lstrip(".")))
+    if kind:
+        df = df.where(F.col("entry_kind") == kind)
+    if deleted is not None:
+        df = df.where(F.col("is_deleted") == deleted)
+    if sha256:
+        df = df.where(F.lower(metadata("sha256")) == sha256.lower())
+    if start and end and times:
+        df = df.where(any_time_within([metadata(t).try_cast("timestamp") for t in times], F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    return df
+
+
+def visible(df: DataFrame) -> DataFrame:
+    """Entries whose category is not hidden."""
+    return df.where(~F.lower(F.coalesce(metadata("category_hidden"), F.lit("0"))).isin("1", "true"))
+
+
+def genuine(df: DataFrame) -> DataFrame:
+    """Entries of the file system's own tree, not derived records."""
+    return df.where(metadata("artifact_kind").isin("filesystem_entry", "deleted_file_record"))
+
+
+def display_path(path: Column, containers: tuple[str, ...] = ("/evidence", "/image", "/volume")) -> Column:
+    """A path without its container prefix, cut at a segment."""
+    out = path
+    for c in containers:
+        out = F.when(path.startswith(c + "/"), F.substr(path, F.lit(len(c) + 1))).otherwise(out)
+    return out
+
+
+def subtree_totals(entries: DataFrame) -> DataFrame:
+    """Entries and bytes below each folder at any depth: each entry counts for all its ancestors, pre-aggregated."""
+    from quarrybed.functions.text import path_prefixes
+
+    up = entries.select(F.explode(path_prefixes(F.col("logical_path"))).alias("folder"), F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"))
+    return up.groupBy("folder").agg(F.count("*").alias("entries"), F.sum("size_bytes").alias("bytes"))

@@ -138,3 +138,83 @@ def activity_stream(parts: dict[str, DataFrame]) -> DataFrame:
 
 def record_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("record_kind").agg(F.count("*").alias("records"), F.min("at_micros").alias("first_micros"), F.max("at_micros").alias("last_micros"))
+
+
+# Further tables of a profile ----------------------------------------------------------------------------------------------
+
+
+def chromium_urls(urls: DataFrame) -> DataFrame:
+    return urls.select(F.col("id").alias("url_id"), "url", _col(urls, "title", "string").alias("title"), display_name(_col(urls, "title", "string"), F.col("url")).alias("display_name"), text.host(F.col("url")).alias("host"), *[_col(urls, c, "bigint").alias(c) for c in ("visit_count", "typed_count", "hidden")], times.chrome_micros(times.nonzero(_col(urls, "last_visit_time", "bigint"))).alias("at_micros"))
+
+
+def chromium_shortcuts(shortcuts: DataFrame) -> DataFrame:
+    """What was typed into the address bar and where it led; ids may be text."""
+    return shortcuts.select(F.col("id").cast("string").alias("shortcut_id"), _col(shortcuts, "text", "string").alias("term"), _col(shortcuts, "url", "string").alias("url"), _col(shortcuts, "contents", "string").alias("title"), times.chrome_micros(times.nonzero(_col(shortcuts, "last_access_time", "bigint"))).alias("at_micros"), _col(shortcuts, "number_of_hits", "bigint").alias("hits"))
+
+
+#: Settings worth a record, as paths of the settings document.
+PREFERENCES = ("profile.name", "profile.created_by_version", "profile.last_engagement_time", "download.default_directory", "savefile.default_directory", "homepage", "session.startup_urls", "account_info", "google.services.last_username", "intl.accept_languages", "signin.allowed", "sync.requested")
+
+
+def chromium_preferences(documents: DataFrame, content: str = "content", most_bytes: int = 32 * 1024 * 1024) -> DataFrame:
+    """Selected settings of each document; documents over the bound or unreadable give none."""
+    small = documents.where(F.octet_length(content) <= most_bytes).withColumn("v", F.try_parse_json(F.col(content).cast("string")))
+    pairs = F.array(*[F.struct(F.lit(p).alias("setting"), F.try_variant_get("v", f"$.{p}", "string").alias("value")) for p in PREFERENCES])
+    return small.select(*[c for c in documents.columns if c != content], F.explode(F.filter(pairs, lambda p: p.value.isNotNull())).alias("p")).select("*", "p.setting", "p.value").drop("p")
+
+
+def firefox_urls(places: DataFrame) -> DataFrame:
+    """Places, last visited first, those never visited at the end."""
+    last = F.coalesce(_col(places, "last_visit_date", "bigint"), F.lit(0).cast("bigint"))
+    return places.orderBy(last.desc(), F.col("id").desc()).select(F.col("id").alias("url_id"), "url", _col(places, "title", "string").alias("title"), _col(places, "visit_count", "bigint").alias("visit_count"), F.nullif(last, F.lit(0).cast("bigint")).alias("at_micros"))
+
+
+def firefox_old_downloads(downloads: DataFrame) -> DataFrame:
+    return downloads.select("id", _col(downloads, "name", "string").alias("file_name"), _col(downloads, "source", "string").alias("url"), _col(downloads, "target", "string").alias("target_path"), _col(downloads, "startTime", "bigint").alias("start_micros"), _col(downloads, "endTime", "bigint").alias("end_micros"), labels.label(_col(downloads, "state", "bigint"), labels.FIREFOX_DOWNLOADS).alias("state"), labels.percent_complete(_col(downloads, "currBytes", "bigint"), _col(downloads, "maxBytes", "bigint")).alias("percent_complete"))
+
+
+def firefox_logins(documents: DataFrame, content: str = "content") -> DataFrame:
+    """Saved logins of a JSON document; what is encrypted stays so, times are milliseconds."""
+    one = "struct<id bigint, hostname string, formSubmitURL string, encryptedUsername string, encryptedPassword string, timeCreated bigint, timeLastUsed bigint, timesUsed bigint>"
+    rows = documents.select(F.explode(F.from_json(F.col(content).cast("string"), f"struct<logins: array<{one}>>").logins).alias("x")).select("x.*")
+    return rows.select("id", F.col("hostname").alias("origin_url"), F.col("formSubmitURL").alias("action_url"), F.char_length("encryptedUsername").alias("username_cipher_chars"), F.char_length("encryptedPassword").alias("password_cipher_chars"), (F.col("timeCreated") * 1000).alias("created_micros"), (F.col("timeLastUsed") * 1000).alias("used_micros"), F.col("timesUsed").alias("times_used"))
+
+
+def firefox_cookies(cookies: DataFrame) -> DataFrame:
+    micros = lambda c: F.nullif(_col(cookies, c, "bigint"), F.lit(0).cast("bigint"))
+    return cookies.select("id", F.col("host").alias("host_key"), "name", micros("creationTime").alias("created_micros"), micros("lastAccessed").alias("used_micros"), (micros("expiry") * 1_000_000).alias("expires_micros"), *[(_col(cookies, c, "bigint") == 1).alias(n) for c, n in (("isSecure", "is_secure"), ("isHttpOnly", "is_httponly"))], _col(cookies, "value", "string").alias("value"))
+
+
+def safari_urls(items: DataFrame) -> DataFrame:
+    return items.orderBy(F.coalesce(_col(items, "visit_count", "bigint"), F.lit(0)).desc(), F.col("id").desc()).select(F.col("id").alias("url_id"), "url", _col(items, "visit_count", "bigint").alias("visit_count"), _col(items, "domain_expansion", "string").alias("domain"))
+
+
+#: Names of a profile's files, the main one first.
+PROFILE_FILES = {
+    "chromium": ("History", "Login Data", "Cookies", "Web Data", "Bookmarks", "Preferences", "Shortcuts"),
+    "firefox": ("places.sqlite", "formhistory.sqlite", "logins.json", "cookies.sqlite", "downloads.sqlite"),
+    "safari": ("History.db", "Bookmarks.plist", "Downloads.plist", "Cookies.binarycookies"),
+}
+
+
+def profile_files(entries: DataFrame) -> DataFrame:
+    """Indexed entries that belong to browser profiles, side files included: family, profile folder, file.
+
+    Cookies below a ``Network`` folder belong to the profile above it and come before others of their name.
+    """
+    path = text.source_path(F.coalesce(F.col("logical_path"), F.lit("")))
+    name = F.col("entry_name")
+    base = F.regexp_replace(name, r"-(?:wal|shm|journal)$", "")
+    family = F.lit(None).cast("string")
+    for f, names in PROFILE_FILES.items():
+        family = F.coalesce(family, F.when(base.isin(*names), f))
+    folder = F.regexp_replace(path, r"/?[^/]*$", "")
+    network = folder.endswith("/Network")
+    return entries.select("entry_id", "evidence_id", family.alias("family"), F.when(network, F.regexp_replace(folder, "/Network$", "")).otherwise(folder).alias("profile"), name.alias("file"), F.when(network, 0).otherwise(1).alias("preference"), text.browser_brand(path).alias("brand")).where("family is not null")
+
+
+def with_source(stream: DataFrame, files: DataFrame, artifact: str = "source_file") -> DataFrame:
+    """Records with the indexed entry they came from: by file name within the profile, the preferred one of several."""
+    best = files.groupBy(F.col("file").alias(artifact), "profile").agg(F.min_by("entry_id", F.struct("preference", "entry_id")).alias("source_entry_id"), F.min("brand").alias("brand"))
+    key = F.concat(F.lit("browser-profile:v1:"), F.col("profile"))
+    return stream.join(best, [artifact, "profile"], "left").withColumn("derivation_key", key).withColumn("record_prefix", text.short_key(key))

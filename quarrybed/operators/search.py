@@ -144,3 +144,10 @@ def chunked(streams: DataFrame, size: int, overlap: int) -> DataFrame:
     lead = F.least(F.col("chunk_offset"), F.lit(CONTEXT).cast("bigint"))
     own = F.least(F.octet_length("bytes") - F.col("chunk_offset"), F.lit(size)).cast("bigint")
     return cut.select("source_id", "chunk_offset", own.alias("own_length"), lead.alias("lead"), F.substr("bytes", (F.col("chunk_offset") - lead + 1).cast("int"), (lead + size + overlap + CONTEXT).cast("int")).alias("bytes"))
+
+
+def after_cursor(hits: DataFrame, offset: int, encoding_rank: int, encoding: str) -> DataFrame:
+    """Hits that follow a cursor in order of offset, rank and encoding; the offset also narrows plainly."""
+    key = F.struct("offset", "encoding_rank", "encoding")
+    at = F.struct(F.lit(offset).cast("bigint").alias("offset"), F.lit(encoding_rank).alias("encoding_rank"), F.lit(encoding).alias("encoding"))
+    return hits.where((F.col("offset") >= offset) & (key > at))

@@ -35,6 +35,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only for local tests without it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    where = where or spark.sparkContext.getCheckpointDir()
     if where:
         return where
     if not (spark.sparkContext.master or "").startswith("local"):
