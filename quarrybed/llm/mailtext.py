@@ -131,6 +131,7 @@ def scores(lines: list[str], parent: str, parent_whole: bool, sender: str = "")
             return 4.0 if near >= 1 and (sure or near >= 2 or not m[1].endswith(".")) else (1.0 if sure and "@" in m[1] else -4.0)
         return -4.0
 
+    intros = [intro(i) for i in range(n)]
     out = []
     for i in range(n):
         s, line = [0.0] * 7, text[i].strip()
@@ -140,7 +141,7 @@ def scores(lines: list[str], parent: str, parent_whole: bool, sender: str = "")
         # quotation marks: one kind of mark in a block, or after an introduction; a lone one may be the sender's own
         mark = marks[i]
         around = sum(1 for j in (i - 1, i + 1) if 0 <= j < n and marks[j][:1] == mark[:1]) if mark else 0
-        led = any(intro(j) > 2 for j in range(max(0, i - 2), i)) if mark else False
+        led = any(x > 2 for x in intros[max(0, i - 2) : i]) if mark else False
         if mark:
             s[QUOTE] += 3.5 if around else (2.5 if led else (1.0 if mark[0] == ">" else -0.5))
             s[QUOTE] += 1.0 if len(mark) > 1 else 0.0
@@ -152,8 +153,8 @@ def scores(lines: list[str], parent: str, parent_whole: bool, sender: str = "")
             s[QUOTE] -= 5.0
             if any(marks[j] for j in (i - 1, i + 1) if 0 <= j < n) and i and marks[i - 1] and i + 1 < n and marks[i + 1] and size < 40 and bare[i - 1] and not _END.search(bare[i - 1]):
                 s[QUOTE] += 4.0  # the rest of a quoted line that was wrapped without its mark
-        s[INTRO] += intro(i) if not mark else -4.0
-        if intro(i) > 2 and not mark:
+        s[INTRO] += intros[i] if not mark else -4.0
+        if intros[i] > 2 and not mark:
             s[NEW] -= 3.0
             s[SIGN] -= 3.0
             s[BARE] -= 3.0
@@ -236,13 +237,13 @@ def label_lines(text: str | None, parent: str | None = None, parent_whole: bool
         greeted, header = bool(_GREETING.match(bare)), bool(_HEAD.match(bare) or _INTRO[-2].match(bare) or _INTRO[-1].match(bare))
         now: dict = {}
         for (mode, j), (sum_, _) in best.items():
-            row = TRANSITIONS[j]
-            for k in range(len(STATES)):
-                value, then = sum_ + row[k] + s[k], mode
+            for k, (step, value) in enumerate(zip(TRANSITIONS[j], s)):
+                value += sum_ + step
+                then = mode
                 if k == NEW:
                     value += (GREETED[j] if greeted else 0.0) + (REOPENED if mode == 2 else 0.0)
-                    then = max(mode, 1)
-                elif mode == 1 and (k in (SIGN, DISC) or k == INTRO and header):
+                    then = mode or 1
+                elif mode == 1 and (k == SIGN or k == DISC or header and k == INTRO):
                     then = 2
                 old = now.get((then, k))
                 if old is None or value > old[0]:
