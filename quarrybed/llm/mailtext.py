@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -223,38 +224,51 @@ def scores(lines: list[str], parent: str, parent_whole: bool, sender: str = "")
     return out
 
 
+def _steps(greeted: bool, header: bool) -> np.ndarray:
+    """Scores of steps between (mode, state) pairs. Beside its state a line has a mode: 0 before any new text, 1 in it, 2
+    after the sender closed it by signing, a disclaimer or a forwarded message's header."""
+    width = len(STATES)
+    out = np.full((3 * width, 3 * width), -np.inf)
+    for mode in range(3):
+        for j in range(width):
+            for k in range(width):
+                value, then = TRANSITIONS[j][k], mode
+                if k == NEW:
+                    value += (GREETED[j] if greeted else 0.0) + (REOPENED if mode == 2 else 0.0)
+                    then = mode or 1
+                elif mode == 1 and (k in (SIGN, DISC) or header and k == INTRO):
+                    then = 2
+                out[mode * width + j, then * width + k] = value
+    return out
+
+
+_STEPS = {(g, h): _steps(g, h) for g in (False, True) for h in (False, True)}
+_ALL = np.arange(3 * len(STATES))
+
+
 def label_lines(text: str | None, parent: str | None = None, parent_whole: bool = False, sender: str | None = None) -> list[int]:
     """The state of each line of ``text`` (split at line feeds) by the best path through the model."""
     if not text:
         return []
     lines = text.split("\n")
     table = scores(lines, answered(parent), parent_whole, sender or "")
-    # Beside its state a line has a mode: 0 before any new text, 1 in it, 2 after the sender closed it.
-    best = {(int(k == NEW), k): (START[k] + table[0][k], None) for k in range(len(STATES))}
-    trail = [best]
+    width = len(STATES)
+    best = np.full(3 * width, -np.inf)
+    for k in range(width):
+        best[(width if k == NEW else 0) + k] = START[k] + table[0][k]
+    back = []
     for line, s in zip(lines[1:], table[1:]):
         bare = clean(line).strip()
         greeted, header = bool(_GREETING.match(bare)), bool(_HEAD.match(bare) or _INTRO[-2].match(bare) or _INTRO[-1].match(bare))
-        now: dict = {}
-        for (mode, j), (sum_, _) in best.items():
-            for k, (step, value) in enumerate(zip(TRANSITIONS[j], s)):
-                value += sum_ + step
-                then = mode
-                if k == NEW:
-                    value += (GREETED[j] if greeted else 0.0) + (REOPENED if mode == 2 else 0.0)
-                    then = mode or 1
-                elif mode == 1 and (k == SIGN or k == DISC or header and k == INTRO):
-                    then = 2
-                old = now.get((then, k))
-                if old is None or value > old[0]:
-                    now[then, k] = (value, (mode, j))
-        trail.append(now)
-        best = now
-    at = max(best, key=lambda x: best[x][0])
-    path = []
-    for step in reversed(trail):
-        path.append(at[1])
-        at = step[at][1]
+        ways = best[:, None] + _STEPS[greeted, header]
+        step = ways.argmax(axis=0)
+        back.append(step)
+        best = ways[step, _ALL] + np.tile(s, 3)
+    at = len(best) - 1 - int(best[::-1].argmax())  # among equals the one with new text
+    path = [at % width]
+    for step in reversed(back):
+        at = int(step[at])
+        path.append(at % width)
     return path[::-1]
 
 
