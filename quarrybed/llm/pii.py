@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -133,7 +134,9 @@ _AFTER = re.compile(r"^\s*(?:<[^>\s]+@|\[mailto:|\[\d{4}-|said on|wrote|writes|s
 _MAILED = re.compile(r"^\s*(?:<[^>\s]+@|\[mailto:)")
 
 
+@lru_cache(maxsize=65_536)
 def fold(word: str) -> str:
+    """Plain lower-case letters of a word, umlauts spelled out as in addresses."""
     w = word.lower().replace("ß", "ss").replace("ä", "ae").replace("ö", "oe").replace("ü", "ue").replace("ø", "o")
     return re.sub(r"[^a-z]", "", "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)))
 
@@ -167,7 +170,7 @@ class Lexicon:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int, float]]:
-    for pattern in (EMAIL, EMAIL_WORDS):
+    for pattern in (EMAIL, EMAIL_WORDS) if " dot " in text.lower() else (EMAIL,):
         for m in pattern.finditer(text):
             score = 4.0
             start = m.start()
@@ -198,6 +201,8 @@ def _phones(text: str) -> Iterator[tuple[int, int, float]]:
 
 
 def _ids(text: str) -> Iterator[tuple[int, int, float]]:
+    if not re.search(r"\d", text):
+        return
     labels = [(m.start(), m.end()) for m in _ID_LABEL.finditer(text)]
     for name, pattern, valid, shape in IDS:
         for m in pattern.finditer(text):
