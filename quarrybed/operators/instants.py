@@ -111,13 +111,18 @@ def _explode_zones(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def zone_table(zones: DataFrame) -> DataFrame:
-    """The exploded offset intervals of the zones in column ``zone``: at most 600 names of the IANA list, with a few
+    """The exploded offset intervals of the zones in column ``zone``, spelled as in the IANA list: at most 600 names of the IANA list, with a few
     rows for each of 201 years; under 20 MB even if every zone of the world occurs."""
-    known = sorted(zoneinfo.available_timezones())
-    names = zones.where(F.col("zone").isin(known)).distinct()
+    names = zones.where("zone is not null").distinct()
     return names.mapInPandas(_explode_zones, "seg_year int, seg_from bigint, seg_to bigint, seg_offset int, seg_matches int, seg_zone string")
 
 
+def _iana(name: Column) -> Column:
+    """The zone of a name in any case as the IANA list spells it, else null. One literal holds the whole list."""
+    listed = ",".join(f"{z.lower()}:{z}" for z in sorted(zoneinfo.available_timezones()))
+    return F.try_element_at(F.str_to_map(F.lit(listed), F.lit(","), F.lit(":")), F.lower(name))
+
+
 def _let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -126,7 +131,6 @@ def _let(value: Column, body) -> Column:
 def parse(text: Column, abbreviations: dict[str, int]) -> Column:
     """Text to STRUCT<micros, local_micros, zone>: a stated instant, or a local time with the zone it names ('' for
     none), or all null. ``abbreviations`` maps upper-case letters to minutes."""
-    known = sorted({z.lower() for z in zoneinfo.available_timezones()})
     # a month written in letters is its usual three letters or its whole name
     names = F.create_map(*[F.lit(x) for i, (a, b) in enumerate(zip(_MONTHS, _LONG)) for x in ((a, i + 1, b, i + 1) if a != b else (a, i + 1))], F.lit("sept"), F.lit(9))
     none = F.lit(None).cast("bigint")
@@ -164,7 +168,7 @@ def parse(text: Column, abbreviations: dict[str, int]) -> Column:
         zone = F.get(p, F.lit(8))
 
         def done(x: Column) -> Column:
-            named = F.when(x.m.isNull() & ((zone == "") | F.lower(zone).isin(known)), zone)
+            named = F.when(x.m.isNull() & ((zone == "") | _iana(zone).isNotNull()), zone)
             return F.struct((x.t - x.m * 60_000_000).alias("micros"), F.when(named.isNotNull(), x.t).alias("local_micros"), named.alias("zone"))
 
         return _let(F.struct(local(p).alias("t"), minutes(zone).alias("m")), done)
@@ -197,12 +201,9 @@ def resolve(df: DataFrame, value: Column, out: str, hints: list[Column], abbrevi
     """
     if numeric:
         return df.withColumn(out, number_micros(value))
-    known = sorted(zoneinfo.available_timezones())
-    lower = {z.lower(): z for z in known}
     df = df.withColumn("__qb_p", parse(value, abbreviations))
-    hint = F.coalesce(*[F.when(h.isin(known), h) for h in hints]) if hints else F.lit(None).cast("string")
-    names = F.create_map(*[F.lit(x) for z in sorted(k for k in lower if lower[k] != k) for x in (z, lower[z])])
-    named = F.when(F.col("__qb_p.zone") != "", F.coalesce(F.try_element_at(names, F.lower(F.col("__qb_p.zone"))), F.lower(F.col("__qb_p.zone"))))
+    hint = F.coalesce(*[_iana(h) for h in hints]) if hints else F.lit(None).cast("string")
+    named = F.when(F.col("__qb_p.zone") != "", _iana(F.col("__qb_p.zone")))
     df = df.withColumn("__qb_zone", F.when(F.col("__qb_p.local_micros").isNotNull(), F.coalesce(named, hint)))
     df = df.withColumn("__qb_local", F.col("__qb_p.local_micros"))
     year = F.year(F.timestamp_micros(F.col("__qb_local")))
