@@ -510,6 +510,23 @@ def eml_parse(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("source_id").alias("entry_id"), "from_header", "subject", "message_id").distinct()
 
 
+def mail_header(name: str, column: str):
+    """A header line: nothing if null, printable ASCII as it is, else (or with '=?' in it) base64 encoded words, a line each."""
+    c = F.col(column)
+    words = F.transform(F.regexp_extract_all(c, F.lit("(?s).{1,10}"), F.lit(0)), lambda x: F.concat(F.lit("=?utf-8?b?"), F.base64(F.encode(x, "UTF-8")), F.lit("?=")))
+    value = F.when(c.rlike(r"^[ -~]*\z") & ~c.contains("=?"), c).otherwise(F.array_join(words, "\r\n "))
+    return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
+
+
+@query()
+def eml_parse_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every mail put into transport form and parsed again, whatever its headers hold."""
+    headers = {"From": "from_header", "Subject": "subject", "Message-ID": "message_id"}
+    raw = F.concat(*[mail_header(k, c) for k, c in headers.items()], F.lit("\r\n"), F.coalesce("body_preview", F.lit("")))
+    out = decode(table(spark, d, "rfc822_metadata").select("entry_id", F.encode(raw, "UTF-8").alias("bytes")).distinct(), "mail_message", "entry_id", "bytes")
+    return out.select(F.col("source_id").alias("entry_id"), "from_header", "subject", "message_id").distinct()
+
+
 @query()
 def secret_leads(spark: SparkSession, d: str) -> DataFrame:
     return artifacts.secret_leads(table(spark, d, "documents"), "doc_id", "text")
