@@ -93,6 +93,13 @@ def content_offset(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", text.byte_find(F.col("text").cast("binary"), b"hashed again").alias("match_offset")).where("match_offset is not null")
 
 
+@query("SELECT doc_id, CAST(octet_length(encode(left(text, instr(text, 'hashed again') - 1))) AS BIGINT) AS match_offset FROM documents WHERE instr(text, 'hashed again') > 0")
+def content_offset_all(spark: SparkSession, d: str) -> DataFrame:
+    """Byte offset of the first exact match, in texts of any characters."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", text.byte_find(F.col("text").cast("binary"), b"hashed again").alias("match_offset")).where("match_offset is not null")
+
+
 @query("SELECT doc_id, CAST((length(text) - length(replace(text, 'scan', ''))) / 4 AS BIGINT) AS hits FROM documents WHERE contains(text, 'scan')")
 def raw_exact_hits(spark: SparkSession, d: str) -> DataFrame:
     """Matches of a byte pattern in chunks that overlap, counted per stream."""

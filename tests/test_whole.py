@@ -1,5 +1,7 @@
 """Queries that run over all rows of a table, compared with brute force on rows that narrower queries leave out."""
 
+import duckdb
+
 from quarrybed.plans import catalogue
 
 
@@ -10,3 +12,13 @@ def test_all_mails(spark, tmp_path):
     spark.createDataFrame(rows + rows[:2], "entry_id bigint, from_header string, subject string, message_id string, body_preview string").write.parquet(f"{tmp_path}/rfc822_metadata.parquet")
     got = {tuple(r) for r in catalogue.eml_parse_all(spark, str(tmp_path)).collect()}
     assert got == {(i, *(h if h is None else " ".join(h.split()) for h in hs)) for i, hs in enumerate(heads)}
+
+
+def test_offsets_in_all_texts(spark, tmp_path):
+    texts = ["hashed again", "über 😀 hashed again, hashed again", "e\u0301 哰嚬 hashed again", "plain hashed again", "Hashed again ß", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(i, t.encode().find(b"hashed again")) for i, t in enumerate(texts) if t and "hashed again" in t}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert want == set(con.execute(catalogue.oracle_sql()["content_offset_all"]).fetchall())
+    assert {tuple(r) for r in catalogue.content_offset_all(spark, str(tmp_path)).collect()} == want
