@@ -1,7 +1,8 @@
 """Per-document text statistics, and from them whether a text is natural prose, a list, a table or junk.
 
 One pass over each text gives word, line, paragraph and repetition statistics; the characters of each line are counted
-as list item, record, prose or noise. The class follows from combined rules on these shares. Every text is judged on its
+as list item, record, prose or noise. The class follows from combined rules on these shares; repeated lines, paragraphs and
+runs of words make junk. Every text is judged on its
 own and read whole, so nothing is shuffled.
 """
 
@@ -96,6 +97,37 @@ def _line_kind(line: str, common: frozenset[str]) -> str:
     return "prose"
 
 
+#: Share of the characters from which on repetition makes a text junk: as if all of it stood there four times.
+REPEATED = 0.75
+
+
+def _again(weights: dict[str, int]) -> float:
+    """Share of the characters in lines or paragraphs that stood before."""
+    return 1 - sum(map(len, weights)) / max(1, sum(len(x) * k for x, k in weights.items()))
+
+
+def looped(text: str) -> float:
+    """Share of the characters in runs of tokens that stood before, or 0 where it lies below ``REPEATED``.
+
+    A run has 24 tokens, fewer in short texts: a text in a loop is one long repeat, while lists, chats and phrases drawn
+    again and again from the same stock seldom come in the same order for so long. Tokens hold digits and marks, so records
+    and numbered items that differ in a number are different.
+    """
+    tokens = text.lower().split()
+    size = sum(map(len, tokens))
+    if len(tokens) < 8 or sum(map(len, set(tokens))) > (1 - REPEATED) * size:
+        return 0.0
+    n = min(24, max(5, len(tokens) // 3))
+    seen, covered, upto = set(), 0, 0
+    for i, gram in enumerate(zip(*(tokens[k:] for k in range(n)))):
+        if gram in seen:
+            covered += sum(map(len, tokens[max(i, upto) : i + n]))
+            upto = i + n
+        else:
+            seen.add(gram)
+    return covered / size if covered >= REPEATED * size else 0.0
+
+
 def describe(text: str | None, common: frozenset[str]) -> tuple:
     """The values of ``STATS`` for one text; ``noise_share`` is taken where common words are few or, among
     records, where symbols or letters are strange, else it is 0. Null, empty and blank texts have no words, zero shares and class junk."""
@@ -139,8 +171,16 @@ def describe(text: str | None, common: frozenset[str]) -> tuple:
     distinct = len(counts) / max(1, n)
     few = n >= 8 and (len(counts) <= 3 or sum(k for _, k in counts.most_common(4)) >= 0.9 * n)
     marked = shares["list"] / total > 0.5 and bool(marks * 2 > len(lines))
+    dup_lines, dup_paragraphs = 1 - len(repeated_lines) / len(lines), 1 - len(paragraphs) / max(1, sum(paragraphs.values()))
+    # items of lists repeat in any order, records only in their words
+    again = looped(text) >= REPEATED
+    if not marked and listed <= 0.5:
+        again |= any(share >= 0.5 and _again(c) >= REPEATED for share, c in ((dup_lines, repeated_lines), (dup_paragraphs, paragraphs)))
+        again |= table <= 0.5 and top >= 0.5
     if table > 0.5 and strange and known < 0.2 and (gib > 0.5 or symbols > 0.45):
         kind = "junk"
+    elif again:
+        kind = "junk"
     elif table > 0.5 and n and not few:
         kind = "table"
     elif not marked and (few or n < size / 60 or (len(repeated_lines) <= 2 and len(lines) >= 6)):
@@ -158,7 +198,7 @@ def describe(text: str | None, common: frozenset[str]) -> tuple:
     else:
         kind = "prose"
     round_ = lambda x: round(float(x), 6)
-    return (n, round_(chars / n if n else 0), round_(symbols), round_(ends), round_(known), round_(1 - len(repeated_lines) / len(lines)), round_(1 - len(paragraphs) / max(1, sum(paragraphs.values()))), round_(top), round_(distinct), round_(listed), round_(table), round_(gib), kind)
+    return (n, round_(chars / n if n else 0), round_(symbols), round_(ends), round_(known), round_(dup_lines), round_(dup_paragraphs), round_(top), round_(distinct), round_(listed), round_(table), round_(gib), kind)
 
 
 def quality_stats(df: DataFrame, common_words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
