@@ -202,6 +202,24 @@ def tree_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy("parts", "logical_path").limit(500).select("logical_path", (F.size("parts") - 1).cast("bigint").alias("indent"), F.element_at("parts", -1).alias("line"))
 
 
+#: Lines of the tree of one source in a report.
+TREE_LINES = 2000
+
+
+@query(rf"""
+WITH p AS (SELECT DISTINCT evidence_id, logical_path, list_filter(string_split(replace(logical_path, '\', '/'), '/'), lambda x: x <> '') AS parts FROM filesystem_entries),
+r AS (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY parts, logical_path) AS place, count(*) OVER (PARTITION BY evidence_id) AS total FROM p WHERE len(parts) > 0)
+SELECT evidence_id, place, logical_path, len(parts) - 1 AS indent, parts[-1] AS line, total, greatest(total - {TREE_LINES}, 0) AS omitted FROM r WHERE place <= {TREE_LINES}""")
+def tree_lines_omitted(spark: SparkSession, d: str) -> DataFrame:
+    """The directory tree of each source up to a report's bound, and how many lines were left out."""
+    parts = text.path_parts(F.col("logical_path"))
+    rows = table(spark, d, "filesystem_entries").select("evidence_id", "logical_path").distinct().withColumn("parts", parts).where("size(parts) > 0")
+    top = rows.withColumn("place", F.row_number().over(Window.partitionBy("evidence_id").orderBy("parts", "logical_path"))).where(F.col("place") <= TREE_LINES)
+    counts = rows.groupBy(F.col("evidence_id").alias("source")).agg(F.count("*").alias("total"))
+    counted = top.join(counts, F.col("evidence_id").eqNullSafe(F.col("source")))
+    return counted.select("evidence_id", F.col("place").cast("bigint").alias("place"), "logical_path", (F.size("parts") - 1).cast("bigint").alias("indent"), F.element_at("parts", -1).alias("line"), "total", F.greatest(F.col("total") - TREE_LINES, F.lit(0)).alias("omitted"))
+
+
 @query("SELECT event_id, epoch_us(ts) AS at_micros FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00'")
 def timeline_range(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").where(F.col("ts").between(F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-12 12:00:00").cast("timestamp")))

@@ -22,3 +22,15 @@ def test_offsets_in_all_texts(spark, tmp_path):
     con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert want == set(con.execute(catalogue.oracle_sql()["content_offset_all"]).fetchall())
     assert {tuple(r) for r in catalogue.content_offset_all(spark, str(tmp_path)).collect()} == want
+
+
+def test_trees_say_what_they_omit(spark, tmp_path):
+    paths = [(1, f"/v/d{i % 50:02}/f{i:04}.txt") for i in range(2003)] + [(2, "\\\\a\\b"), (2, "a/b"), (2, "a/b"), (2, "//"), (2, None), (None, "/x/y")]
+    spark.createDataFrame(paths, "evidence_id bigint, logical_path string").write.parquet(f"{tmp_path}/filesystem_entries.parquet")
+    split = {(e, tuple(x for x in p.replace("\\", "/").split("/") if x), p) for e, p in paths if p}
+    want = set()
+    for e in (1, 2, None):
+        rows = sorted(r[1:] for r in split if r[0] == e and r[1])
+        want |= {(e, k, p, len(parts) - 1, parts[-1], len(rows), max(len(rows) - 2000, 0)) for k, (parts, p) in enumerate(rows[:2000], 1)}
+    got = [tuple(r) for r in catalogue.tree_lines_omitted(spark, str(tmp_path)).collect()]
+    assert len(got) == 2003 and set(got) == want and {r[6] for r in got if r[0] == 1} == {3}
