@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,100 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
+_NUMBER = re.compile(r"(-?(?:0|[1-9][0-9]*))(\.[0-9]+)?([eE][-+]?[0-9]+)?")
+_BLANKS = re.compile(r"[ \t\n\r]*")
+_LITERALS = {"t": ("true", True), "f": ("false", False), "n": ("null", None)}
+
+
+def _key(text: str, at: int) -> tuple[str, int]:
+    """The key at ``at`` and where its value begins."""
+    if text[at : at + 1] != '"':
+        raise ValueError("no key")
+    key, at = scanstring(text, at + 1, True)
+    at = _BLANKS.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError("no colon")
+    return key, _BLANKS.match(text, at + 1).end()
+
+
+def read_deep(text: str):
+    """``json.loads`` without NaN and Infinity, with a list as its stack: depth is bounded by memory only."""
+    skip = lambda i: _BLANKS.match(text, i).end()
+    around: list = []
+    keys: list[str] = []
+    at = skip(0)
+    while True:
+        ch = text[at : at + 1]
+        if ch == "{" or ch == "[":
+            value = {} if ch == "{" else []
+            at = skip(at + 1)
+            if text[at : at + 1] != ("}" if ch == "{" else "]"):
+                around.append(value)
+                if ch == "{":
+                    key, at = _key(text, at)
+                    keys.append(key)
+                continue
+            at += 1
+        elif ch == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif ch in _LITERALS and text.startswith(_LITERALS[ch][0], at):
+            word, value = _LITERALS[ch]
+            at += len(word)
+        elif m := _NUMBER.match(text, at):
+            value, at = float(m[0]) if m[2] or m[3] else int(m[0]), m.end()
+        else:
+            raise ValueError("no value")
+        # the value is whole: put it where it belongs, and close what ends after it
+        while True:
+            at = skip(at)
+            if not around:
+                if at < len(text):
+                    raise ValueError("more text")
+                return value
+            top, ch = around[-1], text[at : at + 1]
+            if isinstance(top, dict):
+                top[keys.pop()] = value
+            else:
+                top.append(value)
+            if ch == ",":
+                at = skip(at + 1)
+                if isinstance(top, dict):
+                    key, at = _key(text, at)
+                    keys.append(key)
+                break
+            if ch != ("}" if isinstance(top, dict) else "]"):
+                raise ValueError("not closed")
+            value = around.pop()
+            at += 1
+
+
+def _loads(text: str):
+    try:
+        return json.loads(text, parse_constant=_refuse)
+    except RecursionError:
+        return read_deep(text)
+
+
+def _dumps(value: dict) -> str:
+    """``json.dumps`` of objects in objects, of any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out, work = [], [value]
+    while work:
+        x = work.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        out.append("{")
+        work.append("}")
+        for n, (k, v) in reversed(list(enumerate(x.items()))):
+            work.append(v if isinstance(v, dict) else json.dumps(v, ensure_ascii=False))
+            work.append((", " if n else "") + json.dumps(k, ensure_ascii=False) + ": ")
+    return "".join(out)
+
+
 def read_record(text: str | None):
     """The parsed record, or None: of no text, unreadable text, or text that is no object and no array.
 
@@ -33,10 +128,10 @@ def read_record(text: str | None):
     if text is None:
         return None
     try:
-        value = json.loads(text.lstrip("﻿"), parse_constant=_refuse)
+        value = _loads(text.lstrip("﻿"))
         if isinstance(value, str):
-            value = json.loads(value, parse_constant=_refuse)
-    except (ValueError, RecursionError):
+            value = _loads(value)
+    except ValueError:
         return None
     return value if isinstance(value, dict | list) else None
 
@@ -54,7 +149,7 @@ def visit(record, list_keys: frozenset[str]) -> Iterator[tuple[str, str, str, st
             stack.extend((v, f"{path}[{i}]", tag, parent, "array") for i, v in zip(range(len(value) - 1, -1, -1), reversed(value)) if isinstance(v, dict | list))
         elif isinstance(value, dict):
             if place == "array":
-                yield tag, path, parent, json.dumps(_own(value, list_keys), ensure_ascii=False)
+                yield tag, path, parent, _dumps(_own(value, list_keys))
                 parent = path
             inner = []
             for k, v in value.items():
