@@ -66,8 +66,11 @@ def chromium_autofill(autofill: DataFrame, dates: DataFrame | None = None) -> Da
     return j.select("name", "value", F.coalesce("count", "n").alias("uses"), F.coalesce("date_created", "first_date").alias("first_used"), F.coalesce("date_last_used", "last_date").alias("last_used"))
 
 
-def chromium_downloads(downloads: DataFrame, chains: DataFrame | None = None, keep: int = 10) -> DataFrame:
-    """Downloads with the chain of addresses they came by, state, danger, duration and outcome."""
+def chromium_downloads(downloads: DataFrame, chains: DataFrame | None = None, keep: int | None = None) -> DataFrame:
+    """Downloads with the chain of addresses they came by, state, danger, duration and outcome.
+
+    Chains are whole; if only the first ``keep`` addresses are asked for, ``chain_omitted`` counts the others.
+    """
     cols = {"target_path": "string", "referrer": "string", "mime_type": "string", "start_time": "bigint", "end_time": "bigint", "received_bytes": "bigint", "total_bytes": "bigint", "state": "bigint", "danger_type": "bigint", "interrupt_reason": "bigint"}
     x = downloads.select("id", *[_col(downloads, c, k).alias(c) for c, k in cols.items()])
     if chains is not None:
@@ -156,11 +159,23 @@ def chromium_shortcuts(shortcuts: DataFrame) -> DataFrame:
 PREFERENCES = ("profile.name", "profile.created_by_version", "profile.last_engagement_time", "download.default_directory", "savefile.default_directory", "homepage", "session.startup_urls", "account_info", "google.services.last_username", "intl.accept_languages", "signin.allowed", "sync.requested")
 
 
-def chromium_preferences(documents: DataFrame, content: str = "content", most_bytes: int = 32 * 1024 * 1024) -> DataFrame:
-    """Selected settings of each document; documents over the bound or unreadable give none."""
-    small = documents.where(F.octet_length(content) <= most_bytes).withColumn("v", F.try_parse_json(F.col(content).cast("string")))
-    pairs = F.array(*[F.struct(F.lit(p).alias("setting"), F.try_variant_get("v", f"$.{p}", "string").alias("value")) for p in PREFERENCES])
-    return small.select(*[c for c in documents.columns if c != content], F.explode(F.filter(pairs, lambda p: p.value.isNotNull())).alias("p")).select("*", "p.setting", "p.value").drop("p")
+def chromium_preferences(documents: DataFrame, content: str = "content", most_bytes: int | None = None) -> DataFrame:
+    """Selected settings of each document; unreadable ones give none.
+
+    Documents of any length are read. With a bound, each document over it gives one row without a setting, with its
+    length as ``omitted_bytes``, which is null otherwise.
+    """
+    size = F.octet_length(content).cast("bigint")
+    over = F.lit(False) if most_bytes is None else F.coalesce(size > most_bytes, F.lit(False))
+    text_ = F.col(content).cast("string")
+    read = documents.withColumn("v", F.when(~over, F.try_parse_json(text_)))
+    # a variant holds at most 16 MiB
+    value = lambda p: F.when((size > 8 << 20) & F.col("v").isNull(), F.get_json_object(text_, f"$.{p}")).otherwise(F.try_variant_get("v", f"$.{p}", "string"))
+    pair = lambda setting, value, omitted: F.struct(setting.cast("string").alias("setting"), value.cast("string").alias("value"), omitted.cast("bigint").alias("omitted_bytes"))
+    none = F.lit(None)
+    pairs = F.filter(F.array(*[pair(F.lit(p), value(p), none) for p in PREFERENCES]), lambda p: p.value.isNotNull())
+    rows = F.when(over, F.array(pair(none, none, size))).otherwise(pairs)
+    return read.select(*[c for c in documents.columns if c != content], F.explode(rows).alias("p")).select("*", "p.setting", "p.value", "p.omitted_bytes").drop("p")
 
 
 def firefox_urls(places: DataFrame) -> DataFrame:

@@ -32,11 +32,13 @@ def bounded_sample(df: DataFrame, keys: list[str], value: str, order: str, keep:
     return counts.join(top, keys, "left").select(*keys, "sample", "total", F.greatest(F.col("total") - keep, F.lit(0)).alias("omitted"))
 
 
-def ordered_chain(df: DataFrame, keys: list[str], value: str, order: str, keep: int) -> DataFrame:
-    """First ``keep`` values in order (equal order falls to the value), first and last value, total and omitted count of each group."""
+def ordered_chain(df: DataFrame, keys: list[str], value: str, order: str, keep: int | None = None) -> DataFrame:
+    """First ``keep`` values, or all, in order (equal order falls to the value), first and last value, total and omitted count of each group."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
     g = df.groupBy(*keys).agg(pairs.alias("p"), F.min_by(value, F.struct(order, value)).alias("first_value"), F.max_by(value, F.struct(order, value)).alias("last_value"), F.count("*").alias("total"))
-    return g.select(*keys, F.slice(F.transform("p", lambda x: x.v), 1, keep).alias("chain"), "first_value", "last_value", "total", F.greatest(F.col("total") - keep, F.lit(0)).alias("omitted"))
+    values = F.transform("p", lambda x: x.v)
+    chain, omitted = (values, F.lit(0).cast("bigint")) if keep is None else (F.slice(values, 1, keep), F.greatest(F.col("total") - keep, F.lit(0)))
+    return g.select(*keys, chain.alias("chain"), "first_value", "last_value", "total", omitted.alias("omitted"))
 
 
 def keyset_page(df: DataFrame, order: list[str], after: tuple | None, size: int) -> DataFrame:
