@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrybed.functions.text import ascii_lower, slashes, windows_path
+from quarrybed.operators.nested import read_json
 from quarrybed.operators.records import first_wins
 
 PATH_KEYS = ("source_path_exact", "ntfs_path", "fat_path", "ext_path", "local_relative_path")
@@ -102,76 +103,133 @@ def key_fields(observations: DataFrame) -> DataFrame:
     return rows.groupBy("key_path").agg(F.map_from_entries(F.collect_list(F.struct("n", "v"))).alias("fields"))
 
 
+#: What keeps credentials, as (label, file names, name endings, parts of the folded path). The first row that fits names the store.
+CREDENTIAL_STORES = (
+    ("Windows account credential database", "sam security ntds.dit", "", ()),
+    ("Browser saved-login store", "logins.json key3.db key4.db", "", ("/login data$",)),
+    ("Password manager database", "", ".kdbx .psafe3", ()),
+    ("Windows Credential Manager or Vault store", "", ".vcrd .vpol", ("/microsoft/credentials/", "/microsoft/vault/")),
+    ("Windows DPAPI master-key material", "", "", ("/microsoft/protect/",)),
+    ("SSH private key", "", "", ("/[.]ssh/(?:.*/)?id_(?:rsa|dsa|ecdsa|ed25519)$",)),
+    ("AWS credential configuration", "", "", ("/[.]aws/credentials$",)),
+    ("Cloud authentication token store", "accesstokens.json azureprofile.json msal_token_cache.json", "", ()),
+)
+#: Files that hold secrets in plain text, by name or by path.
+PLAINTEXT_NAMES = "[.]env(?:[.][^/]*)?|[.]git-credentials|[.]netrc|[.]npmrc|[.]pypirc|pip[.]conf|(?:auto)?unattend[.]xml|accesstokens[.]json|application_default_credentials[.]json|msal_token_cache[.]json"
+PLAINTEXT_PATHS = "/[.]aws/(?:.*/)?credentials|/[.]docker/(?:.*/)?config[.]json|/[.]kube/(?:.*/)?config|/microsoft/usersecrets/(?:.*/)?secrets[.]json"
+#: Keys that are secrets as a whole, and last words of those that are.
+SECRET_KEY = re.compile(r"password|passwd|pwd|secret|token|auth|authorization|keymaterial|.*_(?:password|passwd|secret|token|(?:api|access|private|session)_key|connection_string)")
+
+
+def _file_of(path: Column, name: Column) -> Column:
+    """Folder and name as one folded path with a leading slash; null without a name."""
+    return F.concat(F.lit("/"), ascii_lower(slashes(F.concat(F.coalesce(path, F.lit("")), F.lit("/"), name))))
+
+
+def _store_pattern(names: str, endings: str, parts: tuple[str, ...]) -> str:
+    """One regular expression on the folded path for a row of the table."""
+    ways = [f"/(?:{'|'.join(map(re.escape, names.split()))})$"] * bool(names) + [f"(?:{'|'.join(map(re.escape, endings.split()))})$"] * bool(endings)
+    return "|".join([*ways, *parts])
+
+
 def credential_store(path: Column, name: Column) -> Column:
-    """What store of credentials a file is, or null. Order matters."""
-    n = ascii_lower(name)
-    p = ascii_lower(slashes(F.concat_ws("/", path, name)))
-    return F.when(n.isin("sam", "security", "ntds.dit"), "Windows account credential database").when(n.isin("login data", "logins.json", "key4.db", "key3.db"), "Browser saved-login store").when(n.endswith(".kdbx") | n.endswith(".psafe3"), "Password manager database").when(p.contains("/microsoft/credentials/") | p.contains("/microsoft/vault/") | n.endswith(".vcrd") | n.endswith(".vpol"), "Windows Credential Manager or Vault store").when(p.contains("/microsoft/protect/"), "Windows DPAPI master-key material").when(p.contains("/.ssh/") & n.isin("id_rsa", "id_dsa", "id_ecdsa", "id_ed25519"), "SSH private key").when(p.endswith("/.aws/credentials"), "AWS credential configuration").when(n.isin("accesstokens.json", "azureprofile.json", "msal_token_cache.json"), "Cloud authentication token store")
+    """What store of credentials a file is by ``CREDENTIAL_STORES``, or null. A null name is none."""
+    at = _file_of(path, name)
+    return F.coalesce(*[F.when(at.rlike(_store_pattern(*row)), label) for label, *row in CREDENTIAL_STORES])
 
 
 def plaintext_secret_source(path: Column, name: Column) -> Column:
-    n = ascii_lower(name)
-    p = ascii_lower(slashes(F.concat_ws("/", path, name)))
-    plain = n.isin(".env", ".git-credentials", ".netrc", ".npmrc", ".pypirc", "pip.conf", "unattend.xml", "autounattend.xml", "accesstokens.json", "application_default_credentials.json", "msal_token_cache.json") | n.startswith(".env.")
-    placed = ((n == "credentials") & p.contains("/.aws/")) | ((n == "config.json") & p.contains("/.docker/")) | ((n == "config") & p.contains("/.kube/")) | ((n == "secrets.json") & p.contains("/microsoft/usersecrets/"))
-    return plain | placed
+    """Whether a file is known to hold secrets in plain text. A null name is none."""
+    return F.coalesce(_file_of(path, name).rlike(f"(?:/(?:{PLAINTEXT_NAMES})|{PLAINTEXT_PATHS})$"), F.lit(False))
 
 
-_SECRETS = frozenset("password passwd pwd secret token auth authorization keymaterial".split())
-_SECRET_ENDS = tuple("_password _passwd _secret _token _api_key _access_key _private_key _client_secret _session_key _connection_string".split())
+def is_secret_key(key: str) -> bool:
+    """Whether a key names a secret: quotes and tag marks around it are dropped, ``-`` and ``.`` join words like ``_``."""
+    return bool(SECRET_KEY.fullmatch(re.sub(r"[-.]", "_", key.strip(" \t\r\n\"'<>/")).lower()))
 
 
-def is_secret_key(key: str) -> bool:
-    k = key.strip().strip("\"'<>/").lower().replace("-", "_").replace(".", "_")
-    return k in _SECRETS or k.endswith(_SECRET_ENDS)
+def _in_document(value) -> Iterator[tuple[str, str, str]]:
+    """Secrets of parsed JSON at any depth, with their path."""
+    stack = [(value, "$")]
+    while stack:
+        value, where = stack.pop()
+        inner = [(k, f"{where}.{k}", v) for k, v in value.items()] if isinstance(value, dict) else [(None, f"{where}[{i}]", v) for i, v in enumerate(value)] if isinstance(value, list) else []
+        for key, at, v in inner:
+            if isinstance(v, dict | list):
+                stack.append((v, at))
+            elif key is not None and v not in (None, "") and is_secret_key(key):
+                yield key, str(v), at
 
 
-def secrets_in(text: str) -> Iterator[tuple[str, str, str]]:
-    """(key, value, where) of secrets in JSON or XML at any depth, else in assignment lines."""
+def _in_addresses(text: str) -> Iterator[tuple[str, str, str]]:
+    """Passwords in addresses of stored version-control logins, one a line."""
+    for i, line in enumerate(text.splitlines(), 1):
+        m = re.match(r"\s*[A-Za-z][\w+.-]*://([^:@/\s]*):([^@/\s]+)@(\S+)", line)
+        if m:
+            yield f"{m[1]}@{m[3]}", m[2], f"line {i}"
+
+
+def _in_machines(text: str) -> Iterator[tuple[str, str, str]]:
+    """Passwords of network login files: words in pairs, whatever the lines."""
+    machine, login, words = "", "", [(w, i) for i, line in enumerate(text.splitlines(), 1) for w in line.partition("#")[0].split()]
+    at = 0
+    while at < len(words):
+        word, _ = words[at]
+        value, line = words[at + 1] if at + 1 < len(words) else ("", 0)
+        if word == "machine":
+            machine, login = value, ""
+        elif word == "default":
+            machine, login, at = "default", "", at - 1
+        elif word == "login":
+            login = value
+        elif word in ("password", "account") and value:
+            if word == "password":
+                yield f"{login}@{machine}", value, f"line {line}"
+        else:
+            at -= 1
+        at += 2
+
+
+def secrets_in(text: str, name: str | None = None) -> Iterator[tuple[str, str, str]]:
+    """(key, value, where) of secrets in JSON or XML at any depth, else in assignment lines.
+
+    The file's name chooses the reader of stored logins (``.git-credentials``, ``.netrc``), whose lines are no assignments.
+    """
+    leaf = re.split(r"[/\\]", name or "")[-1].lower()
+    if leaf in (".git-credentials", ".netrc"):
+        yield from _in_addresses(text) if leaf == ".git-credentials" else _in_machines(text)
+        return
     try:
-        stack = [(json.loads(text), "$")]
-    except (ValueError, RecursionError):
-        stack = []
-    if stack:
-        while stack:
-            value, where = stack.pop()
-            items = list(value.items()) if isinstance(value, dict) else list(enumerate(value)) if isinstance(value, list) else []
-            for k, v in items:
-                at = f"{where}.{k}" if isinstance(value, dict) else f"{where}[{k}]"
-                if isinstance(v, dict | list):
-                    stack.append((v, at))
-                elif isinstance(value, dict) and is_secret_key(k) and v not in (None, ""):
-                    yield k, str(v), at
+        yield from _in_document(read_json(text))
         return
+    except ValueError:
+        pass
     if text.lstrip().startswith("<") and "<!DOCTYPE" not in text.upper() and "<!ENTITY" not in text.upper():
         try:
             for e in ElementTree.fromstring(text).iter():
-                name = e.tag.rpartition("}")[2]
-                if is_secret_key(name) and (e.text or "").strip():
-                    yield name, e.text.strip(), name
+                tag = e.tag.rpartition("}")[2]
+                if is_secret_key(tag) and (e.text or "").strip():
+                    yield tag, e.text.strip(), tag
             return
         except ElementTree.ParseError:
             pass
     for i, line in enumerate(text.splitlines(), 1):
-        line = line.strip()
-        if not line or line[0] in "#;[":
-            continue
-        sep = "=" if "=" in line else ":"
-        key, found, value = line.partition(sep)
-        key, value = key.strip().removeprefix("export ").strip(), value.strip().strip("\"'")
-        if found and value and is_secret_key(key):
-            yield key, value, f"line {i}"
+        m = re.match(r"\s*(?![#;\[])(?:export\s+)?(?:([^=]*)=(.*)|([^:=]*):(.*))", line)
+        key, value = [(x or "").strip() for x in (m[1] or m[3], m[2] or m[4])] if m else ("", "")
+        if value.strip("\"'") and is_secret_key(key):
+            yield key, value.strip("\"'"), f"line {i}"
 
 
-def secret_leads(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``source_id, secret_key, secret_value, location`` of every secret; null and empty texts have none."""
+def secret_leads(df: DataFrame, id_col: str, text_col: str, name_col: str | None = None) -> DataFrame:
+    """``source_id, secret_key, secret_value, location`` of every secret; null and empty texts have none. ``name_col`` holds
+    file names, by which stored logins are read; without it, or where it is null, texts are read by their form alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *hit) for i, t in zip(*[c.to_pylist() for c in batch.columns]) if t for hit in secrets_in(t)]
+            rows = [(i, *hit) for i, t, n in zip(*[c.to_pylist() for c in batch.columns]) if t for hit in secrets_in(t, n)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k == 0 else pa.string()) for k in range(4)], ["source_id", "secret_key", "secret_value", "location"])
 
-    return df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, "source_id bigint, secret_key string, secret_value string, location string")
+    return df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), F.col(name_col).cast("string") if name_col else F.lit(None).cast("string")).mapInArrow(run, "source_id bigint, secret_key string, secret_value string, location string")
 
 
 def any_time_within(cols: list[Column], start: Column, end: Column) -> Column:

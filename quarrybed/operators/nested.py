@@ -93,7 +93,8 @@ def read_deep(text: str):
             at += 1
 
 
-def _loads(text: str):
+def read_json(text: str):
+    """Parsed JSON of any depth; ValueError where it is none."""
     try:
         return json.loads(text, parse_constant=_refuse)
     except RecursionError:
@@ -128,9 +129,9 @@ def read_record(text: str | None):
     if text is None:
         return None
     try:
-        value = _loads(text.lstrip("﻿"))
+        value = read_json(text.lstrip("﻿"))
         if isinstance(value, str):
-            value = _loads(value)
+            value = read_json(value)
     except ValueError:
         return None
     return value if isinstance(value, dict | list) else None

@@ -208,6 +208,10 @@ def test_artifact_rules(spark):
     assert [tuple(r) for r in artifacts.domain_accounts(obs).collect()] == [("Ann", "CORP", "CORP\\Ann")]
     assert [(r.lead_type, r.value, r.ordinal) for r in artifacts.registry_leads(obs).collect()] == [("host_or_domain_name", "box", 5)]
     assert list(artifacts.secrets_in('{"a": [{"db_password": "x"}], "b": {"TOKEN": 5}}')) and list(artifacts.secrets_in("export API_KEY=1\n# token=2\nmy.secret: 'v'\npassword=")) == [("my.secret", "v", "line 3")]
+    assert list(artifacts.secrets_in("https://ann:pw%21@git.example/x\nhttps://git.example\n", "C:\\u\\.git-credentials")) == [("ann@git.example/x", "pw%21", "line 1")]
+    assert list(artifacts.secrets_in("machine a.test login ann\n password p1 # note\ndefault login anonymous password p2", "/u/.netrc")) == [("ann@a.test", "p1", "line 2"), ("anonymous@default", "p2", "line 3")]
+    assert list(artifacts.secrets_in("machine a.test password p1")) == [] and list(artifacts.secrets_in("password", "/u/.netrc")) == []
+    assert list(artifacts.secrets_in('{"a": ' * 20_000 + '{"token": "t"}' + "}" * 20_000))[0][:2] == ("token", "t")
     assert list(artifacts.secrets_in("<a><Password>p</Password></a>")) == [("Password", "p", "Password")]
     df = spark.createDataFrame([("/home/u/.ssh", "id_rsa"), ("C:\\x", "Login Data"), ("/p/.aws", "credentials"), ("/p", "a.txt")], "p string, n string")
     got = df.select(artifacts.credential_store(df.p, df.n).alias("s"), artifacts.plaintext_secret_source(df.p, df.n).alias("b")).collect()
