@@ -67,3 +67,8 @@ def ticks(text: Column) -> Column:
     """RFC 3339 text as 100 ns since 1970, null where it is none."""
     digit = F.regexp_extract(text, r"\.\d{6}(\d)", 1)
     return F.unix_micros(text.try_cast("timestamp")) * 10 + F.coalesce(digit.try_cast("bigint"), F.lit(0))
+
+
+def split_reference(raw: Column) -> tuple[Column, Column]:
+    """Entry and sequence number of a 64-bit reference: its low 48 and high 16 bits."""
+    return raw.bitwiseAND(F.lit((1 << 48) - 1)), F.shiftrightunsigned(raw, 48)

@@ -7,6 +7,8 @@ import math
 import time
 from collections import deque
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -92,6 +94,27 @@ def run_passes(spark: SparkSession, passes: dict[str, Callable[[], object]]) ->
     return out
 
 
+_ACTIVE: ContextVar[Progress | None] = ContextVar("active_progress", default=None)
+
+
+@contextmanager
+def job_progress(spark: SparkSession, tracker: Progress, tag: str):
+    """Within the block ``tracker`` is the active one, and jobs carry ``tag`` so that they can be found or cancelled."""
+    token = _ACTIVE.set(tracker)
+    spark.addTag(tag)
+    try:
+        yield tracker
+    finally:
+        spark.removeTag(tag)
+        _ACTIVE.reset(token)
+
+
+def advance(done: float) -> bool:
+    """Tell the active tracker how much is done, from wherever the work is; without one nothing happens."""
+    tracker = _ACTIVE.get()
+    return tracker.update(done) if tracker else False
+
+
 def truncation_reasons(reasons: list[str], keep: int = 16) -> dict:
     """Different reasons in order of their first mention, so many kept, all counted."""
     different = list(dict.fromkeys(reasons))

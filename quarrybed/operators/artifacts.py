@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrybed.functions.text import ascii_lower, slashes, windows_path
 from quarrybed.operators.nested import read_json
-from quarrybed.operators.records import first_wins
+from quarrybed.operators.records import first_wins, offset_page
 
 PATH_KEYS = ("source_path_exact", "ntfs_path", "fat_path", "ext_path", "local_relative_path")
 
@@ -220,6 +220,19 @@ def secrets_in(text: str, name: str | None = None) -> Iterator[tuple[str, str, s
             yield key, value.strip("\"'"), f"line {i}"
 
 
+def assignment_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id_col, key_name, value`` of each line ``KEY=VALUE`` or ``KEY: VALUE``, by column expressions alone."""
+    pattern = r"^\s*([A-Za-z_][A-Za-z0-9_.\-]*)\s*[=:]\s*(\S.*)$"
+    lines = df.select(id_col, F.explode(F.split(text_col, "\n")).alias("line"))
+    return lines.select(id_col, F.regexp_extract("line", pattern, 1).alias("key_name"), F.trim(F.regexp_extract("line", pattern, 2)).alias("value")).where("key_name <> ''")
+
+
+def journal_statistics(records: DataFrame) -> DataFrame:
+    """Per source: newest version, different records, those with unknown reasons and those without a time."""
+    once = records.select("entry_id", "evidence_id", "usn_version", "unknown_reason_bits", "timestamp_utc").dropDuplicates(["entry_id"])
+    return once.groupBy("evidence_id").agg(F.max("usn_version").alias("newest_version"), F.count("*").alias("records"), F.count_if(F.col("unknown_reason_bits") != 0).alias("unknown_reasons"), F.count_if(F.col("timestamp_utc").isNull()).alias("without_time"))
+
+
 def secret_leads(df: DataFrame, id_col: str, text_col: str, name_col: str | None = None) -> DataFrame:
     """``source_id, secret_key, secret_value, location`` of every secret; null and empty texts have none. ``name_col`` holds
     file names, by which stored logins are read; without it, or where it is null, texts are read by their form alone."""
@@ -288,6 +301,28 @@ def four_times() -> list[Column]:
     return [F.coalesce(*[F.nullif(metadata(k), F.lit("")) for k in keys]).alias(f"{role}_utc") for role, keys in TIME_KEYS.items()]
 
 
+def category_counts(df: DataFrame, main: Column, sub: Column) -> DataFrame:
+    """Entries per category; a null main category is the uncategorised one."""
+    return df.groupBy(F.coalesce(main, F.lit("Uncategorized")).alias("category_main"), sub.alias("category_sub")).agg(F.count("*").alias("entries"))
+
+
+def entry_by_id(df: DataFrame, entry_id: int) -> DataFrame:
+    """Point lookup; the filter reaches the scan."""
+    return df.where(F.col("entry_id") == entry_id)
+
+
+def folder_page(df: DataFrame, parent: str, offset: int, size: int | None) -> DataFrame:
+    """Children of a folder by name, one page by position."""
+    below = df.where(F.col("logical_path").startswith(parent.rstrip("/") + "/"))
+    direct = below.where(~F.contains(F.substr("logical_path", F.lit(len(parent.rstrip("/")) + 2)), F.lit("/")))
+    return offset_page(direct, [ascii_lower(F.col("entry_name")), "entry_id"], offset, size)
+
+
+def below_folder(df: DataFrame, parent: str) -> DataFrame:
+    """Everything at any depth below a folder, as for a recursive bookmark."""
+    return df.where(F.col("logical_path").startswith(parent.rstrip("/") + "/"))
+
+
 def category_page(df: DataFrame, name: str | None = None, extension: str | None = None, kind: str | None = None, deleted: bool | None = None, sha256: str | None = None, start: str | None = None, end: str | None = None, times: list[str] | None = None) -> DataFrame:
     """Entries of a category page: each filter given narrows it; both bounds of time must be given to count."""
     if name:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrybed.session import release, stored
+from quarrybed.session import release, stored, stored_counting
 
 ROUNDS = 40  # 2**40 levels
 
@@ -25,19 +25,18 @@ ROUNDS = 40  # 2**40 levels
 def _rooted(edges: DataFrame) -> DataFrame:
     """``t, v, top, l, s, tree``: the root, depth and subtree size of each node; ``tree`` is false on or below cycles."""
     state = edges.select("t", "v", F.coalesce("p", "v").alias("top"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("bigint").alias("l"), F.lit(1).cast("bigint").alias("s"))
-    state, left = stored(state), None
+    (state, now), left = stored_counting(state, F.col("l") == 1), None
     for k in range(ROUNDS):
         step = 1 << k
-        active = state.where(F.col("l") == step)
-        now = active.count()
         if now == 0 or now == left:
             break
         left = now
+        active = state.where(F.col("l") == step)
         below = active.groupBy("t", F.col("top").alias("v")).agg(F.sum("s").alias("more"))
         jump = active.select("t", "v", "top").join(state.select("t", F.col("v").alias("top"), F.col("top").alias("top2"), F.col("l").alias("l2")), ["t", "top"]).select("t", "v", "top2", "l2")
         next_state = state.join(jump, ["t", "v"], "left").join(below, ["t", "v"], "left")
         done = state
-        state = stored(next_state.select("t", "v", F.coalesce("top2", "top").alias("top"), (F.col("l") + F.coalesce("l2", F.lit(0))).alias("l"), (F.col("s") + F.coalesce("more", F.lit(0))).alias("s")))
+        state, now = stored_counting(next_state.select("t", "v", F.coalesce("top2", "top").alias("top"), (F.col("l") + F.coalesce("l2", F.lit(0))).alias("l"), (F.col("s") + F.coalesce("more", F.lit(0))).alias("s")), F.col("l") == 2 * step)
         release(done)
     else:
         step = 1 << ROUNDS
@@ -83,16 +82,17 @@ def build_trees(edges: DataFrame, sep: str = "/") -> DataFrame:
 
 def _compose(state: DataFrame, to: str, steps: str, text: str) -> DataFrame:
     """Doubling over links: each row of ``t, v`` follows ``to`` to the end, texts joined upper first."""
-    state = stored(state)
+    state, now = stored_counting(state, F.col(steps) == 1)
     for k in range(ROUNDS):
-        active = state.where(F.col(steps) == (1 << k))
-        if active.isEmpty():
+        if not now:
             return state
+        active = state.where(F.col(steps) == (1 << k))
         # rows that already stand at an end are no targets worth joining
         upper = state.where(F.col(steps) > 0).select("t", F.col("v").alias(to), F.col(to).alias("to2"), F.col(steps).alias("n2"), F.col(text).alias("text2"))
         more = active.select("t", "v", to).join(upper, ["t", to]).select("t", "v", "to2", "n2", "text2")
         done = state
-        state = stored(state.join(more, ["t", "v"], "left").select("t", "v", F.coalesce("to2", to).alias(to), (F.col(steps) + F.coalesce("n2", F.lit(0))).alias(steps), F.concat(F.coalesce("text2", F.lit("")), text).alias(text)))
+        further = state.join(more, ["t", "v"], "left").select("t", "v", F.coalesce("to2", to).alias(to), (F.col(steps) + F.coalesce("n2", F.lit(0))).alias(steps), F.concat(F.coalesce("text2", F.lit("")), text).alias(text))
+        state, now = stored_counting(further, F.col(steps) == (2 << k))
         release(done)
     return state
 

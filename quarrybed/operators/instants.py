@@ -1,20 +1,24 @@
 """Timestamps in many spellings, units and zones to one UTC instant in microseconds.
 
 Spellings are brought to one canonical list of fields by column expressions. A value that carries its offset gives
-the instant at once. A local time is joined as-of to the intervals in which a zone kept one offset, exploded to
-(zone, local year) so that the join is an equality with a few candidates: where two intervals match, the time is
-ambiguous and the earlier instant is taken; where none matches, it was skipped and is moved forward by the length of
-the skip; where one matches, its offset gives the instant.
+the instant at once. A local time is joined as-of to the intervals in which a zone kept one offset, in local time:
+these overlap where the clock was set back and leave a hole where it was set forward. They are exploded to
+(zone, local year), so the join is an equality with a few candidates, and the number of intervals that hold the local
+time decides: two mean that it is ambiguous and the earlier instant is taken; none means that it was skipped and is moved
+forward by the length of the skip; one gives its offset directly.
 """
 
 from __future__ import annotations
 
+import struct
 import zoneinfo
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import UTC, datetime
+from importlib.resources import files
+from pathlib import Path
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bare numbers count only if they lie in these years, the second not included.
@@ -23,6 +27,7 @@ FROM_S, TO_S = 946684800, 2208988800
 SHIFT_S = 11644473600
 #: Local years with intervals of their own; the first and the last stand for all years before and after.
 YEARS = (1900, 2100)
+_FAR = 1 << 42
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
 _ZONE = r"(?: ?([+-]\d{2}:?\d{2}|[A-Za-z][A-Za-z0-9_+/-]*))?"
@@ -62,65 +67,121 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b).cast("bigint"))
 
 
-def zone_segments(name: str) -> list[tuple[int, int, int, int, int]]:
-    """(local year, from, to, offset, matches) in seconds of local time: the time line of the zone, cut at its changes.
+def _rule_file(name: str) -> bytes:
+    """The compiled rules of a zone, or b'' where none are found."""
+    for root in (*zoneinfo.TZPATH, None):
+        try:
+            if root:
+                return Path(root, name).read_bytes()
+            return files("tzdata.zoneinfo").joinpath(name).read_bytes()
+        except (OSError, ModuleNotFoundError):
+            continue
+    return b""
 
-    Each local time lies in exactly one segment. ``matches`` is how many offset intervals hold it: 1, or 2 where the
-    clock was set back, or 0 where it was set forward; ``offset`` is the earlier one's.
+
+def _change_candidates(data: bytes) -> tuple[list[int], bool] | None:
+    """The instants at which a zone's rules may change, and whether they go on changing every year after the last one.
+
+    Public layout of compiled zone rules: the second block holds 64-bit instants, a rule for later years ends the file.
+    """
+    if data[:4] != b"TZif" or data[4:5] < b"2":
+        return None
+    at = 0
+    for width in (4, 8):
+        utc, std, leap, times, kinds, chars = struct.unpack(">6l", data[at + 20 : at + 44])
+        first = at + 44
+        at = first + times * (width + 1) + kinds * 6 + chars + leap * (width + 4) + std + utc
+    return list(struct.unpack(f">{times}q", data[first : first + 8 * times])), b"," in data[at:]
+
+
+def zone_changes(name: str) -> tuple[int, list[tuple[int, int]]]:
+    """(offset at the beginning of ``YEARS``, [(instant, new offset), ..] until their end), in seconds.
+
+    The rules' own instants are looked at where they can be read; the years after them, and zones whose rules cannot be
+    read, are stepped through.
     """
     zone = zoneinfo.ZoneInfo(name)
 
     def offset(t: int) -> int:
         return int(datetime.fromtimestamp(t, zone).utcoffset().total_seconds())
 
-    utc, step = zoneinfo.ZoneInfo("UTC"), 5 * 86400
-    lo, hi = (int(datetime(y, 1, 1, tzinfo=utc).timestamp()) for y in YEARS)
-    cuts, t, now = [], lo, offset(lo)
-    while t < hi:
-        then = offset(t + step)
-        if then != now:
-            a, b = t, t + step
-            while b - a > 1:
-                mid = (a + b) // 2
-                a, b = (mid, b) if offset(mid) == now else (a, mid)
-            now, t = offset(b), b
-            cuts.append((b, offset(b - 1), now))
-        else:
-            t += step
-    far = 1 << 42
-    segments, at, off = [], -far, offset(lo)
-    for cut, before, after in cuts:
-        first, second = sorted((cut + before, cut + after))
-        segments.append((at, first, before, 1))
-        segments.append((first, second, before, 2 if after < before else 0))
-        at, off = second, after
-    segments.append((at, far, off, 1))
-    out = []
-    for a, b, o, n in segments:
-        y0 = YEARS[0] if a == -far else max(YEARS[0], min(YEARS[1], datetime.fromtimestamp(a, utc).year))
-        y1 = YEARS[1] if b == far else max(YEARS[0], min(YEARS[1], datetime.fromtimestamp(b - 1, utc).year))
-        out.extend((y, a, b, o, n) for y in range(y0, y1 + 1))
-    return out
-
-
-def _explode_zones(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        for name in pdf["zone"]:
-            rows = zone_segments(name)
-            yield pd.DataFrame(rows, columns=["seg_year", "seg_from", "seg_to", "seg_offset", "seg_matches"]).assign(seg_zone=name)
-
-
-def zone_table(zones: DataFrame) -> DataFrame:
-    """The exploded offset intervals of the zones in column ``zone``, spelled as in the IANA list: at most 600 names of the IANA list, with a few
-    rows for each of 201 years; under 20 MB even if every zone of the world occurs."""
-    names = zones.where("zone is not null").distinct()
-    return names.mapInPandas(_explode_zones, "seg_year int, seg_from bigint, seg_to bigint, seg_offset int, seg_matches int, seg_zone string")
+    lo, hi = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in YEARS)
+    known = _change_candidates(_rule_file(name))
+    times = [t for t in known[0] if lo < t < hi] if known else []
+    # yearly rules change twice a year, so a month's step misses none; without any rules changes may lie days apart
+    start, step = (max([lo, *times]), 30 * 86400) if known else (lo, 5 * 86400)
+    found = [t for t in times if offset(t) != offset(t - 1)]
+    if known is None or known[1]:
+        t, now = start, offset(start)
+        while t < hi:
+            then = offset(t + step)
+            if then != now:
+                a, b = t, t + step
+                while b - a > 1:
+                    mid = (a + b) // 2
+                    a, b = (mid, b) if offset(mid) == now else (a, mid)
+                found.append(b)
+                now, t = offset(b), b
+            else:
+                t += step
+    return offset(lo), [(t, offset(t)) for t in found]
+
+
+def zone_intervals(name: str) -> list[tuple[int, int, int]]:
+    """(from, to, offset): the stretches in which the zone kept one offset, from and to in seconds of its local time.
+
+    Consecutive stretches overlap where the clock was set back and leave a hole where it was set forward. The first and
+    the last one reach beyond all years.
+    """
+    first, changes = zone_changes(name)
+    out, at, now = [], -_FAR, first
+    for t, then in changes:
+        out.append((at, t + now, now))
+        at, now = t + then, then
+    return [*out, (at, _FAR, now)]
+
+
+def by_year(intervals: list[tuple[int, int, int]]) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """Each local year of ``YEARS`` with the intervals that reach into it or end or begin within two days of it, so that
+    the one before a skip is there too."""
+    margin, i = 2 * 86400, 0
+    for y in range(YEARS[0], YEARS[1] + 1):
+        lo = -_FAR if y == YEARS[0] else int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) - margin
+        hi = _FAR if y == YEARS[1] else int(datetime(y + 1, 1, 1, tzinfo=UTC).timestamp()) + margin
+        while intervals[i][1] < lo:
+            i += 1
+        k = i
+        while k < len(intervals) and intervals[k][0] <= hi:
+            k += 1
+        yield y, intervals[i:k]
+
+
+_TABLE = "seg_zone string, seg_year int, seg_intervals array<struct<lo: bigint, hi: bigint, off: bigint>>"
+
+
+def _explode_zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("off", pa.int64())]))
+    for batch in batches:
+        for name in batch.column(0).to_pylist():
+            years, lists = zip(*by_year(zone_intervals(name)))
+            values = [[dict(zip(("lo", "hi", "off"), x)) for x in xs] for xs in lists]
+            yield pa.RecordBatch.from_arrays([pa.array([name.lower()] * len(years)), pa.array(years, pa.int32()), pa.array(values, kind)], ["seg_zone", "seg_year", "seg_intervals"])
+
+
+def zone_names() -> list[str]:
+    return sorted(zoneinfo.available_timezones())
+
+
+def zone_table(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """The offset intervals of every zone of the IANA list by (zone in lower case, local year): about 600 zones x 201 years x
+    one to four intervals, under 20 MB whatever the data."""
+    names = zone_names() if names is None else names
+    return spark.createDataFrame([(z,) for z in names], "zone string").repartition(min(16, max(1, len(names)))).mapInArrow(_explode_zones, _TABLE)
 
 
 def _iana(name: Column) -> Column:
-    """The zone of a name in any case as the IANA list spells it, else null. One literal holds the whole list."""
-    listed = ",".join(f"{z.lower()}:{z}" for z in sorted(zoneinfo.available_timezones()))
-    return F.try_element_at(F.str_to_map(F.lit(listed), F.lit(","), F.lit(":")), F.lower(name))
+    """The zone of a name in any case, in lower case; null if the IANA list has none of that name."""
+    return F.when(F.lower(name).isin([z.lower() for z in zone_names()]), F.lower(name))
 
 
 def _let(value: Column, body) -> Column:
@@ -188,11 +249,13 @@ def parse(text: Column, abbreviations: dict[str, int]) -> Column:
     return _let(F.trim(F.regexp_replace(F.regexp_replace(text, r"\([^()]*\)", " "), r"[\s\u00a0\u202f\u2009]+", " ")), read)
 
 
-def resolve(df: DataFrame, value: Column, out: str, hints: list[Column], abbreviations: dict[str, int], numeric: bool = False) -> DataFrame:
+def resolve(df: DataFrame, value: Column, out: str, hints: list[Column], abbreviations: dict[str, int], numeric: bool = False, how: str | None = None, zones: DataFrame | None = None) -> DataFrame:
     """``df`` with BIGINT column ``out``: the UTC instant in microseconds that ``value`` states, or null.
 
     ``hints`` are zone names tried in order for a local time that names none itself; names that are no IANA zones
-    are passed over. ``numeric`` values are bare numbers.
+    are passed over. ``numeric`` values are bare numbers. ``how`` names a further column that says what the instant rests
+    on: ``stated`` (a number, or an offset in the value), ``direct``, ``ambiguous`` or ``nonexistent`` (a local time in a zone).
+    ``zones`` is the ``zone_table`` to join, so that several columns can share one.
 
     Defined results: null, blank and unreadable values, dates and times that do not exist, and local times without
     any known zone give null; a local time that came twice gives the earlier instant, one that was skipped is moved
@@ -200,17 +263,25 @@ def resolve(df: DataFrame, value: Column, out: str, hints: list[Column], abbrevi
     ``df`` keep their names, helper columns start with ``__qb_`` and are removed.
     """
     if numeric:
-        return df.withColumn(out, number_micros(value))
+        df = df.withColumn(out, number_micros(value))
+        return df.withColumn(how, F.when(F.col(out).isNotNull(), "stated")) if how else df
     df = df.withColumn("__qb_p", parse(value, abbreviations))
     hint = F.coalesce(*[_iana(h) for h in hints]) if hints else F.lit(None).cast("string")
-    named = F.when(F.col("__qb_p.zone") != "", _iana(F.col("__qb_p.zone")))
-    df = df.withColumn("__qb_zone", F.when(F.col("__qb_p.local_micros").isNotNull(), F.coalesce(named, hint)))
-    df = df.withColumn("__qb_local", F.col("__qb_p.local_micros"))
-    year = F.year(F.timestamp_micros(F.col("__qb_local")))
-    df = df.withColumn("__qb_year", F.greatest(F.lit(YEARS[0]), F.least(F.lit(YEARS[1]), year)))
-    segments = zone_table(df.select(F.col("__qb_zone").alias("zone")).where("zone is not null")).select(*[F.col(c).alias(f"__qb_{c}") for c in ("seg_year", "seg_from", "seg_to", "seg_offset", "seg_matches", "seg_zone")])
-    seconds = _div(F.col("__qb_local") - F.pmod(F.col("__qb_local"), F.lit(1_000_000)), 1_000_000)
-    on = (F.col("__qb_zone") == F.col("__qb_seg_zone")) & (F.col("__qb_year") == F.col("__qb_seg_year")) & (seconds >= F.col("__qb_seg_from")) & (seconds < F.col("__qb_seg_to"))
-    joined = df.join(F.broadcast(segments), on, "left")
-    joined = joined.withColumn(out, F.coalesce(F.col("__qb_p.micros"), F.col("__qb_local") - F.col("__qb_seg_offset").cast("bigint") * 1_000_000))
+    named = F.when(F.col("__qb_p.zone") != "", F.lower("__qb_p.zone"))
+    local = F.col("__qb_p.local_micros")
+    seconds = _div(local - F.pmod(local, F.lit(1_000_000)), 1_000_000)
+    year = F.greatest(F.lit(YEARS[0]), F.least(F.lit(YEARS[1]), F.year(F.timestamp_micros(local))))
+    df = df.withColumns({"__qb_zone": F.when(local.isNotNull(), F.coalesce(named, hint)), "__qb_at": seconds, "__qb_year": year})
+    table = (zones if zones is not None else zone_table(df.sparkSession)).select(*[F.col(c).alias(f"__qb_{c}") for c in ("seg_zone", "seg_year", "seg_intervals")])
+    joined = df.join(F.broadcast(table), (F.col("__qb_zone") == F.col("__qb_seg_zone")) & (F.col("__qb_year") == F.col("__qb_seg_year")), "left")
+    at = F.col("__qb_at")
+    holding = F.transform(F.filter("__qb_seg_intervals", lambda i: (at >= i.lo) & (at < i.hi)), lambda i: i.off)
+    before = F.array_max(F.transform(F.filter("__qb_seg_intervals", lambda i: i.hi <= at), lambda i: F.struct(i.hi.alias("hi"), i.off.alias("off"))))
+    joined = joined.withColumn("__qb_offsets", holding).withColumn("__qb_n", F.size("__qb_offsets"))
+    # the greater of two offsets gives the earlier instant; a skipped time keeps the offset before the skip
+    offset = F.when(F.col("__qb_n") > 0, F.array_max("__qb_offsets")).when(F.col("__qb_n") == 0, before.off)
+    joined = joined.withColumn(out, F.coalesce(F.col("__qb_p.micros"), local - offset * 1_000_000))
+    if how:
+        kind = F.when(F.col("__qb_p.micros").isNotNull(), "stated").when(F.col("__qb_n") == 2, "ambiguous").when(F.col("__qb_n") == 1, "direct").otherwise("nonexistent")
+        joined = joined.withColumn(how, F.when(F.col(out).isNotNull(), kind))
     return joined.drop(*[c for c in joined.columns if c.startswith("__qb_")])

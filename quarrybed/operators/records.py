@@ -29,16 +29,22 @@ def bounded_sample(df: DataFrame, keys: list[str], value: str, order: str, keep:
     w = Window.partitionBy(*keys).orderBy(order, value)
     top = df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= keep).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", value))), lambda x: x[value]).alias("sample"))
     counts = df.groupBy(*keys).agg(F.count("*").alias("total"))
-    return counts.join(top, keys, "left").select(*keys, "sample", "total", F.greatest(F.col("total") - keep, F.lit(0)).alias("omitted"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    return counts.alias("c").join(top.alias("t"), same, "left").select(*[F.col(f"c.{k}").alias(k) for k in keys], "sample", "total", F.greatest(F.col("total") - keep, F.lit(0)).alias("omitted"))
 
 
 def ordered_chain(df: DataFrame, keys: list[str], value: str, order: str, keep: int | None = None) -> DataFrame:
     """First ``keep`` values, or all, in order (equal order falls to the value), first and last value, total and omitted count of each group."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    g = df.groupBy(*keys).agg(pairs.alias("p"), F.min_by(value, F.struct(order, value)).alias("first_value"), F.max_by(value, F.struct(order, value)).alias("last_value"), F.count("*").alias("total"))
-    values = F.transform("p", lambda x: x.v)
-    chain, omitted = (values, F.lit(0).cast("bigint")) if keep is None else (F.slice(values, 1, keep), F.greatest(F.col("total") - keep, F.lit(0)))
-    return g.select(*keys, chain.alias("chain"), "first_value", "last_value", "total", omitted.alias("omitted"))
+    pair = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
+    ends = [F.min_by(value, F.struct(order, value)).alias("first_value"), F.max_by(value, F.struct(order, value)).alias("last_value"), F.count("*").alias("total")]
+    values = F.transform(F.array_sort(F.collect_list(pair)), lambda x: x.v).alias("chain")
+    if keep is None:
+        return df.groupBy(*keys).agg(values, *ends).select(*keys, "chain", "first_value", "last_value", "total", F.lit(0).cast("bigint").alias("omitted"))
+    # the limit of rows per group also acts before the shuffle, so a group of any size leaves few rows
+    first = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order, value))).where(F.col("__n") <= keep).groupBy(*keys).agg(values)
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
+    g = df.groupBy(*keys).agg(*ends).alias("g").join(first.alias("c"), same, "left")
+    return g.select(*[F.col(f"g.{k}").alias(k) for k in keys], "chain", "first_value", "last_value", "total", F.greatest(F.col("total") - keep, F.lit(0)).alias("omitted"))
 
 
 def keyset_page(df: DataFrame, order: list[str], after: tuple | None, size: int) -> DataFrame:
@@ -52,21 +58,92 @@ def keyset_page(df: DataFrame, order: list[str], after: tuple | None, size: int)
     return df.orderBy(*order).limit(size + 1) if size else df.orderBy(*order)
 
 
-def interval_of(points: DataFrame, at: str, intervals: DataFrame, start: str, size: str, rank: str, width: int) -> DataFrame:
-    """Left range join: each point with the first listed half-open interval that holds it.
+#: Bits between two sizes of block, and the sizes there are.
+_STEP, _LEVELS = 4, tuple(range(0, 60, 4))
 
-    Intervals are exploded to buckets of ``width``, so the join is an equality with few candidates.
+
+def _blocks(start: Column, end: Column) -> Column:
+    """The aligned blocks that [start, end) is made of, as STRUCT<level, block>: at most thirty of each size, so their number
+    grows with the logarithm of the interval's length."""
+    up = lambda x, l: F.shiftright(x + ((1 << l) - 1), l)
+    down = lambda x, l: F.shiftright(x, l)
+    parts = []
+    for l in _LEVELS:
+        a, b = up(start, l), down(end, l)
+        a2, b2 = F.shiftleft(up(start, l + _STEP), _STEP), F.shiftleft(down(end, l + _STEP), _STEP)
+        whole = F.lit(l == _LEVELS[-1]) | (a2 >= b2)
+        for lo, hi in ((a, F.when(whole, b).otherwise(F.least(b, a2))), (F.greatest(a, b2), F.when(whole, a).otherwise(b))):
+            run = F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
+            parts.append(F.transform(run, lambda x, l=l: F.struct(F.lit(l).alias("level"), x.alias("block"))))
+    return F.concat(*parts)
+
+
+def interval_of(points: DataFrame, at: str, intervals: DataFrame, start: str, size: str, rank: str) -> DataFrame:
+    """Left range join: each point with the interval of least ``rank`` among the half-open ones [start, start + size) that
+    hold it; the columns of ``intervals`` are null where none does.
+
+    Intervals are cut into aligned blocks of sixteen-fold sizes and points ask for the blocks they lie in, of those sizes
+    that occur (fifteen at most), so the join is an equality whose hits are all true. A null point lies in none;
+    intervals with a null or no positive size hold none; repeated points stay apart; the frames share no column name.
     """
-    b = lambda c: F.call_function("div", c, F.lit(width).cast("bigint"))
-    cells = intervals.where(F.col(size) > 0).withColumn("__end", F.col(start) + F.col(size)).withColumn("__cell", F.explode(F.sequence(b(F.col(start)), b(F.col(start) + F.col(size) - 1))))
-    p = points.withColumn("__id", F.monotonically_increasing_id()).withColumn("__cell", b(F.col(at)))
-    hit = p.join(cells, (p["__cell"] == cells["__cell"]) & (p[at] >= cells[start]) & (p[at] < cells["__end"]), "left").drop(cells["__cell"])
-    keep = [c for c in points.columns]
-    extra = [c for c in intervals.columns]
+    cells = intervals.where(F.col(size) > 0).withColumn("__block", F.explode(_blocks(F.col(start).cast("bigint"), (F.col(start) + F.col(size)).cast("bigint"))))
+    levels = sorted(r[0] for r in cells.select("__block.level").distinct().collect())
+    p = points.withColumn("__id", F.monotonically_increasing_id())
+    keys = F.array(*[F.struct(F.lit(l).alias("level"), F.shiftright(F.col(at).cast("bigint"), l).alias("block")) for l in levels]) if levels else F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("block")))
+    asked = p.withColumn("__block", F.explode(keys))
+    hit = asked.join(cells, "__block", "left")
+    keep, extra = points.columns, intervals.columns
     got = hit.groupBy("__id").agg(F.first(F.struct(*keep)).alias("p"), F.min_by(F.struct(*extra), rank).alias("i"))
     return got.select(*[F.col(f"p.{c}").alias(c) for c in keep], *[F.col(f"i.{c}").alias(c) for c in extra])
 
 
+def offset_page(df: DataFrame, order: list[Column | str], offset: int, size: int | None) -> DataFrame:
+    """One page by position: ``size`` rows after the first ``offset``; 0 or None means all that follow."""
+    page = df.orderBy(*order).offset(offset)
+    return page.limit(size) if size else page
+
+
+def by_filled(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows in falling order of columns whose nulls count as 0."""
+    return df.orderBy(*[F.coalesce(F.col(c), F.lit(0)).desc() for c in cols])
+
+
+def remapped(staged: DataFrame, stage_key: str, mapping: DataFrame, old: str, new: str, out: str) -> DataFrame:
+    """Staged rows with the ids under which their sources were stored; rows whose source was not stored are left out.
+
+    ``mapping`` holds ``old`` and ``new`` ids; of several new ids of one old id the greatest counts.
+    """
+    to = mapping.groupBy(F.col(old).alias("__old")).agg(F.max(new).alias("__new"))
+    return staged.join(to, F.col(stage_key) == F.col("__old")).withColumn(out, F.col("__new")).drop("__old", "__new")
+
+
+def bounded_listing(df: DataFrame, keys: list[str], order: list[Column | str], keep: int) -> DataFrame:
+    """The first ``keep`` rows of each group with their place, how many rows the group has and how many were left out.
+
+    The limit acts before the shuffle, counts are pre-aggregated; a null key is a group.
+    """
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    top = df.withColumn("place", n).where(F.col("place") <= keep)
+    counts = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("total"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return top.join(counts, same).drop(*[f"__{k}" for k in keys]).withColumn("place", F.col("place").cast("bigint")).withColumn("omitted", F.greatest(F.col("total") - keep, F.lit(0)))
+
+
+def outcome_counts(df: DataFrame, keys: list[Column | str], status: Column, source: Column, statuses: tuple[str, ...]) -> DataFrame:
+    """Per key: ``candidates``, one counter per status (rows of that status) and the number of different ``sources``."""
+    return df.groupBy(*keys).agg(F.count("*").alias("candidates"), *[F.count_if(status == s).alias(s) for s in statuses], F.countDistinct(source).alias("sources"))
+
+
+def snapshot(df: DataFrame, key: str) -> DataFrame:
+    """One row: how many rows there are, the greatest key, and how many different keys. What comes later lies above."""
+    return df.agg(F.count("*").alias("candidates"), F.max(key).alias("high_water"), F.countDistinct(key).alias("different"))
+
+
+def up_to(df: DataFrame, key: str, after: int | None, high_water: int) -> DataFrame:
+    """The rows of a snapshot after a key: ``after`` excluded, the mark included."""
+    return df.where((F.col(key) <= high_water) & (F.lit(True) if after is None else F.col(key) > after))
+
+
 def dictionary_join(df: DataFrame, key: str, names: DataFrame, name_key: str, name: str, out: str, fallback: str = "ID #%d") -> DataFrame:
     """Ids to names; an id the dictionary lacks reads ``ID #n``. Spark chooses the join by the sizes it measures."""
     d = names.select(F.col(name_key).alias("__k"), F.col(name).alias("__v"))

@@ -33,6 +33,23 @@ def expanded(df: DataFrame, order: list[str], most: int = 1_000) -> tuple[DataFr
     return df.orderBy(*order).limit(most), total, max(0, total - most)
 
 
+def entries_per_source(sources: DataFrame, entries: DataFrame) -> DataFrame:
+    """Each source with ``entries_indexed``: how many different entries it has, 0 for none. Counted before joined."""
+    counts = entries.select("evidence_id", "entry_id").distinct().groupBy("evidence_id").agg(F.count("*").alias("__n"))
+    return sources.join(counts, "evidence_id", "left").withColumn("entries_indexed", F.coalesce("__n", F.lit(0))).drop("__n")
+
+
+def with_source_names(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """Report items with the display name of the source they lie on; an unknown one reads ``Evidence n``."""
+    names = sources.groupBy("evidence_id").agg(F.min("display_name").alias("__name"))
+    return items.join(names, "evidence_id", "left").withColumn("source_name", F.coalesce("__name", F.format_string("Evidence %d", F.col("evidence_id")))).drop("__name")
+
+
+def skipped(wanted: DataFrame, entries: DataFrame) -> DataFrame:
+    """Ids asked for that no entry has."""
+    return wanted.select("entry_id").distinct().join(entries.select("entry_id"), "entry_id", "left_anti")
+
+
 def relinked(items: DataFrame, entries: DataFrame) -> DataFrame:
     """Bookmark items pointed to the entries that now have their path; items whose path is gone keep a null entry."""
     now = entries.groupBy("evidence_id", "logical_path").agg(F.max("entry_id").alias("new_entry_id"))

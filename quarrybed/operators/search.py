@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrybed.functions.text import ascii_lower, contains_any, lenient_hex, overlap_bytes
+from quarrybed.functions.text import ascii_lower, contains_any, lenient_hex
 
 SECTOR = 512
 CONTEXT = 8
@@ -35,16 +35,36 @@ def path_match(query: str) -> Column:
     return contains_any([F.col("logical_path"), F.col("entry_name"), F.col("metadata_json")], query)
 
 
-def with_carry(segments: DataFrame, needle_bytes: int) -> DataFrame:
-    """Each text segment behind the tail of what came before it in its part, so that a match may span segments.
+def segment_hits(segments: DataFrame, query: str) -> DataFrame:
+    """``entry_id`` of each entry with a match in its parsed text, once; a match may span segments of a part.
 
-    ``entry_id, parser_name, part_name, segment_index, content``. The tail is built from as many earlier segments as
-    short ones need; a part of very many segments stays within a bounded frame.
+    ``segments``: entry_id, parser_name, part_name, segment_index, content. Matches inside a segment are found where it is.
+    For those that span segments only the edges of each, shorter than the query, are brought together, in groups of
+    ``_SEAM`` numbers. Text goes on from one segment to the next number; where a number is missing it does not. A repeated
+    delivery of a segment changes nothing; null parts are parts; null content and blank queries match nothing.
     """
-    keep = max(0, needle_bytes - 1)
-    w = Window.partitionBy("entry_id", "parser_name", "part_name").orderBy("segment_index").rowsBetween(-max(1, keep), -1)
-    tail = F.array_join(F.collect_list("content").over(w), "") if keep else F.lit("")
-    return segments.withColumn("searchable", F.concat(F.right(tail, F.lit(keep)) if keep else F.lit(""), "content"))
+    inside = segments.where(contains_any([F.col("content")], query)).select("entry_id")
+    keep = len(query) - 1
+    if keep < 1:
+        return inside.distinct()
+    i = F.col("segment_index").cast("bigint")
+    edges = segments.where(F.col("content") != "").groupBy("entry_id", "parser_name", "part_name", i.alias("i")).agg(F.min(F.struct(F.left("content", F.lit(keep)).alias("head"), F.right("content", F.lit(keep)).alias("tail"))).alias("e"))
+    group = lambda c: F.call_function("div", c, F.lit(_SEAM).cast("bigint"))
+    # a row stands in its own group, and in the next one if a match may reach there
+    groups = F.array_distinct(F.array(group(F.col("i")), group(F.col("i") + keep)))
+    rows = edges.select("entry_id", "parser_name", "part_name", "i", "e.*", F.explode(groups).alias("g"))
+    w = Window.partitionBy("entry_id", "parser_name", "part_name", "g").orderBy("i").rangeBetween(-keep, -1)
+    before = F.collect_list(F.struct("i", "tail")).over(w)
+    joined = rows.withColumn("before", before).where(group(F.col("i")) == F.col("g"))
+    # only what stands without a hole before the segment belongs to its text
+    tails = F.filter("before", lambda x, k: x.i - F.col("i") == k - F.size("before"))
+    seam = F.concat(F.right(F.array_join(F.transform(tails, lambda x: x.tail), ""), F.lit(keep)), F.col("head"))
+    spanning = joined.where(contains_any([seam], query)).select("entry_id")
+    return inside.unionByName(spanning).distinct()
+
+
+#: Segment numbers brought together when edges are joined.
+_SEAM = 4096
 
 
 def deep_search(entries: DataFrame, segments: DataFrame, query: str, category: str | None = None, extensions: list[str] | None = None) -> DataFrame:
@@ -54,25 +74,28 @@ def deep_search(entries: DataFrame, segments: DataFrame, query: str, category: s
     ``entries``: entry_id, evidence_id, logical_path, entry_name, entry_kind, metadata_json, content_head (BINARY).
     ``segments``: entry_id, parser_name, part_name, segment_index, content (STRING).
     Blank queries find nothing; null columns match nothing; repeated entries are repeated in the result.
+
+    Entries are read once; path and content are tested there, and only keys and flags are joined with the entries that
+    have hits in their parsed text.
     """
     key = ["evidence_id", "logical_path", "entry_id"]
     entries = scope(entries, category, extensions)
     if not query.strip():
         return entries.where("false").select(F.lit(0).alias("phase"), *key, F.lit("").alias("match_kind"))
     hexed = lenient_hex(query)
-    files = entries.where(F.col("entry_kind").isin("file", "record"))
+    file, readable = F.col("entry_kind") == "file", F.col("entry_kind").isin("file", "record")
     if hexed is not None:
-        found = files.where(F.instr(F.decode("content_head", "ISO-8859-1"), hexed.decode("latin-1")) > 0)
+        found = entries.where(readable & (F.instr(F.decode("content_head", "ISO-8859-1"), hexed.decode("latin-1")) > 0))
         return found.select(F.lit(3).alias("phase"), *key, F.lit("hex_content").alias("match_kind"))
-    path = entries.where(path_match(query)).select(F.lit(0).alias("phase"), *key, F.lit("path").alias("match_kind"))
-    others = files.where(~path_match(query))
-    hits = with_carry(segments, overlap_bytes(query) + 1).where(contains_any([F.col("searchable")], query)).select("entry_id").distinct()
-    parsed = others.join(hits, "entry_id", "left_semi").select(F.lit(1).alias("phase"), *key, F.lit("parsed_content").alias("match_kind"))
-    rest = others.where("entry_kind = 'file'").join(hits, "entry_id", "left_anti")
     fold = ascii_lower(F.decode("content_head", "ISO-8859-1"))
-    forms = [F.instr(fold, query.lower().encode(cs).decode("latin-1")) > 0 for cs in ("utf-8", "utf-16-le", "utf-16-be")]
-    content = rest.where(forms[0] | forms[1] | forms[2]).select(F.lit(2).alias("phase"), *key, F.lit("content").alias("match_kind"))
-    return path.unionByName(parsed).unionByName(content)
+    forms = [F.coalesce(F.instr(fold, query.lower().encode(cs).decode("latin-1")) > 0, F.lit(False)) for cs in ("utf-8", "utf-16-le", "utf-16-be")]
+    by_path = path_match(query)
+    flags = entries.select(*key, by_path.alias("by_path"), F.coalesce(readable, F.lit(False)).alias("readable"), (F.coalesce(file, F.lit(False)) & ~by_path & (forms[0] | forms[1] | forms[2])).alias("by_content"))
+    hits = segment_hits(segments, query).select(F.col("entry_id").alias("__hit"))
+    rows = flags.where("by_path or readable").join(hits, F.col("entry_id") == F.col("__hit"), "left")
+    phase = F.when(F.col("by_path"), 0).when(F.col("readable") & F.col("__hit").isNotNull(), 1).when(F.col("by_content"), 2)
+    kinds = F.element_at(F.array(F.lit("path"), F.lit("parsed_content"), F.lit("content")), F.col("phase") + 1)
+    return rows.select(phase.alias("phase"), *key).where("phase is not null").select("phase", *key, kinds.alias("match_kind"))
 
 
 # Raw bytes ----------------------------------------------------------------------------------------------------------
@@ -99,6 +122,37 @@ def _verified(hay: bytes, at: int, needle: bytes, encoding: str) -> bool:
     return True
 
 
+Finder = Callable[[bytes], Iterable[tuple[int, int]]]
+
+
+def found_by(chunks: DataFrame, finder: Finder, name: str) -> DataFrame:
+    """Matches of any finder in overlapping chunks: ``source_id, offset, length, finder``. The finder gives (offset, length)
+    within the bytes it is given; matches count where they begin in a chunk's own part, so each comes once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(sid, base + at - lead, n, name) for sid, base, own, lead, data in zip(*[c.to_pylist() for c in batch.columns]) for at, n in finder(data or b"") if lead <= at < lead + own]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["source_id", "offset", "length", "finder"])
+
+    return chunks.select("source_id", "chunk_offset", "own_length", "lead", "bytes").mapInArrow(run, "source_id bigint, offset bigint, length bigint, finder string")
+
+
+def find_next(chunks: DataFrame, query: str, offset: int) -> DataFrame:
+    """The first match of each stream at or after an offset. Chunks that end before it are not searched."""
+    rest = chunks.where(F.col("chunk_offset") + F.col("own_length") > offset)
+    hits = raw_search(rest, query).where(F.col("offset") >= offset)
+    return hits.groupBy("source_id").agg(F.min(F.struct("offset", "encoding_rank", "encoding", "length")).alias("m")).select("source_id", "m.offset", "m.length", "m.encoding")
+
+
+def byte_range(chunks: DataFrame, offset: int, length: int) -> DataFrame:
+    """``source_id, bytes``: a range of each stream from its chunks; shorter at the end of a stream, no row beyond it."""
+    at, end = F.col("chunk_offset"), F.col("chunk_offset") + F.col("own_length")
+    first, last = F.greatest(at, F.lit(offset)), F.least(end, F.lit(offset + length))
+    cut = chunks.where((at < offset + length) & (end > offset)).select("source_id", at.alias("at"), F.substr("bytes", (F.col("lead") + first - at + 1).cast("int"), (last - first).cast("int")).alias("b"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "b"))), lambda x: F.hex(x.b))
+    return cut.groupBy("source_id").agg(F.unhex(F.array_join(parts, "")).alias("bytes"))
+
+
 def all_matches(hay: bytes, query: str) -> list[tuple[int, int, str, int]]:
     """(offset, length, encoding, rank) of every match, overlapping ones too, by offset and rank."""
     folded, out = hay.translate(_FOLD), []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrybed.functions import usn
 from quarrybed.operators.hierarchy import build_trees, descendants
-from quarrybed.operators.instants import resolve
+from quarrybed.operators.instants import resolve, zone_table
 from quarrybed.operators.nested import flatten_distinct
 from quarrybed.operators.periods import gaps_between, merge_spans
 from quarrybed.operators.runs import collapse_runs
@@ -39,27 +39,33 @@ def abbreviations(spark: SparkSession, d: str) -> dict[str, int]:
 
 
 def _hosts(spark: SparkSession, d: str) -> DataFrame:
-    """evidence_id to zone; evidence_sources is a small fixed table."""
-    return F.broadcast(table(spark, d, "evidence_sources").groupBy("evidence_id").agg(F.max("host_timezone").alias("host_timezone")))
+    """evidence_id to zone. Spark chooses the join by the size it measures."""
+    return table(spark, d, "evidence_sources").groupBy("evidence_id").agg(F.max("host_timezone").alias("host_timezone"))
 
 
 def instants(spark: SparkSession, d: str) -> DataFrame:
-    """source_table, entry_id, epoch_micros of every stated instant of the four tables."""
+    """source_table, entry_id, epoch_micros of every stated instant of the four tables, and what it rests on."""
     hosts, letters = _hosts(spark, d), abbreviations(spark, d)
     none = F.lit(None).cast("string")
     mail = table(spark, d, "rfc822_metadata").select(F.lit("rfc822_metadata").alias("source_table"), "entry_id", "evidence_id", F.col("date_header").alias("value"), none.alias("own_zone"))
     acts = table(spark, d, "activity").select(F.lit("activity").alias("source_table"), "entry_id", "evidence_id", F.col("start_time").alias("value"), F.get_json_object("payload", "$.userTimezone").alias("own_zone"))
     texts = mail.unionByName(acts).join(hosts, "evidence_id", "left")
-    texts = resolve(texts, F.col("value"), "epoch_micros", [F.col("own_zone"), F.col("host_timezone")], letters)
+    texts = resolve(texts, F.col("value"), "epoch_micros", [F.col("own_zone"), F.col("host_timezone")], letters, how="resolution")
     bins = table(spark, d, "recycle_bin_records").select(F.lit("recycle_bin_records").alias("source_table"), "entry_id", F.col("deletion_timestamp_filetime").alias("value"))
     shims = table(spark, d, "shimcache_entries").select(F.lit("shimcache_entries").alias("source_table"), "entry_id", F.col("raw_filetime").alias("value"))
-    numbers = resolve(bins.unionByName(shims), F.col("value"), "epoch_micros", [], letters, numeric=True)
-    cols = ["source_table", "entry_id", "epoch_micros"]
+    numbers = resolve(bins.unionByName(shims), F.col("value"), "epoch_micros", [], letters, numeric=True, how="resolution")
+    cols = ["source_table", "entry_id", "epoch_micros", "resolution"]
     return texts.select(*cols).unionByName(numbers.select(*cols))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return instants(spark, d).where("epoch_micros is not null and entry_id is not null").distinct()
+    return instants(spark, d).where("epoch_micros is not null and entry_id is not null").select("source_table", "entry_id", "epoch_micros").distinct()
+
+
+def p3_resolutions(spark: SparkSession, d: str) -> DataFrame:
+    """How many records of each table state an instant outright, or a local time that is direct, ambiguous or nonexistent."""
+    once = instants(spark, d).where("epoch_micros is not null").distinct()
+    return once.groupBy("source_table", "resolution").agg(F.count("*").alias("records"))
 
 
 def p5_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -94,9 +100,9 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     hosts, letters = _hosts(spark, d), abbreviations(spark, d)
     rows = table(spark, d, "activity").where("activity_type = 6 and app_id is not null and evidence_id is not null")
     rows = rows.select("evidence_id", "app_id", "start_time", "end_time", F.get_json_object("payload", "$.userTimezone").alias("own_zone")).join(hosts, "evidence_id", "left")
-    zones = [F.col("own_zone"), F.col("host_timezone")]
-    rows = resolve(rows, F.col("start_time"), "s", zones, letters).where("s is not null")
-    rows = resolve(rows, F.col("end_time"), "e", zones, letters).where("s < e")
+    hints, zones = [F.col("own_zone"), F.col("host_timezone")], zone_table(spark)
+    rows = resolve(rows, F.col("start_time"), "s", hints, letters, zones=zones).where("s is not null")
+    rows = resolve(rows, F.col("end_time"), "e", hints, letters, zones=zones).where("s < e")
     return rows.select("evidence_id", "app_id", F.xxhash64("app_id").alias("h1"), F.xxhash64(F.lit(7), F.col("app_id")).alias("h2"), "s", "e")
 
 
@@ -111,7 +117,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p5_found, p5_descendants, p6_found, p6_items, p7_found)}
+    return {f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p3_resolutions, p5_found, p5_descendants, p6_found, p6_items, p7_found)}
 
 
 _REF = "CASE WHEN {r}.ref_version = 'v3' THEN {r}.high || ':' || {r}.low ELSE {r}.entry || '-' || {r}.sequence END"

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,6 +49,27 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path of any file system."""
+    fs, where = _fs(spark, path)
+    return fs.exists(where)
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, removed when the session ends."""
+    path = f"{scratch_dir(spark)}/quarrybed-{kind}-{uuid.uuid4().hex}"
+    fs, where = _fs(spark, path)
+    fs.deleteOnExit(where)
+    return path
+
+
+def stored_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """``stored`` together with how many rows meet a condition, counted while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count_if(condition).alias("n")))
+    return out, int(seen.get["n"] or 0)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: computed once, its lineage cut.
 

@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -63,8 +63,17 @@ def list_tree(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size_bytes"), "modificationTime")
 
 
+KINDS = ("auto", "file", "folder", "image")
+
+
 def evidence_kind(text: str) -> str:
     kind = text.strip().lower()
-    if kind not in ("auto", "file", "folder", "image"):
+    if kind not in KINDS:
         raise ValueError(f"unknown kind of evidence: {text}")
     return kind
+
+
+def evidence_kinds(text: Column) -> Column:
+    """``evidence_kind`` of a column; unknown kinds are null."""
+    kind = F.lower(F.trim(text))
+    return F.when(kind.isin(*KINDS), kind)

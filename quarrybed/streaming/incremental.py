@@ -8,26 +8,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarrybed.session import stored
+from quarrybed.session import exists, stored
 
 
-def replace_by_source(rows: DataFrame, path: str, source: str = "source_id") -> None:
+def replace_by_source(rows: DataFrame, path: str, source: str = "source_id", buckets: int = 64, files: int = 8) -> None:
     """Write derived rows so that each source present replaces its earlier rows, and other sources stay.
 
-    Partitions are buckets of sources; the buckets touched are read, merged and overwritten, so a rerun gives the same table.
+    Partitions are ``buckets`` of sources, a number that stays with the table; the buckets touched are read, merged and
+    overwritten, so a rerun gives the same table. A bucket is written by up to ``files`` tasks, so a large source is no one's burden.
     """
     spark = rows.sparkSession
-    buckets = 64
     new = rows.withColumn("source_bucket", F.pmod(F.xxhash64(source), F.lit(buckets)).cast("int"))
-    try:
+    if exists(spark, path):
         old = spark.read.schema(new.schema).parquet(path)
         touched = new.select("source_bucket").distinct()
-        kept = old.join(F.broadcast(touched), "source_bucket", "left_semi").join(new.select(source).distinct(), source, "left_anti")
+        kept = old.join(F.broadcast(touched.limit(buckets)), "source_bucket", "left_semi").join(new.select(source).distinct(), source, "left_anti")
         new = stored(new.unionByName(kept))  # the table is read and written in one go
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    new.repartition("source_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_bucket").parquet(path)
+    spread = F.pmod(F.xxhash64(*new.columns), F.lit(files))
+    new.repartition("source_bucket", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_bucket").parquet(path)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarrybed.operators.instants import resolve, zone_segments
+from quarrybed.operators import instants
+from quarrybed.operators.instants import by_year, resolve, zone_intervals
 
 LETTERS = {"EST": -300, "CEST": 120, "UT": 0}
 
@@ -62,16 +63,33 @@ def test_numbers_and_empty(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.sampled_from(["America/New_York", "Australia/Sydney", "Europe/Lisbon", "Asia/Kolkata", "Africa/Casablanca", "America/Sao_Paulo"]), st.integers(0, 4_000_000_000))
-def test_segments_agree_with_the_zone(name, second):
+@given(st.sampled_from(["America/New_York", "Australia/Sydney", "Europe/Lisbon", "Asia/Kolkata", "Africa/Casablanca", "America/Sao_Paulo", "Pacific/Apia"]), st.integers(0, 4_000_000_000))
+def test_intervals_agree_with_the_zone(name, second):
     when = datetime.fromtimestamp(second, timezone.utc).replace(tzinfo=None)
-    hits = [x for x in zone_segments_cached(name) if x[0] == when.year and x[1] <= second < x[2]]
-    assert len(hits) == 1
-    assert hits[0][3] == ZoneInfo(name).utcoffset(when.replace(fold=0)).total_seconds()
+    zone, intervals = ZoneInfo(name), years(name)[when.year]
+    hits = [off for lo, hi, off in intervals if lo <= second < hi]
+    # an offset is possible if it leads to an instant whose local time is this one
+    possible = {o for o in {when.replace(tzinfo=zone, fold=f).utcoffset().total_seconds() for f in (0, 1)} if datetime.fromtimestamp(second - o, zone).replace(tzinfo=None) == when}
+    assert sorted(hits) == sorted(possible)
+    before = max((hi, off) for lo, hi, off in intervals if hi <= second)[1] if not hits else max(hits)
+    assert before == zone.utcoffset(when.replace(fold=0)).total_seconds()
 
 
 _cache = {}
 
 
-def zone_segments_cached(name):
-    return _cache.setdefault(name, zone_segments(name))
+def years(name):
+    return _cache.setdefault(name, dict(by_year(zone_intervals(name))))
+
+
+def test_rules_that_cannot_be_read_are_stepped_through(monkeypatch):
+    want = zone_intervals("America/New_York")
+    monkeypatch.setattr(instants, "_rule_file", lambda name: b"")
+    assert zone_intervals("America/New_York") == want
+
+
+def test_number_of_intervals_decides(spark):
+    rows = [(1, "2022-11-06 01:30:00"), (2, "2022-03-13 02:59:10"), (3, "2022-07-01 00:00:00"), (4, "2022-07-01 00:00:00 +0100"), (5, "1487639725"), (6, "never"), (7, None)]
+    df = spark.createDataFrame(rows, "i int, v string")
+    got = {r.i: r.how for r in resolve(df, F.col("v"), "us", [F.lit("america/NEW_YORK")], LETTERS, how="how").collect()}
+    assert got == {1: "ambiguous", 2: "nonexistent", 3: "direct", 4: "stated", 5: "stated", 6: None, 7: None}
