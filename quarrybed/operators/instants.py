@@ -179,9 +179,11 @@ def zone_table(spark: SparkSession, names: list[str] | None = None) -> DataFrame
     return spark.createDataFrame([(z,) for z in names], "zone string").repartition(min(16, max(1, len(names)))).mapInArrow(_explode_zones, _TABLE)
 
 
-def _iana(name: Column) -> Column:
-    """The zone of a name in any case, in lower case; null if the IANA list has none of that name."""
-    return F.when(F.lower(name).isin([z.lower() for z in zone_names()]), F.lower(name))
+def _iana(name: str) -> Column:
+    """The zone of the name in a column, in any case, in lower case; null if the IANA list has none of that name. Said in
+    SQL, so that the list is one hashed set."""
+    listed = ", ".join(f"'{z.lower()}'" for z in zone_names())
+    return F.expr(f"CASE WHEN lower({name}) IN ({listed}) THEN lower({name}) END")
 
 
 def _let(value: Column, body) -> Column:
@@ -229,7 +231,7 @@ def parse(text: Column, abbreviations: dict[str, int]) -> Column:
         zone = F.get(p, F.lit(8))
 
         def done(x: Column) -> Column:
-            named = F.when(x.m.isNull() & ((zone == "") | _iana(zone).isNotNull()), zone)
+            named = F.when(x.m.isNull(), zone)
             return F.struct((x.t - x.m * 60_000_000).alias("micros"), F.when(named.isNotNull(), x.t).alias("local_micros"), named.alias("zone"))
 
         return _let(F.struct(local(p).alias("t"), minutes(zone).alias("m")), done)
@@ -266,12 +268,13 @@ def resolve(df: DataFrame, value: Column, out: str, hints: list[Column], abbrevi
         df = df.withColumn(out, number_micros(value))
         return df.withColumn(how, F.when(F.col(out).isNotNull(), "stated")) if how else df
     df = df.withColumn("__qb_p", parse(value, abbreviations))
-    hint = F.coalesce(*[_iana(h) for h in hints]) if hints else F.lit(None).cast("string")
-    named = F.when(F.col("__qb_p.zone") != "", F.lower("__qb_p.zone"))
+    df = df.withColumns({f"__qb_h{i}": h for i, h in enumerate(hints)})
+    hint = F.coalesce(*[_iana(f"__qb_h{i}") for i in range(len(hints))]) if hints else F.lit(None).cast("string")
+    zone = F.when(F.col("__qb_p.zone") == "", hint).otherwise(_iana("__qb_p.zone"))
     local = F.col("__qb_p.local_micros")
     seconds = _div(local - F.pmod(local, F.lit(1_000_000)), 1_000_000)
     year = F.greatest(F.lit(YEARS[0]), F.least(F.lit(YEARS[1]), F.year(F.timestamp_micros(local))))
-    df = df.withColumns({"__qb_zone": F.when(local.isNotNull(), F.coalesce(named, hint)), "__qb_at": seconds, "__qb_year": year})
+    df = df.withColumns({"__qb_zone": F.when(local.isNotNull(), zone), "__qb_at": seconds, "__qb_year": year})
     table = (zones if zones is not None else zone_table(df.sparkSession)).select(*[F.col(c).alias(f"__qb_{c}") for c in ("seg_zone", "seg_year", "seg_intervals")])
     joined = df.join(F.broadcast(table), (F.col("__qb_zone") == F.col("__qb_seg_zone")) & (F.col("__qb_year") == F.col("__qb_seg_year")), "left")
     at = F.col("__qb_at")

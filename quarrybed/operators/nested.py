@@ -137,10 +137,10 @@ def read_record(text: str | None):
     return value if isinstance(value, dict | list) else None
 
 
-def visit(record, list_keys: frozenset[str]) -> Iterator[tuple[str, str, str, str]]:
+def visit(record, list_keys: frozenset[str], payload: bool = True) -> Iterator[tuple[str, str, str, str | None]]:
     """(table_tag, item_path, parent_path, payload) of each item, parents before children.
 
-    The stack is a list, so depth is bounded by memory only. The payload holds what belongs to the item itself:
+    The stack is a list, so depth is bounded by memory only. The payload (null if not asked for) holds what belongs to the item itself:
     its scalars, scalar arrays and plain inner objects without the items inside them.
     """
     stack: list = [(record, "", "", "", "any")]
@@ -150,7 +150,7 @@ def visit(record, list_keys: frozenset[str]) -> Iterator[tuple[str, str, str, st
             stack.extend((v, f"{path}[{i}]", tag, parent, "array") for i, v in zip(range(len(value) - 1, -1, -1), reversed(value)) if isinstance(v, dict | list))
         elif isinstance(value, dict):
             if place == "array":
-                yield tag, path, parent, _dumps(_own(value, list_keys))
+                yield tag, path, parent, _dumps(_own(value, list_keys)) if payload else None
                 parent = path
             inner = []
             for k, v in value.items():
@@ -178,7 +178,7 @@ def _own(value: dict, list_keys: frozenset[str]) -> dict:
     return out
 
 
-def flatten_records(df: DataFrame, id_col: str, json_col: str, list_keys: Iterable[str] = LIST_KEYS) -> DataFrame:
+def flatten_records(df: DataFrame, id_col: str, json_col: str, list_keys: Iterable[str] = LIST_KEYS, payload: bool = True) -> DataFrame:
     """One row per object that stands in an array of the record, at any depth, linked to the object around it.
 
     ``item_path`` joins keys with ``.`` and appends ``[i]``; ``parent_path`` is the path of the nearest item around,
@@ -198,7 +198,7 @@ def flatten_records(df: DataFrame, id_col: str, json_col: str, list_keys: Iterab
                 record = read_record(text)
                 if record is None:
                     continue
-                for item in visit(record, keys):
+                for item in visit(record, keys, payload):
                     for c, v in zip(cols, (rid, *item)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], ["record_id", "table_tag", "item_path", "parent_path", "payload"])
@@ -215,9 +215,9 @@ def flatten_distinct(df: DataFrame, id_col: str, json_col: str, list_keys: Itera
     return rows.groupBy("record_id", "table_tag", "item_path", "parent_path").agg(F.min("payload").alias("payload"))
 
 
-def write_tables(rows: DataFrame, path: str) -> None:
-    """Write item rows partitioned by table tag. Tags are spread by tag and record, so a large one has many files."""
-    rows.withColumn("part", F.regexp_replace("table_tag", r"[^A-Za-z0-9_.]", "_")).repartition("part", F.pmod(F.xxhash64("record_id"), F.lit(64))).write.partitionBy("part").mode("errorifexists").parquet(path)
+def write_tables(rows: DataFrame, path: str, tasks: int = 64) -> None:
+    """Write item rows partitioned by table tag. A tag is written by up to ``tasks`` tasks, by record, so a large one is spread."""
+    rows.withColumn("part", F.regexp_replace("table_tag", r"[^A-Za-z0-9_.]", "_")).repartition("part", F.pmod(F.xxhash64("record_id"), F.lit(tasks))).write.partitionBy("part").mode("errorifexists").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from quarrybed.functions import usn
 from quarrybed.operators.hierarchy import build_trees, descendants
 from quarrybed.operators.instants import resolve, zone_table
-from quarrybed.operators.nested import flatten_distinct
+from quarrybed.operators.nested import flatten_distinct, flatten_records, read_table, write_tables
 from quarrybed.operators.periods import gaps_between, merge_spans
 from quarrybed.operators.runs import collapse_runs
-from quarrybed.session import stored, table
+from quarrybed.plans import problem_sql
+from quarrybed.session import scratch_path, stored, table
 
 GAP_TICKS = 600 * 10_000_000
 DAY = 86_400 * 1_000_000
@@ -92,7 +93,16 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_items(spark, d).where("entry_id is not null").select("entry_id", "parent_path", "item_path").distinct()
+    """The items' keys; what they hold is not written."""
+    rows = flatten_records(table(spark, d, "filesystem_entries"), "entry_id", "metadata_json", payload=False)
+    return rows.where("record_id is not null").select(F.col("record_id").alias("entry_id"), "parent_path", "item_path").distinct()
+
+
+def p6_tables(spark: SparkSession, d: str) -> DataFrame:
+    """All items written by table in one pass, and one of the flat tables read with its schema."""
+    path = scratch_path(spark, "tables")
+    write_tables(flatten_distinct(table(spark, d, "filesystem_entries"), "entry_id", "metadata_json"), path)
+    return read_table(spark, path, "message.recipients", "kind string, address string").withColumnRenamed("record_id", "entry_id")
 
 
 def p7_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +127,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p3_resolutions, p5_found, p5_descendants, p6_found, p6_items, p7_found)}
+    return {f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p3_resolutions, p5_found, p5_descendants, p6_found, p6_items, p6_tables, p7_found)}
 
 
 _REF = "CASE WHEN {r}.ref_version = 'v3' THEN {r}.high || ':' || {r}.low ELSE {r}.entry || '-' || {r}.sequence END"
@@ -127,18 +137,11 @@ t AS (SELECT *, epoch(strptime(substr(z, 1, 19), '%Y-%m-%dT%H:%M:%S'))::BIGINT *
 l AS (SELECT *, CASE WHEN lag(s) OVER w = s AND coalesce(abs(k - lag(k) OVER w) <= {GAP_TICKS}, true) THEN 0 ELSE 1 END AS n FROM t WINDOW w AS (PARTITION BY evidence_id, v ORDER BY usn)),
 g AS (SELECT *, sum(n) OVER (PARTITION BY evidence_id, v ORDER BY usn) AS run FROM l)
 """
-_TREES = f"""
-WITH RECURSIVE a AS (SELECT evidence_id AS t, {_REF.format(r='file_reference')} AS v, {_REF.format(r='parent_reference')} AS p, file_name AS n, usn FROM usn_records),
-r AS (SELECT t, v, arg_max(p, usn) AS p, arg_max(n, usn) AS n FROM a GROUP BY t, v),
-up(t, v, x, d, path) AS (SELECT t, v, v, 0, '' FROM r UNION ALL SELECT u.t, u.v, r.p, u.d + 1, CASE WHEN u.d = 0 THEN r.n ELSE r.n || '/' || u.path END FROM up u JOIN r ON r.t = u.t AND r.v = u.x AND r.p <> r.v WHERE u.d < 200),
-done AS (SELECT u.* FROM up u LEFT JOIN r ON r.t = u.t AND r.v = u.x WHERE r.v IS NULL OR r.p = r.v)
-"""
 
 
 def oracle_sql() -> dict:
-    """SQL of the problems that SQL can say at the size of the comparison; trees there are less than 200 levels deep."""
+    """SQL of the problems that SQL can say at the size of the comparison."""
     return {
+        **problem_sql.oracle_sql(),
         "p2_found": _RUNS + "SELECT evidence_id, min(usn) AS first_usn, max(usn) AS last_usn, count(*) AS event_count FROM g GROUP BY evidence_id, v, run HAVING count(*) > 1",
-        "p5_found": _TREES + "SELECT r.t AS evidence_id, r.v AS node_ref, coalesce(done.x, '') AS root_ref, coalesce(done.d, -1)::BIGINT AS depth, coalesce(done.path, '') AS full_path FROM r LEFT JOIN done ON done.t = r.t AND done.v = r.v",
-        "p5_descendants": _TREES + "SELECT up.t AS evidence_id, up.x AS ancestor_ref, up.v AS descendant_ref, up.d::BIGINT AS distance FROM up JOIN done ON done.t = up.t AND done.v = up.v JOIN r ON r.t = up.t AND r.v = up.x WHERE up.d > 0",
     }
