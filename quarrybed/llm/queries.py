@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrybed.functions import usn
 from quarrybed.llm import mixing, packing
 from quarrybed.llm.mailtext import mail_lines, new_text
 from quarrybed.llm.pii import detect_pii, redact_pii
 from quarrybed.llm.quality import quality_stats
+from quarrybed.llm.runs import collapse_runs, collapse_similar
 from quarrybed.llm.tokens import token_sizes
 from quarrybed.session import stored, table
 
+GAP_TICKS = 600 * 10_000_000
 HEADERS = ["from_header", "to_header", "cc_header", "reply_to"]
 
 
@@ -41,6 +44,31 @@ def p4_new_text(spark: SparkSession, d: str) -> DataFrame:
     return new_text(table(spark, d, "rfc822_metadata")).withColumnRenamed("record_id", "entry_id")
 
 
+def _events(spark: SparkSession, d: str) -> tuple:
+    """The change journal as events: frame, entity, order, state and ticks."""
+    rows = table(spark, d, "usn_records").select("evidence_id", "file_reference", "usn", "reason", "timestamp_utc")
+    return rows, [F.col("evidence_id"), *usn.ref_parts("file_reference")], F.col("usn"), usn.core_reason(F.col("reason")), usn.ticks(F.col("timestamp_utc"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return collapse_runs(*_events(spark, d), GAP_TICKS).select(F.col("k0").alias("evidence_id"), F.col("first_order").alias("first_usn"), F.col("last_order").alias("last_usn"), "event_count")
+
+
+_NODE = "concat(cast(k2 as string), if(k1 = 3, ':', '-'), cast(k3 as string))"
+
+
+def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    """Every run with its file, reason, count and duration."""
+    r = collapse_runs(*_events(spark, d), GAP_TICKS)
+    return r.select(F.col("k0").alias("evidence_id"), F.expr(_NODE).alias("node_ref"), F.col("state").alias("reason"), F.array_join(usn.reason_flags(F.col("state")), ",").alias("reason_flags"), F.col("first_order").alias("first_usn"), F.col("last_order").alias("last_usn"), "event_count", F.call_function("div", F.col("last_ticks") - F.col("first_ticks"), F.lit(10).cast("bigint")).alias("duration_micros"))
+
+
+def p2_near(spark: SparkSession, d: str) -> DataFrame:
+    """Runs whose reasons differ from the first one's in at most one flag."""
+    r = collapse_similar(*_events(spark, d), GAP_TICKS, 1)
+    return r.select(F.col("k0").alias("evidence_id"), F.expr(_NODE).alias("node_ref"), F.col("state").alias("anchor_reason"), F.col("first_order").alias("first_usn"), F.col("last_order").alias("last_usn"), "event_count")
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return stored(token_sizes(table(spark, d, "documents"), "doc_id", "text", ["source"]))
 
@@ -94,8 +122,29 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_new_text, p8_packed, p8_fill, p9_mixed, p9_shares, p9_full_shares, p10_found, p10_stats)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_collapsed, p2_near, p4_found, p4_new_text, p8_packed, p8_fill, p9_mixed, p9_shares, p9_full_shares, p10_found, p10_stats)}
+
+
+_REF = "CASE WHEN file_reference.ref_version = 'v3' THEN file_reference.high || ':' || file_reference.low ELSE file_reference.entry || '-' || file_reference.sequence END"
+_EVENTS = f"""
+WITH RECURSIVE r AS (SELECT DISTINCT evidence_id, {_REF} AS v, usn, reason & {usn.KNOWN & ~usn.CLOSE} AS s, timestamp_utc AS z FROM usn_records),
+t AS (SELECT *, epoch(strptime(substr(z, 1, 19), '%Y-%m-%dT%H:%M:%S'))::BIGINT * 10000000 + rpad(regexp_extract(z, '[.]([0-9]+)Z', 1), 7, '0')::BIGINT AS k, row_number() OVER (PARTITION BY evidence_id, v ORDER BY usn) AS i FROM r)"""
+_RUNS = _EVENTS + f""",
+l AS (SELECT *, CASE WHEN lag(s) OVER w = s AND coalesce(abs(k - lag(k) OVER w) <= {GAP_TICKS}, true) THEN 0 ELSE 1 END AS n FROM t WINDOW w AS (PARTITION BY evidence_id, v ORDER BY usn)),
+g AS (SELECT *, sum(n) OVER (PARTITION BY evidence_id, v ORDER BY usn) AS run FROM l)
+"""
+_FLAGS = ", ".join(f"CASE WHEN s & {b} <> 0 THEN '{n}' END" for b, n in usn.REASONS.items())
 
 
 def oracle_sql() -> dict:
-    return {}
+    """SQL for what it can say; other operators are tested against brute force."""
+    return {
+        "p2_found": _RUNS + "SELECT evidence_id, min(usn) AS first_usn, max(usn) AS last_usn, count(*) AS event_count FROM g GROUP BY evidence_id, v, run HAVING count(*) > 1",
+        "p2_collapsed": _RUNS + f""", c AS (SELECT evidence_id, v, s, min(usn) AS first_usn, max(usn) AS last_usn, count(*) AS event_count, arg_max(k, usn) FILTER (WHERE k IS NOT NULL) - arg_min(k, usn) FILTER (WHERE k IS NOT NULL) AS ticks FROM g GROUP BY evidence_id, v, s, run HAVING count(*) > 1)
+SELECT evidence_id, v AS node_ref, s AS reason, concat_ws(',', {_FLAGS}) AS reason_flags, first_usn, last_usn, event_count, CASE WHEN ticks < 0 THEN -(-ticks // 10) ELSE ticks // 10 END AS duration_micros FROM c""",
+        "p2_near": _EVENTS + f""",
+w(evidence_id, v, i, usn, anchor, run, k) AS (SELECT evidence_id, v, i, usn, s, usn, k FROM t WHERE i = 1
+ UNION ALL SELECT e.evidence_id, e.v, e.i, e.usn, CASE WHEN e.same THEN e.anchor ELSE e.s END, CASE WHEN e.same THEN e.run ELSE e.usn END, e.k FROM (
+  SELECT t.*, w.anchor, w.run, coalesce(bit_count(xor(t.s, w.anchor)) <= 1, false) AND coalesce(abs(t.k - w.k) <= {GAP_TICKS}, true) AS same FROM w JOIN t ON t.evidence_id = w.evidence_id AND t.v = w.v AND t.i = w.i + 1) e)
+SELECT evidence_id, v AS node_ref, min(anchor) AS anchor_reason, run AS first_usn, max(usn) AS last_usn, count(*) AS event_count FROM w GROUP BY evidence_id, v, run HAVING count(*) > 1""",
+    }
