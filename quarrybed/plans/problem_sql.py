@@ -6,7 +6,6 @@ give two candidates, and those that lead back to it count.
 
 from __future__ import annotations
 
-from quarrybed.functions import usn
 from quarrybed.operators import instants
 from quarrybed.operators.nested import LIST_KEYS
 

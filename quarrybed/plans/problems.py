@@ -10,30 +10,12 @@ from quarrybed.operators.hierarchy import build_trees, descendants
 from quarrybed.operators.instants import resolve, zone_table
 from quarrybed.operators.nested import flatten_distinct, flatten_records, read_table, write_tables
 from quarrybed.operators.periods import gaps_between, merge_spans
-from quarrybed.operators.runs import collapse_runs
 from quarrybed.plans import problem_sql
 from quarrybed.session import scratch_path, stored, table
 
-GAP_TICKS = 600 * 10_000_000
 DAY = 86_400 * 1_000_000
 
 
-def _runs(spark: SparkSession, d: str, least: int = 2) -> DataFrame:
-    rows = table(spark, d, "usn_records").select("evidence_id", "file_reference", "usn", "reason", "timestamp_utc")
-    return collapse_runs(rows, [F.col("evidence_id"), *usn.ref_parts("file_reference")], F.col("usn"), usn.core_reason(F.col("reason")), usn.ticks(F.col("timestamp_utc")), GAP_TICKS, least)
-
-
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _runs(spark, d).select(F.col("k0").alias("evidence_id"), F.col("first_order").alias("first_usn"), F.col("last_order").alias("last_usn"), "event_count")
-
-
-def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    """Every run with its file, reason, count and duration."""
-    r = _runs(spark, d)
-    ref = F.concat(F.col("k2").cast("string"), F.when(F.col("k1") == 3, ":").otherwise("-"), F.col("k3").cast("string"))
-    return r.select(F.col("k0").alias("evidence_id"), ref.alias("node_ref"), F.col("state").alias("reason"), F.array_join(usn.reason_flags(F.col("state")), ",").alias("reason_flags"), F.col("first_order").alias("first_usn"), F.col("last_order").alias("last_usn"), "event_count", F.call_function("div", F.col("last_ticks") - F.col("first_ticks"), F.lit(10).cast("bigint")).alias("duration_micros"))
-
-
 def abbreviations(spark: SparkSession, d: str) -> dict[str, int]:
     """The small fixed table of zone letters."""
     return {r[0].upper(): r[1] for r in table(spark, d, "zone_abbreviations").where("abbreviation is not null and offset_minutes is not null").collect()}
@@ -127,21 +109,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p3_resolutions, p5_found, p5_descendants, p6_found, p6_items, p6_tables, p7_found)}
-
-
-_REF = "CASE WHEN {r}.ref_version = 'v3' THEN {r}.high || ':' || {r}.low ELSE {r}.entry || '-' || {r}.sequence END"
-_RUNS = f"""
-WITH r AS (SELECT DISTINCT evidence_id, {_REF.format(r='file_reference')} AS v, usn, reason & {usn.KNOWN & ~usn.CLOSE} AS s, timestamp_utc AS z FROM usn_records),
-t AS (SELECT *, epoch(strptime(substr(z, 1, 19), '%Y-%m-%dT%H:%M:%S'))::BIGINT * 10000000 + rpad(regexp_extract(z, '[.]([0-9]+)Z', 1), 7, '0')::BIGINT AS k FROM r),
-l AS (SELECT *, CASE WHEN lag(s) OVER w = s AND coalesce(abs(k - lag(k) OVER w) <= {GAP_TICKS}, true) THEN 0 ELSE 1 END AS n FROM t WINDOW w AS (PARTITION BY evidence_id, v ORDER BY usn)),
-g AS (SELECT *, sum(n) OVER (PARTITION BY evidence_id, v ORDER BY usn) AS run FROM l)
-"""
+    return {f.__name__: f for f in (p3_found, p3_resolutions, p5_found, p5_descendants, p6_found, p6_items, p6_tables, p7_found)}
 
 
 def oracle_sql() -> dict:
     """SQL of the problems that SQL can say at the size of the comparison."""
-    return {
-        **problem_sql.oracle_sql(),
-        "p2_found": _RUNS + "SELECT evidence_id, min(usn) AS first_usn, max(usn) AS last_usn, count(*) AS event_count FROM g GROUP BY evidence_id, v, run HAVING count(*) > 1",
-    }
+    return problem_sql.oracle_sql()

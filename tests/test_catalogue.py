@@ -48,7 +48,6 @@ def test_others_run(spark, name):
 
 def test_found_columns(spark):
     want = {
-        "p2_found": "evidence_id bigint,first_usn bigint,last_usn bigint,event_count bigint",
         "p3_found": "source_table string,entry_id bigint,epoch_micros bigint",
         "p5_found": "evidence_id bigint,node_ref string,root_ref string,depth bigint,full_path string",
         "p6_found": "entry_id bigint,parent_path string,item_path string",
