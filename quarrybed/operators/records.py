@@ -58,24 +58,19 @@ def keyset_page(df: DataFrame, order: list[str], after: tuple | None, size: int)
     return df.orderBy(*order).limit(size + 1) if size else df.orderBy(*order)
 
 
-#: Bits between two sizes of block, and the sizes there are.
-_STEP, _LEVELS = 4, tuple(range(0, 60, 4))
+#: Bits between two sizes of block, and the bits of the largest.
+_STEP, _TOP = 4, 56
 
 
-def _blocks(start: Column, end: Column) -> Column:
+def _blocks(start: str, end: str) -> Column:
     """The aligned blocks that [start, end) is made of, as STRUCT<level, block>: at most thirty of each size, so their number
     grows with the logarithm of the interval's length."""
-    up = lambda x, l: F.shiftright(x + ((1 << l) - 1), l)
-    down = lambda x, l: F.shiftright(x, l)
-    parts = []
-    for l in _LEVELS:
-        a, b = up(start, l), down(end, l)
-        a2, b2 = F.shiftleft(up(start, l + _STEP), _STEP), F.shiftleft(down(end, l + _STEP), _STEP)
-        whole = F.lit(l == _LEVELS[-1]) | (a2 >= b2)
-        for lo, hi in ((a, F.when(whole, b).otherwise(F.least(b, a2))), (F.greatest(a, b2), F.when(whole, a).otherwise(b))):
-            run = F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
-            parts.append(F.transform(run, lambda x, l=l: F.struct(F.lit(l).alias("level"), x.alias("block"))))
-    return F.concat(*parts)
+    a, b = f"shiftright({start} + shiftleft(1L, l) - 1L, l)", f"shiftright({end}, l)"
+    # the same in blocks of the next size, back in this one
+    a2, b2 = (f"shiftleft(shiftright({x}, l + {_STEP}), {_STEP})" for x in (f"{start} + shiftleft(1L, l + {_STEP}) - 1L", end))
+    whole = f"(l = {_TOP} or {a2} >= {b2})"
+    run = lambda lo, hi: f"transform(if({lo} < {hi}, sequence({lo}, {hi} - 1L), array()), x -> struct(l as level, x as block))"
+    return F.expr(f"flatten(transform(sequence(0, {_TOP}, {_STEP}), l -> concat({run(a, f'if({whole}, {b}, least({b}, {a2}))')}, {run(f'greatest({a}, {b2})', f'if({whole}, {a}, {b})')})))")
 
 
 def interval_of(points: DataFrame, at: str, intervals: DataFrame, start: str, size: str, rank: str) -> DataFrame:
@@ -86,7 +81,8 @@ def interval_of(points: DataFrame, at: str, intervals: DataFrame, start: str, si
     that occur (fifteen at most), so the join is an equality whose hits are all true. A null point lies in none;
     intervals with a null or no positive size hold none; repeated points stay apart; the frames share no column name.
     """
-    cells = intervals.where(F.col(size) > 0).withColumn("__block", F.explode(_blocks(F.col(start).cast("bigint"), (F.col(start) + F.col(size)).cast("bigint"))))
+    spans = intervals.where(F.col(size) > 0).withColumns({"__s": F.col(start).cast("bigint"), "__e": (F.col(start) + F.col(size)).cast("bigint")})
+    cells = spans.withColumn("__block", F.explode(_blocks("__s", "__e"))).drop("__s", "__e")
     levels = sorted(r[0] for r in cells.select("__block.level").distinct().collect())
     p = points.withColumn("__id", F.monotonically_increasing_id())
     keys = F.array(*[F.struct(F.lit(l).alias("level"), F.shiftright(F.col(at).cast("bigint"), l).alias("block")) for l in levels]) if levels else F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("block")))

@@ -122,6 +122,23 @@ def _verified(hay: bytes, at: int, needle: bytes, encoding: str) -> bool:
     return True
 
 
+def earliest_match(content: Column, query: str) -> Column:
+    """STRUCT<offset, length, encoding> of the first match of a text in bytes, letters folded: plain before 16-bit little-endian
+    before big-endian where they begin together; null if there is none. A big-endian match one byte before a little-endian
+    one is only its shadow. Blank queries and null content match nothing."""
+    fold = ascii_lower(F.decode(content, "ISO-8859-1"))
+    size = {"ascii": len(query.encode()), "utf16le": len(query.encode("utf-16-le")), "utf16be": len(query.encode("utf-16-le"))}
+    place = {name: F.nullif(F.instr(fold, _folded(query.encode(cs)).decode("latin-1")), F.lit(0)) - 1 for name, cs in (("ascii", "utf-8"), ("utf16le", "utf-16-le"), ("utf16be", "utf-16-be"))}
+    place["utf16be"] = F.when(place["utf16be"] + 1 == F.coalesce(place["utf16le"], F.lit(-9)), None).otherwise(place["utf16be"])
+    found = [F.when(at.isNotNull(), F.struct(at.cast("bigint").alias("offset"), F.lit(rank).alias("rank"), F.lit(size[name]).alias("length"), F.lit(name).alias("encoding"))) for rank, (name, at) in enumerate(place.items())]
+    best = F.least(*found)
+    return F.when(best.isNotNull() & F.lit(bool(query.strip())), F.struct(best.offset.alias("offset"), best.length.alias("length"), best.encoding.alias("encoding")))
+
+
+def _folded(data: bytes) -> bytes:
+    return data.translate(_FOLD)
+
+
 Finder = Callable[[bytes], Iterable[tuple[int, int]]]
 
 

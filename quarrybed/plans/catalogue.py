@@ -6,42 +6,20 @@ where SQL cannot say it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrybed.functions import labels, text, times, usn
-from quarrybed.operators import artifacts, browser, carving, records, report, search
+from quarrybed import jobs
+from quarrybed.functions import json, labels, text, times, usn
+from quarrybed.operators import activities, artifacts, browser, carving, records, report, search
+from quarrybed.plans.registry import ENTRIES, FOLD, QUERIES, SQL, cases, entries, little, query, raw
 from quarrybed.session import table
 from quarrybed.sources.decoders import decode
 from quarrybed.streaming import incremental
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def entries(spark: SparkSession, d: str) -> DataFrame:
-    """File system entries, each once."""
-    return table(spark, d, "filesystem_entries").drop("ingested_at").distinct()
-
-
-ENTRIES = "(SELECT DISTINCT * EXCLUDE (ingested_at) FROM filesystem_entries)"
-
 
 def field(name: str):
-    return F.try_variant_get(F.try_parse_json("metadata_json"), f"$.{name}", "string")
+    return json.at(F.col("metadata_json"), name)
 
 
 def field_sql(name: str) -> str:
@@ -52,10 +30,11 @@ def field_sql(name: str) -> str:
 
 
 def document_entries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Documents as entries, and the text of those of known language as parsed segments."""
+    """Documents as entries, and the text of those of known language as parsed segments, which cut through words."""
     docs = table(spark, d, "documents")
     found = docs.select(F.col("doc_id").alias("entry_id"), F.lit(1).cast("bigint").alias("evidence_id"), F.concat_ws("/", F.lit(""), "source", "doc_id").alias("logical_path"), F.format_string("%d.txt", "doc_id").alias("entry_name"), F.lit("file").alias("entry_kind"), F.lit("{}").alias("metadata_json"), F.col("text").cast("binary").alias("content_head"))
-    segments = docs.where("lang is not null").select(F.col("doc_id").alias("entry_id"), F.lit("text").alias("parser_name"), F.lit("body").alias("part_name"), F.lit(0).alias("segment_index"), F.col("text").alias("content"))
+    pieces = F.regexp_extract_all("text", F.lit("(?s).{1,400}"), F.lit(0))
+    segments = docs.where("lang is not null").select(F.col("doc_id").alias("entry_id"), F.lit("text").alias("parser_name"), F.lit("body").alias("part_name"), F.posexplode(pieces).alias("segment_index", "content"))
     return found, segments
 
 
@@ -77,51 +56,92 @@ def search_page_keyset(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT entry_id, logical_path FROM {ENTRIES} WHERE instr(translate(logical_path, {FOLD}), 'report') > 0 OR instr(translate(entry_name, {FOLD}), 'report') > 0 OR instr(translate(metadata_json, {FOLD}), 'report') > 0")
 def path_contains(spark: SparkSession, d: str) -> DataFrame:
-    return entries(spark, d).where(search.path_match("REPORT")).select("entry_id", "logical_path")
+    return table(spark, d, "filesystem_entries").where(search.path_match("REPORT")).select("entry_id", "logical_path").distinct()
 
 
 @query(f"SELECT entry_id, entry_name FROM {ENTRIES} WHERE translate(entry_name, {FOLD}) LIKE '%.pdf' OR translate(entry_name, {FOLD}) LIKE '%.t_t'")
 def extension_filter(spark: SparkSession, d: str) -> DataFrame:
     """The underscore of an extension is a wildcard."""
-    return search.scope(entries(spark, d), None, [".pdf", "t_t"]).select("entry_id", "entry_name")
-
-
-@query("SELECT doc_id, CAST(instr(text, 'hashed again') - 1 AS BIGINT) AS match_offset FROM documents WHERE instr(text, 'hashed again') > 0 AND strlen(text) = length(text)")
-def content_offset(spark: SparkSession, d: str) -> DataFrame:
-    """Byte offset of the first exact match, in texts where a character is a byte."""
-    docs = table(spark, d, "documents").where(F.octet_length("text") == F.char_length("text"))
-    return docs.select("doc_id", text.byte_find(F.col("text").cast("binary"), b"hashed again").alias("match_offset")).where("match_offset is not null")
+    return search.scope(table(spark, d, "filesystem_entries"), None, [".pdf", "t_t"]).select("entry_id", "entry_name").distinct()
 
 
 @query("SELECT doc_id, CAST(octet_length(encode(left(text, instr(text, 'hashed again') - 1))) AS BIGINT) AS match_offset FROM documents WHERE instr(text, 'hashed again') > 0")
-def content_offset_all(spark: SparkSession, d: str) -> DataFrame:
+def content_offset(spark: SparkSession, d: str) -> DataFrame:
     """Byte offset of the first exact match, in texts of any characters."""
     docs = table(spark, d, "documents")
     return docs.select("doc_id", text.byte_find(F.col("text").cast("binary"), b"hashed again").alias("match_offset")).where("match_offset is not null")
 
 
-@query("SELECT doc_id, CAST((length(text) - length(replace(text, 'scan', ''))) / 4 AS BIGINT) AS hits FROM documents WHERE contains(text, 'scan')")
+@query("""
+WITH t AS (SELECT doc_id, text, string_split(text, 'scan') AS parts FROM documents WHERE contains(text, 'scan')),
+h AS (SELECT doc_id, text, array_to_string(parts[1:i], 'scan') AS before FROM (SELECT *, unnest(generate_series(1, len(parts) - 1)) AS i FROM t)),
+o AS (SELECT doc_id, octet_length(encode(before)) AS pos, encode(text) AS b FROM h)
+SELECT doc_id, CAST(pos AS BIGINT) AS match_offset, pos // 512 AS sector, 'hex' AS encoding, hex(b[greatest(pos - 7, 1):pos + 12]) AS preview FROM o""")
 def raw_exact_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Matches of a byte pattern in chunks that overlap, counted per stream."""
+    """Matches of a byte pattern in chunks that overlap, with place and preview."""
     streams = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").cast("binary").alias("bytes"))
     hits = search.raw_search(search.chunked(streams, 4096, 3), "hex:" + b"scan".hex())
-    return hits.groupBy(F.col("source_id").alias("doc_id")).agg(F.count("*").alias("hits"))
+    return hits.select(F.col("source_id").alias("doc_id"), F.col("offset").alias("match_offset"), "sector", "encoding", F.replace("hex_preview", F.lit(" ")).alias("preview"))
 
 
-@query()
+@query(rf"""
+WITH t AS (SELECT doc_id, translate(text, {FOLD}) AS f, text FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, string_split(f, 'shadow copy') AS parts FROM t WHERE contains(f, 'shadow copy')),
+h AS (SELECT doc_id, array_to_string(parts[1:i], 'shadow copy') AS before FROM (SELECT *, unnest(generate_series(1, len(parts) - 1)) AS i FROM p)),
+o AS (SELECT doc_id, before, 2 * (length(before) + len(regexp_extract_all(before, '[\x{{10000}}-\x{{10FFFF}}]'))) AS pos FROM h)
+SELECT doc_id, CAST(pos AS BIGINT) AS match_offset, 22 AS match_length, 'utf16le' AS encoding, 1 AS encoding_rank, pos // 512 AS sector FROM o
+UNION ALL SELECT doc_id, CAST(pos - 1 AS BIGINT), 22, 'utf16be', 2, (pos - 1) // 512 FROM o WHERE pos > 0 AND unicode(right(before, 1)) < 256""")
 def raw_utf16_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Text in 16-bit characters, letters folded; a match in one byte order casts a shadow in the other, a byte before it."""
     streams = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.encode("text", "UTF-16LE").alias("bytes"))
-    return search.raw_search(search.chunked(streams, 8192, 64), "Shadow Copy")
+    hits = search.raw_search(search.chunked(streams, 8192, 64), "Shadow Copy")
+    return hits.select(F.col("source_id").alias("doc_id"), F.col("offset").alias("match_offset"), F.col("length").alias("match_length"), "encoding", "encoding_rank", "sector")
 
 
-@query()
+@query("""
+WITH s AS (SELECT doc_id, n_chars % 5000 AS a, doc_id % 700 AS b FROM documents WHERE n_chars IS NOT NULL), o AS (SELECT *, a + 20 + b AS png, a + 20 + b + 20 + b AS bmp FROM s)
+SELECT doc_id, a AS file_offset, CAST(20 AS BIGINT) AS length, 'jpg' AS extension, 'footer' AS basis, true AS definitive FROM o
+UNION ALL SELECT doc_id, png, CAST(20 + b AS BIGINT), 'png', 'footer', true FROM o
+UNION ALL SELECT doc_id, bmp, CAST(40 AS BIGINT), 'bmp', 'declared size', true FROM o
+UNION ALL SELECT doc_id, bmp + 40, CAST(25 AS BIGINT), 'pdf', 'no footer', false FROM o
+UNION ALL SELECT doc_id, bmp + 60, CAST(5 AS BIGINT), 'gz', 'end of stream', false FROM o""")
 def carve_hits(spark: SparkSession, d: str) -> DataFrame:
-    return carving.carve(table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.encode("text", "UTF-8").alias("bytes")))
+    """Streams put together from files of known kinds: nested headers are hidden, footers need what follows them, chunks cut
+    through files."""
+    docs = table(spark, d, "documents").where("n_chars is not null")
+    fill = lambda c, n: F.repeat(F.lit(c), n.cast("int")).cast("binary")
+    a, b = F.col("n_chars") % 5000, F.col("doc_id") % 700
+    bmp = F.concat(raw(b"BM"), little(F.lit(40), 4), F.repeat(F.lit("m"), 34).cast("binary"))
+    data = F.concat(fill("x", a), raw(b"\xff\xd8\xff\xe0 GIF8 inside..\xff\xd9"), fill("y", b), raw(b"\x89PNG\r\n\x1a\n"), fill("z", b), raw(b"....IEND1234"), bmp, raw(b"%PDF-1.7 never close\x1f\x8b\x08zz"))
+    found = carving.carve(docs.select(F.col("doc_id").alias("source_id"), data.alias("bytes")), 1024)
+    return found.select(F.col("source_id").alias("doc_id"), F.col("offset").alias("file_offset"), "length", "extension", "basis", "definitive")
 
 
-@query()
+@query("""
+SELECT doc_id, 512 * (1 + doc_id % 40) AS file_offset, CASE doc_id % 5 WHEN 0 THEN 'ntfs' WHEN 1 THEN 'fat32' WHEN 2 THEN 'exfat' WHEN 3 THEN 'bitlocker' ELSE 'ext' END AS file_system FROM documents
+WHERE NOT (512 * (1 + doc_id % 40) >= 4096 AND 512 * (1 + doc_id % 40) < 8192)""")
 def sector_scan(spark: SparkSession, d: str) -> DataFrame:
-    return carving.lost_file_systems(table(spark, d, "filesystem_entries").select(F.col("entry_id").alias("source_id"), F.col("content_head").alias("bytes")))
+    """File systems that begin at a sector of a stream, in gaps between partitions; half of a chunk lies before some."""
+    docs = table(spark, d, "documents").select("doc_id")
+    zeros = lambda n: F.repeat(F.lit("00"), n)
+    boot = lambda at, name: F.concat(zeros(F.lit(at)), F.lit(name.hex()), zeros(F.lit(510 - at - len(name))), F.lit("55aa"), zeros(F.lit(1536)))
+    k = F.col("doc_id") % 5
+    volume = F.when(k == 0, boot(3, b"NTFS")).when(k == 1, boot(82, b"FAT32")).when(k == 2, boot(3, b"EXFAT")).when(k == 3, boot(3, b"-FVE-FS-")).otherwise(F.concat(zeros(F.lit(1080)), F.lit("53ef"), zeros(F.lit(966))))
+    data = F.unhex(F.concat(zeros((F.lit(512) * (1 + F.col("doc_id") % 40)).cast("int")), volume))
+    found = carving.lost_file_systems(docs.select(F.col("doc_id").alias("source_id"), data.alias("bytes")), size=1024)
+    parts = spark.createDataFrame([(1, 4096, 4096)], "partition bigint, start_at bigint, size_at bigint")
+    return carving.in_gaps(found, parts).select(F.col("source_id").alias("doc_id"), F.col("offset").alias("file_offset"), "file_system")
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, doc_id % 3 AS k, translate(text, {FOLD}) AS f FROM documents WHERE text IS NOT NULL), h AS (SELECT *, left(f, instr(f, 'shadow copy') - 1) AS before FROM t WHERE contains(f, 'shadow copy'))
+SELECT doc_id, CAST(CASE WHEN k = 0 THEN octet_length(encode(before)) ELSE 2 * (length(before) + len(regexp_extract_all(before, '[\\x{{10000}}-\\x{{10FFFF}}]'))) END AS BIGINT) AS match_offset, CASE k WHEN 0 THEN 11 ELSE 22 END AS length, CASE k WHEN 0 THEN 'ascii' WHEN 1 THEN 'utf16le' ELSE 'utf16be' END AS encoding FROM h""")
+def content_earliest(spark: SparkSession, d: str) -> DataFrame:
+    """The first match in content of any of three encodings."""
+    k = F.col("doc_id") % 3
+    data = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.encode("text", "UTF-16LE")).otherwise(F.encode("text", "UTF-16BE"))
+    m = table(spark, d, "documents").select("doc_id", search.earliest_match(data, "Shadow Copy").alias("m")).where("m is not null")
+    return m.select("doc_id", F.col("m.offset").alias("match_offset"), "m.length", "m.encoding")
 
 
 # Aggregates, categories, tree, timeline ---------------------------------------------------------------------------------
@@ -129,7 +149,7 @@ def sector_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT coalesce({field_sql('artifact_kind')}, 'Uncategorized') AS category_main, entry_kind AS category_sub, count(*) AS entries FROM {ENTRIES} GROUP BY ALL")
 def category_counts(spark: SparkSession, d: str) -> DataFrame:
-    return entries(spark, d).groupBy(F.coalesce(field("artifact_kind"), F.lit("Uncategorized")).alias("category_main"), F.col("entry_kind").alias("category_sub")).agg(F.count("*").alias("entries"))
+    return artifacts.category_counts(entries(spark, d, field("artifact_kind").alias("main"), "entry_kind"), F.col("main"), F.col("entry_kind"))
 
 
 @query("""
@@ -137,9 +157,7 @@ WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER B
 SELECT source, doc_id, n AS place, total, greatest(total - 10, 0) AS omitted FROM r WHERE n <= 10""")
 def category_topk_omitted(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
-    top = docs.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where("place <= 10")
-    counts = docs.groupBy("source").agg(F.count("*").alias("total"))
-    return top.join(counts, "source").select("source", "doc_id", F.col("place").cast("bigint").alias("place"), "total", F.greatest(F.col("total") - 10, F.lit(0)).alias("omitted"))
+    return records.bounded_listing(docs, ["source"], [F.desc("n_chars"), "doc_id"], 10).select("source", "doc_id", "place", "total", "omitted")
 
 
 @query("""
@@ -152,23 +170,31 @@ def latest_per_group(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT s.evidence_id, s.attach_status, count(e.entry_id) AS k FROM evidence_sources s LEFT JOIN (SELECT DISTINCT entry_id, evidence_id FROM filesystem_entries) e USING (evidence_id) GROUP BY 1, 2)
-SELECT evidence_id, attach_status, k AS entries_indexed, CASE WHEN k = 0 THEN 'not indexed' WHEN attach_status = 'attached' THEN 'complete: ' || k || ' entries' ELSE 'partial: ' || k || ' entries, source ' || attach_status END AS coverage FROM n""")
+SELECT evidence_id, k AS entries_indexed, CASE WHEN k = 0 THEN 'Processing has not been run.' WHEN attach_status = 'attached' THEN 'All ' || k || ' entries were processed.' WHEN k > 30 THEN 'Processing stopped at its limit of 30 after ' || k || ' entries; the rest was not examined.' ELSE 'Processing failed after ' || k || ' entries.' END AS coverage, k > 0 AND attach_status <> 'attached' AS incomplete FROM n""")
 def evidence_coverage(spark: SparkSession, d: str) -> DataFrame:
-    counts = table(spark, d, "filesystem_entries").select("entry_id", "evidence_id").distinct().groupBy("evidence_id").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    cover = F.when(n == 0, "not indexed").when(F.col("attach_status") == "attached", F.format_string("complete: %d entries", n)).otherwise(F.format_string("partial: %d entries, source %s", n, F.col("attach_status")))
-    return table(spark, d, "evidence_sources").join(counts, "evidence_id", "left").select("evidence_id", "attach_status", n.alias("entries_indexed"), cover.alias("coverage"))
+    counted = report.entries_per_source(table(spark, d, "evidence_sources"), table(spark, d, "filesystem_entries"))
+    n = F.col("entries_indexed")
+    status = F.when(n == 0, "none").when(F.col("attach_status") == "attached", "complete").when(n > 30, "truncated").otherwise("failed")
+    return counted.select("evidence_id", n, jobs.coverage_text(status, n, F.lit(30)).alias("coverage"), jobs.is_incomplete(status).alias("incomplete"))
 
 
-@query("SELECT event_type, count(*) AS candidates, count(*) FILTER (WHERE value >= 50) AS parsed, count(*) FILTER (WHERE value < 50) AS partial, count(*) FILTER (WHERE value IS NULL) AS failed, count(DISTINCT user_id) AS sources FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS candidates, count(*) FILTER (WHERE value >= 50) AS parsed, count(*) FILTER (WHERE value < 50 AND value >= 10) AS partial, count(*) FILTER (WHERE value < 10 OR value IS NULL) AS failed, count(DISTINCT user_id) AS sources FROM events GROUP BY 1")
 def kind_counters(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("candidates"), F.count_if(F.col("value") >= 50).alias("parsed"), F.count_if(F.col("value") < 50).alias("partial"), F.count_if(F.col("value").isNull()).alias("failed"), F.countDistinct("user_id").alias("sources"))
+    v = F.col("value")
+    status = F.when(v >= 50, "parsed").when(v >= 10, "partial").otherwise("failed")
+    return records.outcome_counts(table(spark, d, "events"), ["event_type"], status, F.col("user_id"), ("parsed", "partial", "failed"))
 
 
-@query("SELECT l_orderkey AS pair_id, min(nullif(l_linenumber - 1, 0)) AS first_used, max(nullif(l_linenumber - 1, 0)) AS last_used, count(nullif(l_linenumber - 1, 0)) AS uses FROM lineitem GROUP BY 1")
+@query("""
+WITH a AS (SELECT o_orderkey AS pair_id, o_orderpriority AS name, CAST(o_orderkey AS VARCHAR) AS value, CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS n, CASE WHEN o_orderstatus = 'F' THEN o_custkey + 5 END AS c FROM orders),
+u AS (SELECT l_orderkey AS pair_id, min(nullif(l_linenumber - 1, 0)) AS lo, max(nullif(l_linenumber - 1, 0)) AS hi, count(nullif(l_linenumber - 1, 0)) AS k FROM lineitem GROUP BY 1)
+SELECT name, value, coalesce(n, k) AS uses, coalesce(c, lo) AS first_used, hi AS last_used FROM a LEFT JOIN u USING (pair_id)""")
 def autofill_agg(spark: SparkSession, d: str) -> DataFrame:
-    used = F.nullif(F.col("l_linenumber") - 1, F.lit(0))
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pair_id")).agg(F.min(used).alias("first_used"), F.max(used).alias("last_used"), F.count(used).alias("uses"))
+    """Form values of profiles of two generations: dates of use within the row, or in a table of their own with 0 for none."""
+    known = F.col("o_orderstatus") == "F"
+    forms = table(spark, d, "orders").select(F.col("o_orderkey").alias("pair_id"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").cast("string").alias("value"), F.when(known, F.col("o_custkey")).alias("count"), F.when(known, F.col("o_custkey") + 5).alias("date_created"))
+    dates = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pair_id"), (F.col("l_linenumber") - 1).cast("bigint").alias("date_created"))
+    return browser.chromium_autofill(forms, dates)
 
 
 @query("""
@@ -181,7 +207,7 @@ def url_chain(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS candidates, max(entry_id) AS high_water, count(DISTINCT entry_id) AS different FROM usn_records")
 def snapshot_hwm(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "usn_records").agg(F.count("*").alias("candidates"), F.max("entry_id").alias("high_water"), F.countDistinct("entry_id").alias("different"))
+    return records.snapshot(table(spark, d, "usn_records"), "entry_id")
 
 
 @query(r"""
@@ -192,16 +218,6 @@ def path_ancestors(spark: SparkSession, d: str) -> DataFrame:
     return paths.select(F.explode(text.path_prefixes(F.col("logical_path"))).alias("ancestor")).groupBy("ancestor").agg(F.count("*").alias("entries_below"))
 
 
-@query(r"""
-WITH p AS (SELECT DISTINCT logical_path, list_filter(string_split(replace(logical_path, '\', '/'), '/'), lambda x: x <> '') AS parts FROM filesystem_entries)
-SELECT logical_path, len(parts) - 1 AS indent, parts[-1] AS line FROM p WHERE len(parts) > 0 ORDER BY parts, logical_path LIMIT 500""")
-def tree_lines(spark: SparkSession, d: str) -> DataFrame:
-    """A directory tree cut after so many lines: the limit is the feature."""
-    parts = text.path_parts(F.col("logical_path"))
-    rows = table(spark, d, "filesystem_entries").select("logical_path").distinct().withColumn("parts", parts).where("size(parts) > 0")
-    return rows.orderBy("parts", "logical_path").limit(500).select("logical_path", (F.size("parts") - 1).cast("bigint").alias("indent"), F.element_at("parts", -1).alias("line"))
-
-
 #: Lines of the tree of one source in a report.
 TREE_LINES = 2000
 
@@ -210,30 +226,30 @@ TREE_LINES = 2000
 WITH p AS (SELECT DISTINCT evidence_id, logical_path, list_filter(string_split(replace(logical_path, '\', '/'), '/'), lambda x: x <> '') AS parts FROM filesystem_entries),
 r AS (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY parts, logical_path) AS place, count(*) OVER (PARTITION BY evidence_id) AS total FROM p WHERE len(parts) > 0)
 SELECT evidence_id, place, logical_path, len(parts) - 1 AS indent, parts[-1] AS line, total, greatest(total - {TREE_LINES}, 0) AS omitted FROM r WHERE place <= {TREE_LINES}""")
-def tree_lines_omitted(spark: SparkSession, d: str) -> DataFrame:
+def tree_lines(spark: SparkSession, d: str) -> DataFrame:
     """The directory tree of each source up to a report's bound, and how many lines were left out."""
     parts = text.path_parts(F.col("logical_path"))
     rows = table(spark, d, "filesystem_entries").select("evidence_id", "logical_path").distinct().withColumn("parts", parts).where("size(parts) > 0")
-    top = rows.withColumn("place", F.row_number().over(Window.partitionBy("evidence_id").orderBy("parts", "logical_path"))).where(F.col("place") <= TREE_LINES)
-    counts = rows.groupBy(F.col("evidence_id").alias("source")).agg(F.count("*").alias("total"))
-    counted = top.join(counts, F.col("evidence_id").eqNullSafe(F.col("source")))
-    return counted.select("evidence_id", F.col("place").cast("bigint").alias("place"), "logical_path", (F.size("parts") - 1).cast("bigint").alias("indent"), F.element_at("parts", -1).alias("line"), "total", F.greatest(F.col("total") - TREE_LINES, F.lit(0)).alias("omitted"))
+    top = records.bounded_listing(rows, ["evidence_id"], ["parts", "logical_path"], TREE_LINES)
+    return top.select("evidence_id", "place", "logical_path", (F.size("parts") - 1).cast("bigint").alias("indent"), F.element_at("parts", -1).alias("line"), "total", "omitted")
 
 
-@query("SELECT event_id, epoch_us(ts) AS at_micros FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00'")
+@query("SELECT event_id, epoch_us(ts) AS at_micros FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00' OR (value > 50 AND ts + INTERVAL 3 DAY BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00')")
 def timeline_range(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").where(F.col("ts").between(F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-12 12:00:00").cast("timestamp")))
-    return rows.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_micros"))
+    """Rows any of whose stamps lies in the range; a missing stamp does not."""
+    later = F.when(F.col("value") > 50, F.expr("ts + interval 3 days"))
+    within = artifacts.any_time_within([F.col("ts").cast("timestamp"), later.cast("timestamp")], F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-12 12:00:00").cast("timestamp"))
+    return table(spark, d, "events").where(within).select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_micros"))
 
 
 @query(f"""
 WITH r AS (SELECT doc_id, translate(text, {FOLD}) AS k FROM documents WHERE text IS NOT NULL)
-SELECT min(doc_id) AS doc_id, count(*) AS copies FROM r GROUP BY k""")
+SELECT min(doc_id) AS doc_id FROM r GROUP BY k""")
 def dedupe_first_wins(spark: SparkSession, d: str) -> DataFrame:
     """Exact copies up to ASCII case: the first one stands for all. Only a digest and the length of each text are shuffled."""
     folded = text.ascii_lower(F.col("text"))
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(folded, 256).alias("k"), F.char_length("text").alias("n"))
-    return docs.groupBy("k", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+    return records.first_wins(docs.select("doc_id", "k", "n"), [F.col("k"), F.col("n")], ["doc_id"]).select("doc_id")
 
 
 @query("""
@@ -247,46 +263,53 @@ def diagnostics_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT coalesce(activity_type, -1) AS activity_type, count(*) AS records FROM (SELECT DISTINCT entry_id, activity_type FROM activity) GROUP BY 1")
 def activity_type_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "activity").select("entry_id", "activity_type").distinct().groupBy(F.coalesce("activity_type", F.lit(-1)).alias("activity_type")).agg(F.count("*").alias("records"))
+    return activities.type_counts(table(spark, d, "activity"))
 
 
 @query("""
 SELECT evidence_id, list_aggregate(list_distinct(list(usn_version)), 'max') AS newest_version, count(*) AS records, count(*) FILTER (WHERE unknown_reason_bits <> 0) AS unknown_reasons, count(*) FILTER (WHERE timestamp_utc IS NULL) AS without_time
 FROM (SELECT DISTINCT entry_id, evidence_id, usn_version, unknown_reason_bits, timestamp_utc FROM usn_records) GROUP BY 1""")
 def parse_statistics(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "usn_records").select("entry_id", "evidence_id", "usn_version", "unknown_reason_bits", "timestamp_utc").distinct()
-    return rows.groupBy("evidence_id").agg(F.max("usn_version").alias("newest_version"), F.count("*").alias("records"), F.count_if(F.col("unknown_reason_bits") != 0).alias("unknown_reasons"), F.count_if(F.col("timestamp_utc").isNull()).alias("without_time"))
+    return artifacts.journal_statistics(table(spark, d, "usn_records"))
 
 
 # Joins and windows --------------------------------------------------------------------------------------------------------
 
 
 @query("""
-WITH v AS (SELECT event_id, user_id, ts, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_visit FROM events)
-SELECT v.event_id, v.event_type, r.event_id AS referrer_id, r.event_type AS referrer_type, o.event_id AS opener_id, o.event_type AS opener_type
-FROM v LEFT JOIN v r ON r.event_id = v.from_visit LEFT JOIN v o ON o.event_id = r.from_visit""")
+WITH v AS (SELECT event_id AS id, user_id, epoch_us(ts) AS t, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev, event_id - 2 AS opener, value FROM events), n AS (SELECT v.*, 'https://h' || user_id || '.example/p' AS url FROM v)
+SELECT n.id AS visit_id, n.url, r.url AS referrer_url, r.t AS referrer_micros, o.url AS opener_url, CASE WHEN n.id % 5 = 0 THEN 'synced' WHEN n.id % 5 = 1 THEN 'extension' ELSE 'local' END AS visit_source, CASE WHEN n.user_id % 2 = 0 THEN 'title ' || n.user_id ELSE n.url END AS display_name
+FROM n LEFT JOIN n r ON r.id = n.prev LEFT JOIN n o ON o.id = n.opener""")
 def visit_chain(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "events").select("event_id", "event_type", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("from_visit"))
-    r = v.select(F.col("event_id").alias("referrer_id"), F.col("event_type").alias("referrer_type"), F.col("from_visit").alias("opener"))
-    o = v.select(F.col("event_id").alias("opener_id"), F.col("event_type").alias("opener_type"))
-    return v.join(r, v.from_visit == r.referrer_id, "left").join(o, F.col("opener") == o.opener_id, "left").select("event_id", "event_type", "referrer_id", "referrer_type", "opener_id", "opener_type")
+    """Visits with the ones they came from and the ones that opened them, and with the table of sources that some profiles have."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    visits = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("url"), (F.unix_micros(F.col("ts").cast("timestamp")) + times.CHROME_SHIFT).alias("visit_time"), F.lag("event_id").over(order).alias("from_visit"), (F.col("event_id") - 2).alias("opener_visit"))
+    urls = visits.select(F.col("url").alias("id")).distinct().select("id", F.format_string("https://h%d.example/p", "id").alias("url"), F.when(F.col("id") % 2 == 0, F.format_string(" title %d ", "id")).otherwise(" ").alias("title"))
+    codes = {v: k for k, v in labels.VISIT_SOURCES.items()}
+    sources = visits.where("id % 5 < 2").select("id", F.when(F.col("id") % 5 == 0, codes["synced"]).otherwise(codes["extension"]).alias("source"))
+    return browser.chromium_visits(visits, urls, sources).select("visit_id", "url", "referrer_url", "referrer_micros", "opener_url", "visit_source", "display_name")
 
 
-@query("SELECT event_id, event_type AS term, user_id AS url_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS ordinal FROM events")
+@query("SELECT event_type AS term, user_id AS url_id, 'https://s.example/' || user_id AS url, CASE WHEN user_id % 3 > 0 THEN user_id * 1000000 END AS at_micros, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS ordinal FROM events")
 def search_term_rank(spark: SparkSession, d: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("event_id"))
-    return table(spark, d, "events").select("event_id", F.col("event_type").alias("term"), F.col("user_id").alias("url_id"), n.cast("bigint").alias("ordinal"))
+    ev = table(spark, d, "events")
+    terms = ev.select(F.col("event_type").alias("term"), F.col("user_id").alias("url_id"), F.col("event_id").alias("rowid"))
+    last = F.when(F.col("user_id") % 3 > 0, F.col("user_id") * 1_000_000 + times.CHROME_SHIFT).otherwise(0)
+    urls = ev.select("user_id").distinct().select(F.col("user_id").alias("id"), F.format_string("https://s.example/%d", "user_id").alias("url"), last.alias("last_visit_time"))
+    return browser.chromium_searches(terms, urls).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 @query("""
-WITH v AS (SELECT s_suppkey AS volume, CAST((s_suppkey - 1) * 5000 AS BIGINT) AS start_at, CAST(4000 AS BIGINT) AS size_at FROM supplier),
-h AS (SELECT doc_id, doc_id * 37 AS hit_at FROM documents)
-SELECT h.doc_id, h.hit_at, v.volume, CASE WHEN v.volume IS NULL THEN 'partition-gap/unpartitioned' ELSE 'in-partition' END AS region, h.hit_at // 512 AS sector
-FROM h LEFT JOIN v ON h.hit_at >= v.start_at AND h.hit_at < v.start_at + v.size_at""")
+WITH v AS (SELECT s_suppkey AS volume, CAST((s_suppkey - 1) * 5000 AS BIGINT) AS start_at, CAST(4000 + 3000 * (s_suppkey % 2) AS BIGINT) AS size_at FROM supplier),
+h AS (SELECT doc_id, doc_id * 37 AS hit_at FROM documents),
+j AS (SELECT h.doc_id, h.hit_at, min(v.volume) AS volume FROM h LEFT JOIN v ON h.hit_at >= v.start_at AND h.hit_at < v.start_at + v.size_at GROUP BY 1, 2)
+SELECT doc_id, hit_at, volume, CASE WHEN volume IS NULL THEN 'partition-gap/unpartitioned' ELSE 'in-partition' END AS region, hit_at // 512 AS sector FROM j""")
 def range_attribution(spark: SparkSession, d: str) -> DataFrame:
-    vols = table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("volume"), ((F.col("s_suppkey") - 1) * 5000).cast("bigint").alias("start_at"), F.lit(4000).cast("bigint").alias("size_at"))
+    """Intervals overlap here: the one listed first counts."""
+    size = 4000 + 3000 * (F.col("s_suppkey") % 2)
+    vols = table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("volume"), ((F.col("s_suppkey") - 1) * 5000).cast("bigint").alias("start_at"), size.cast("bigint").alias("size_at"))
     hits = table(spark, d, "documents").select("doc_id", (F.col("doc_id") * 37).alias("hit_at"))
-    got = records.interval_of(hits, "hit_at", vols, "start_at", "size_at", "volume", 4096)
+    got = records.interval_of(hits, "hit_at", vols, "start_at", "size_at", "volume")
     return got.select("doc_id", "hit_at", "volume", F.when(F.col("volume").isNull(), "partition-gap/unpartitioned").otherwise("in-partition").alias("region"), F.call_function("div", F.col("hit_at"), F.lit(512).cast("bigint")).alias("sector"))
 
 
@@ -306,33 +329,41 @@ def pair_assembly(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE n(id, parent, name) AS (SELECT CAST(n_nationkey + 100 AS BIGINT), CAST(n_regionkey AS BIGINT), n_name FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT), NULL, r_name FROM region),
-t(id, path, depth) AS (SELECT id, '/' || name, 0 FROM n WHERE parent IS NULL UNION ALL SELECT n.id, t.path || '/' || n.name, t.depth + 1 FROM n JOIN t ON n.parent = t.id)
-SELECT id, path, depth FROM t""")
+WITH RECURSIVE n(id, parent, name) AS (SELECT CAST(n_nationkey + 100 AS BIGINT), CAST(n_regionkey AS BIGINT), n_name FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT), NULL, r_name FROM region UNION ALL SELECT 1000 + c_custkey, c_nationkey + 100, c_name FROM customer),
+t(id, path, depth) AS (SELECT id, '', 0 FROM n WHERE parent IS NULL UNION ALL SELECT n.id, CASE WHEN t.path = '' THEN n.name ELSE t.path || '/' || n.name END, t.depth + 1 FROM n JOIN t ON n.parent = t.id)
+SELECT CAST(id AS VARCHAR) AS node_id, path, CAST(depth AS BIGINT) AS depth FROM t""")
 def recursive_ancestry(spark: SparkSession, d: str) -> DataFrame:
-    nodes = table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("bigint").alias("id"), F.col("n_regionkey").cast("bigint").alias("parent"), F.col("n_name").alias("name"))
-    nodes = nodes.unionByName(table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("parent"), F.col("r_name").alias("name")))
-    nodes.createOrReplaceTempView("qb_nodes")
-    return spark.sql("WITH RECURSIVE t(id, path, depth) AS (SELECT id, concat('/', name), 0 FROM qb_nodes WHERE parent IS NULL UNION ALL SELECT n.id, concat(t.path, '/', n.name), t.depth + 1 FROM qb_nodes n JOIN t ON n.parent = t.id) SELECT id, path, depth FROM t")
+    """Folders of bookmarks with the names above them, by the hierarchy operator."""
+    nodes = table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("bigint").alias("node_id"), F.col("n_regionkey").cast("bigint").alias("parent_id"), F.col("n_name").alias("name"))
+    nodes = nodes.unionByName(table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("node_id"), F.lit(None).cast("bigint").alias("parent_id"), F.col("r_name").alias("name")))
+    nodes = nodes.unionByName(table(spark, d, "customer").select((1000 + F.col("c_custkey")).alias("node_id"), (F.col("c_nationkey") + 100).cast("bigint").alias("parent_id"), F.col("c_name").alias("name")))
+    return browser.bookmark_paths(nodes).select("node_id", "path", "depth")
 
 
-@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+@query("SELECT o_orderkey AS entry_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_linestatus = 'F')")
 def anti_pending(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
+    """Candidates without a finished result of this parser version; results of others and failures do not count."""
+    found = table(spark, d, "orders").select(F.col("o_orderkey").alias("entry_id"))
+    committed = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("entry_id"), F.when(F.col("l_linestatus") == "F", "lnk-1").otherwise("lnk-0").alias("parser_name"), F.when(F.col("l_returnflag") == "R", F.when(F.col("l_linenumber") % 2 == 0, "parsed").otherwise("partial")).otherwise("failed").alias("status"))
+    return artifacts.pending(found, committed, "lnk-1")
 
 
 @query("SELECT l_orderkey AS staged_id, l_linenumber AS ordinal, o_orderkey * 10 AS entry_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
 def staged_remap(spark: SparkSession, d: str) -> DataFrame:
-    to = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("staged_id"), (F.col("o_orderkey") * 10).alias("entry_id"))
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("staged_id"), F.col("l_linenumber").alias("ordinal")).join(to, "staged_id")
+    to = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", (F.col("o_orderkey") * 10).alias("new_id"))
+    staged = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("staged_id"), F.col("l_linenumber").alias("ordinal"))
+    return records.remapped(staged, "staged_id", to, "o_orderkey", "new_id", "entry_id")
 
 
-@query("SELECT e.entry_id, e.entry_name, p.entry_name AS parent_name FROM " + ENTRIES + " e LEFT JOIN " + ENTRIES + " p ON e.parent_id = p.entry_id")
+@query("""
+SELECT p_partkey AS id, p_name AS title, CASE WHEN p_partkey % 4 > 0 THEN 'https://n' || p_size || '.example' END AS url, n_name AS folder, CASE WHEN p_partkey % 3 > 0 THEN p_partkey * 7 END AS added_micros
+FROM part LEFT JOIN nation ON n_nationkey = p_partkey % 30""")
 def parent_title(spark: SparkSession, d: str) -> DataFrame:
-    e = entries(spark, d)
-    p = e.select(F.col("entry_id").alias("pid"), F.col("entry_name").alias("parent_name"))
-    return e.join(p, e.parent_id == p.pid, "left").select("entry_id", "entry_name", "parent_name")
+    """Bookmarks with the titles of their folders, which are rows of the same table; some folders are missing."""
+    marks = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_size")).cast("bigint").alias("fk"), F.col("p_name").alias("title"), (F.col("p_partkey") % 30 + 10_000_000_000).alias("parent"), F.lit(1).alias("type"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey") * 7).otherwise(0).cast("bigint").alias("dateAdded"))
+    folders = table(spark, d, "nation").select((F.col("n_nationkey") + 10_000_000_000).alias("id"), F.lit(None).cast("bigint").alias("fk"), F.col("n_name").alias("title"), F.lit(0).cast("bigint").alias("parent"), F.lit(2).alias("type"), F.lit(0).cast("bigint").alias("dateAdded"))
+    places = table(spark, d, "part").select(F.col("p_size").cast("bigint").alias("id")).distinct().select("id", F.format_string("https://n%d.example", "id").alias("url"))
+    return browser.firefox_bookmarks(marks.unionByName(folders), places)
 
 
 @query("""
@@ -345,28 +376,30 @@ def rolling_rate(spark: SparkSession, d: str) -> DataFrame:
     return records.rolling_rate(c, ["user_id"], "sec", "done", 100_000).select("user_id", "sec", F.round("rate", 6).alias("rate"))
 
 
-@query("SELECT event_type AS record_kind, event_id AS record_id, CAST(user_id AS VARCHAR) AS subject FROM events WHERE event_type IN ('click', 'view', 'signup') UNION ALL SELECT 'order', o_orderkey, CAST(o_custkey AS VARCHAR) FROM orders UNION ALL SELECT 'part', p_partkey, p_name FROM part")
+@query("""
+SELECT record_kind, count(*) AS records, min(t) AS first_micros, max(t) AS last_micros FROM (
+ SELECT 'visit' AS record_kind, epoch_us(ts) AS t FROM events WHERE event_type IN ('click', 'view')
+ UNION ALL SELECT 'search', CASE WHEN p_partkey % 2 = 0 THEN nullif(p_partkey, 0) END FROM part
+ UNION ALL SELECT 'cookie', nullif(o_custkey, 0) * 1000000 FROM orders) GROUP BY 1""")
 def union_records(spark: SparkSession, d: str) -> DataFrame:
-    ev = table(spark, d, "events").where(F.col("event_type").isin("click", "view", "signup")).select(F.col("event_type").alias("record_kind"), F.col("event_id").cast("bigint").alias("record_id"), F.col("user_id").cast("string").alias("subject"))
-    od = table(spark, d, "orders").select(F.lit("order").alias("record_kind"), F.col("o_orderkey").cast("bigint").alias("record_id"), F.col("o_custkey").cast("string").alias("subject"))
-    pt = table(spark, d, "part").select(F.lit("part").alias("record_kind"), F.col("p_partkey").cast("bigint").alias("record_id"), F.col("p_name").alias("subject"))
-    return ev.unionByName(od).unionByName(pt)
+    """Records of several kinds in one stream, counted by kind."""
+    ev = table(spark, d, "events").where(F.col("event_type").isin("click", "view")).select(F.col("event_id").alias("visit_id"), F.col("event_type").alias("title"), F.unix_micros(F.col("ts").cast("timestamp")).alias("visit_micros"))
+    history = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("searchbar-history").alias("fieldname"), F.col("p_name").alias("value"), F.lit(1).alias("timesUsed"), F.lit(0).cast("bigint").alias("firstUsed"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey")).otherwise(0).cast("bigint").alias("lastUsed"))
+    searches = browser.firefox_searches(history).withColumn("first_micros", F.col("last_micros"))
+    cookies = browser.firefox_cookies(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("h.example").alias("host"), F.lit("n").alias("name"), (F.col("o_custkey") * 1_000_000).alias("creationTime")))
+    return browser.record_counts(browser.activity_stream({"visit": ev, "search": searches, "cookie": cookies}))
 
 
 # Scalar functions ------------------------------------------------------------------------------------------------------------
 
 
-def _case(expr: str, names: dict, otherwise: str) -> str:
-    return f"CASE {expr} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in names.items()) + f" ELSE {otherwise} END"
-
-
-@query(f"SELECT event_id, {_case('(event_id * 7) & 255', labels.TRANSITIONS, repr('unknown'))} AS transition_type, " + " || ".join(f"CASE WHEN (event_id * 2654435 & {b}) <> 0 THEN '{n},' ELSE '' END" for b, n in labels.QUALIFIERS.items()) + " AS qualifiers FROM events")
+@query(f"SELECT event_id, {cases('(event_id * 7) & 255', labels.TRANSITIONS, repr('unknown'))} AS transition_type, " + " || ".join(f"CASE WHEN (event_id * 2654435 & {b}) <> 0 THEN '{n},' ELSE '' END" for b, n in labels.QUALIFIERS.items()) + " AS qualifiers FROM events")
 def transition_labels(spark: SparkSession, d: str) -> DataFrame:
     q = labels.transition_qualifiers(F.col("event_id") * 2654435)
     return table(spark, d, "events").select("event_id", labels.transition_type(F.col("event_id") * 7).alias("transition_type"), F.array_join(F.transform(q, lambda x: F.concat(x, F.lit(","))), "").alias("qualifiers"))
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, {_case('l_linenumber - 1', labels.DOWNLOAD_STATES, "'unknown (' || (l_linenumber - 1) || ')'")} AS state, {_case('l_suppkey % 52', labels.INTERRUPTS, "'unknown (' || (l_suppkey % 52) || ')'")} AS reason, {_case('l_partkey % 10', labels.DANGERS, "'unknown (' || (l_partkey % 10) || ')'")} AS danger, {_case('l_partkey % 12', labels.FIREFOX_VISITS, repr('unknown'))} AS visit, {_case('l_partkey % 12', labels.FIREFOX_DOWNLOADS, "'unknown (' || (l_partkey % 12) || ')'")} AS ff_state FROM lineitem""")
+@query(f"""SELECT l_orderkey, l_linenumber, {cases('l_linenumber - 1', labels.DOWNLOAD_STATES, "'unknown (' || (l_linenumber - 1) || ')'")} AS state, {cases('l_suppkey % 52', labels.INTERRUPTS, "'unknown (' || (l_suppkey % 52) || ')'")} AS reason, {cases('l_partkey % 10', labels.DANGERS, "'unknown (' || (l_partkey % 10) || ')'")} AS danger, {cases('l_partkey % 12', labels.FIREFOX_VISITS, repr('unknown'))} AS visit, {cases('l_partkey % 12', labels.FIREFOX_DOWNLOADS, "'unknown (' || (l_partkey % 12) || ')'")} AS ff_state FROM lineitem""")
 def code_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", labels.label(F.col("l_linenumber") - 1, labels.DOWNLOAD_STATES).alias("state"), labels.label(F.col("l_suppkey") % 52, labels.INTERRUPTS).alias("reason"), labels.label(F.col("l_partkey") % 10, labels.DANGERS).alias("danger"), labels.label(F.col("l_partkey") % 12, labels.FIREFOX_VISITS, "unknown").alias("visit"), labels.label(F.col("l_partkey") % 12, labels.FIREFOX_DOWNLOADS).alias("ff_state"))
 
@@ -379,8 +412,9 @@ def usn_reason_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT entry_id, file_reference.raw & 281474976710655 AS entry_number, file_reference.raw >> 48 AS sequence_number FROM (SELECT DISTINCT entry_id, file_reference FROM usn_records) WHERE file_reference.raw IS NOT NULL")
 def usn_reference_split(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.col("file_reference.raw")
-    return table(spark, d, "usn_records").select("entry_id", "file_reference").distinct().where(raw.isNotNull()).select("entry_id", raw.bitwiseAND(F.lit(281474976710655)).alias("entry_number"), F.shiftrightunsigned(raw, 48).alias("sequence_number"))
+    entry, sequence = usn.split_reference(F.col("raw"))
+    rows = table(spark, d, "usn_records").select("entry_id", F.col("file_reference.raw").alias("raw")).where("raw is not null").distinct()
+    return rows.select("entry_id", entry.alias("entry_number"), sequence.alias("sequence_number"))
 
 
 @query("""
@@ -426,14 +460,20 @@ def outcome_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", labels.download_outcome(F.col("l_linenumber") - 1, k * 1000, k * 2000, F.lit("1.5s"), F.lit(20)).alias("outcome"))
 
 
-@query(f"SELECT entry_id, {field_sql('artifact_kind')} AS kind, coalesce({field_sql('parser')}, {field_sql('prefetch.header.executable')}) AS first_value, {field_sql('lnk.header.flags')} AS nested_value FROM {ENTRIES}")
+@query(f"SELECT entry_id, {field_sql('artifact_kind')} AS kind, coalesce(nullif({field_sql('prefetch.header.executable')}, ''), nullif({field_sql('parser')}, '')) AS first_value, {field_sql('lnk.header.flags')} AS nested_value FROM {ENTRIES}")
 def json_path(spark: SparkSession, d: str) -> DataFrame:
-    return entries(spark, d).select("entry_id", field("artifact_kind").alias("kind"), F.coalesce(field("parser"), field("prefetch.header.executable")).alias("first_value"), field("lnk.header.flags").alias("nested_value"))
+    first = json.first_of(F.col("metadata_json"), "prefetch.header.executable", "parser")
+    return entries(spark, d, field("artifact_kind").alias("kind"), first.alias("first_value"), field("lnk.header.flags").alias("nested_value"))
 
 
-@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("""
+WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '{"k": "' || user_id || '"}' WHEN 2 THEN '{"k": ' || user_id || '.75}' WHEN 3 THEN '{"k": -' || (user_id + 1) || '}' ELSE '{"k": "x"}' END AS j FROM events)
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN try_cast(json_extract_string(j, '$.k') AS BIGINT) WHEN 1 THEN try_cast(json_extract_string(j, '$.k') AS BIGINT) WHEN 2 THEN CAST(floor(json_extract_string(j, '$.k')::DOUBLE) AS BIGINT) END AS k FROM t""")
 def lenient_number(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    """Numbers written as numbers, as text and with decimals; negative ones and words are none."""
+    k, u = F.col("event_id") % 5, F.col("user_id")
+    made = F.when(k == 0, F.col("props")).when(k == 1, F.format_string('{"k": "%d"}', u)).when(k == 2, F.format_string('{"k": %d.75}', u)).when(k == 3, F.format_string('{"k": -%d}', u + 1)).otherwise('{"k": "x"}')
+    return table(spark, d, "events").select("event_id", made.alias("j")).select("event_id", json.lenient_number(F.col("j"), "k").alias("k"))
 
 
 @query(r"""
@@ -480,21 +520,29 @@ p AS (SELECT doc_id, regexp_extract(line, '^\s*([A-Za-z_][A-Za-z0-9_.\-]*)\s*[=:
 SELECT doc_id, k AS key_name, count(*) AS assignments, min(v) AS least_value FROM p WHERE k <> '' GROUP BY ALL""")
 def line_assignments(spark: SparkSession, d: str) -> DataFrame:
     """KEY=VALUE and KEY: VALUE lines, the raw material of secret leads."""
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    pattern = r"^\s*([A-Za-z_][A-Za-z0-9_.\-]*)\s*[=:]\s*(\S.*)$"
-    pairs = lines.select("doc_id", F.regexp_extract("line", pattern, 1).alias("key_name"), F.trim(F.regexp_extract("line", pattern, 2)).alias("v")).where("key_name <> ''")
-    return pairs.groupBy("doc_id", "key_name").agg(F.count("*").alias("assignments"), F.min("v").alias("least_value"))
+    pairs = artifacts.assignment_lines(table(spark, d, "documents"), "doc_id", "text")
+    return pairs.groupBy("doc_id", "key_name").agg(F.count("*").alias("assignments"), F.min("value").alias("least_value"))
 
 
 @query(f"SELECT entry_id, CASE WHEN content_head IS NULL OR octet_length(content_head) = 0 THEN 'unreadable' WHEN false THEN '' " + " ".join(f"WHEN starts_with(hex(content_head[1:16]), '{m}') THEN '{e}'" for m, e, _ in text.MAGIC) + f" ELSE 'unknown' END AS sniffed FROM {ENTRIES}")
 def sniffed_types(spark: SparkSession, d: str) -> DataFrame:
     head = F.col("content_head")
-    return entries(spark, d).select("entry_id", F.when(head.isNull() | (F.octet_length(head) == 0), "unreadable").otherwise(F.coalesce(text.sniffed(head), F.lit("unknown"))).alias("sniffed"))
+    return entries(spark, d, F.when(head.isNull() | (F.octet_length(head) == 0), "unreadable").otherwise(F.coalesce(text.sniffed(head), F.lit("unknown"))).alias("sniffed"))
 
 
-@query()
+_MAGIC_SQL = "CASE " + " ".join(f"WHEN starts_with(h, '{m}') THEN '{e}'" for m, e, _ in text.MAGIC) + " END"
+
+
+@query(f"""
+WITH f AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'a.JPG' WHEN 1 THEN 'b.docx' WHEN 2 THEN 'c' WHEN 3 THEN 'd.png' WHEN 4 THEN 'e.dll' WHEN 5 THEN 'f.tar.gz' ELSE 'g.db' END AS n, CASE doc_id % 6 WHEN 0 THEN 'FFD8FFE000' WHEN 1 THEN '504B030414' WHEN 2 THEN '4D5A9000' WHEN 3 THEN '1F8B0800' WHEN 4 THEN '00112233' ELSE '' END AS h FROM documents),
+e AS (SELECT doc_id, h, nullif(lower(regexp_extract(n, '[.]([A-Za-z0-9_]+)$', 1)), '') AS x, {_MAGIC_SQL} AS m FROM f)
+SELECT doc_id, CASE WHEN h = '' THEN 'unreadable' WHEN m IS NULL THEN 'unknown' WHEN x IS NULL THEN 'no_extension' WHEN x = m THEN 'match' WHEN CASE x {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in text.ALIASES.items())} END = m THEN 'alias' ELSE 'mismatch' END AS outcome FROM e""")
 def signature_analysis(spark: SparkSession, d: str) -> DataFrame:
-    return entries(spark, d).groupBy(text.signature_outcome(F.col("entry_name"), F.col("content_head")).alias("outcome")).agg(F.count("*").alias("entries"))
+    """Names' extensions against first bytes, in all combinations."""
+    pick = lambda k, *vs: F.element_at(F.array(*[F.lit(v) for v in vs]), (F.col("doc_id") % k + 1).cast("int"))
+    names = pick(7, "a.JPG", "b.docx", "c", "d.png", "e.dll", "f.tar.gz", "g.db")
+    heads = F.unhex(pick(6, "FFD8FFE000", "504B030414", "4D5A9000", "1F8B0800", "00112233", ""))
+    return table(spark, d, "documents").select("doc_id", text.signature_outcome(names, heads).alias("outcome"))
 
 
 # Sources, decoders, rules ----------------------------------------------------------------------------------------------------
@@ -510,7 +558,7 @@ WITH e AS (SELECT entry_id, {_norm_sql()} AS p, translate(entry_name, {FOLD}) AS
 SELECT entry_id, CASE WHEN contains(p, '/windows/system32/tasks/') THEN 'scheduled_task' WHEN n LIKE '%.lnk' OR p LIKE '%.lnk' THEN 'shell_link' WHEN n LIKE '%.pf' OR p LIKE '%.pf' THEN 'prefetch' WHEN n LIKE '%.evtx' OR p LIKE '%.evtx' THEN 'event_log' ELSE 'recycle_bin' END AS artifact_source
 FROM e WHERE NOT contains(p, '/windows/winsxs/') AND (contains(p, '/windows/system32/tasks/') OR n LIKE '%.lnk' OR p LIKE '%.lnk' OR n LIKE '%.pf' OR p LIKE '%.pf' OR n LIKE '%.evtx' OR p LIKE '%.evtx' OR (contains(p, 'recycle.bin/') AND regexp_extract(p, '[^/]*$') LIKE '$i%'))""")
 def windows_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return artifacts.candidates(entries(spark, d)).select("entry_id", "artifact_source")
+    return artifacts.candidates(table(spark, d, "filesystem_entries")).select("entry_id", "artifact_source").distinct()
 
 
 @query("""
@@ -526,15 +574,6 @@ def recycle_bin_decoded(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("source_id").alias("entry_id"), F.col("version").cast("int").alias("version"), "original_size", "deleted_micros", "original_path")
 
 
-@query("SELECT DISTINCT entry_id, from_header, subject, message_id FROM rfc822_metadata WHERE regexp_full_match(coalesce(from_header, 'x'), '[ -~]+') AND regexp_full_match(coalesce(subject, 'x'), '[!-~]([ -~]*[!-~])?') AND NOT contains(coalesce(subject, ''), '  ') AND NOT contains(coalesce(subject, ''), '=?') AND message_id IS NOT NULL AND from_header IS NOT NULL AND subject IS NOT NULL AND NOT contains(from_header, '  ')")
-def eml_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Mails put into transport form and parsed again, where headers are plain ASCII."""
-    rows = table(spark, d, "rfc822_metadata").where("message_id is not null and from_header is not null and subject is not null").where(F.col("from_header").rlike("^[ -~]+$") & F.col("subject").rlike("^[!-~]([ -~]*[!-~])?$") & ~F.col("subject").contains("  ") & ~F.col("subject").contains("=?") & ~F.col("from_header").contains("  "))
-    raw = F.concat(F.lit("From: "), "from_header", F.lit("\r\nSubject: "), "subject", F.lit("\r\nMessage-ID: "), "message_id", F.lit("\r\n\r\n"), F.coalesce("body_preview", F.lit("")))
-    out = decode(rows.select("entry_id", F.encode(raw, "UTF-8").alias("bytes")).distinct(), "mail_message", "entry_id", "bytes")
-    return out.select(F.col("source_id").alias("entry_id"), "from_header", "subject", "message_id").distinct()
-
-
 def mail_header(name: str, column: str):
     """A header line: nothing if null, printable ASCII as it is, else (or with '=?' in it) base64 encoded words, a line each."""
     c = F.col(column)
@@ -543,8 +582,11 @@ def mail_header(name: str, column: str):
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
 
-@query()
-def eml_parse_all(spark: SparkSession, d: str) -> DataFrame:
+_BLANKS = "trim(regexp_replace({c}, '\\\\s+', ' ', 'g')) AS {c}"
+
+
+@query(f"SELECT DISTINCT entry_id, {', '.join(_BLANKS.format(c=c) for c in ('from_header', 'subject', 'message_id'))} FROM rfc822_metadata".replace("\\\\", "\\"))
+def eml_parse(spark: SparkSession, d: str) -> DataFrame:
     """Every mail put into transport form and parsed again, whatever its headers hold."""
     headers = {"From": "from_header", "Subject": "subject", "Message-ID": "message_id"}
     raw = F.concat(*[mail_header(k, c) for k, c in headers.items()], F.lit("\r\n"), F.coalesce("body_preview", F.lit("")))
@@ -552,12 +594,24 @@ def eml_parse_all(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("source_id").alias("entry_id"), "from_header", "subject", "message_id").distinct()
 
 
-@query()
+@query("""
+WITH k AS (SELECT doc_id, source, doc_id % 6 AS f, 'p' || doc_id AS v FROM documents)
+SELECT doc_id, 'db_password' AS secret_key, v AS secret_value, 'line 3' AS location FROM k WHERE f = 0 UNION ALL SELECT doc_id, 'API-ACCESS.KEY', v, 'line 4' FROM k WHERE f = 0
+UNION ALL SELECT doc_id, 'Token', v, '$.a[1].Token' FROM k WHERE f = 1 UNION ALL SELECT doc_id, 'secret', '7', '$.secret' FROM k WHERE f = 1
+UNION ALL SELECT doc_id, 'Password', v, 'Password' FROM k WHERE f = 2
+UNION ALL SELECT doc_id, 'u@h.example/r', v, 'line 2' FROM k WHERE f = 3
+UNION ALL SELECT doc_id, 'me@h.example', v, 'line 1' FROM k WHERE f = 4""")
 def secret_leads(spark: SparkSession, d: str) -> DataFrame:
-    return artifacts.secret_leads(table(spark, d, "documents"), "doc_id", "text")
+    """Secrets in settings, JSON, XML and stored logins put together from each document's id; every sixth text has none."""
+    v, k = F.format_string("p%d", "doc_id"), F.col("doc_id") % 6
+    lines = F.concat(F.lit("# password=no\nuser = ann\nexport db_password = '"), v, F.lit("'\nAPI-ACCESS.KEY: "), v, F.lit("\ntoken=\n"))
+    tree = F.concat(F.lit('{"a": [1, {"Token": "'), v, F.lit('", "name": "x"}], "secret": 7, "pwd": null}'))
+    made = F.when(k == 0, lines).when(k == 1, tree).when(k == 2, F.concat(F.lit("<c><Password> "), v, F.lit(" </Password><User>u</User></c>"))).when(k == 3, F.concat(F.lit("https://h.example\nhttps://u:"), v, F.lit("@h.example/r\n"))).when(k == 4, F.concat(F.lit("machine h.example login me password "), v)).otherwise(F.concat(F.lit("keyboard: us\npasswords are bad\n"), "source"))
+    docs = table(spark, d, "documents").select("doc_id", made.alias("t"), F.when(k == 3, "/u/.git-credentials").when(k == 4, "C:\\u\\.netrc").alias("n"))
+    return artifacts.secret_leads(docs, "doc_id", "t", "n").withColumnRenamed("source_id", "doc_id")
 
 
-@query("SELECT user_id AS url_id, event_id AS visit_id, 'u' || user_id AS url, epoch_us(ts) AS visit_micros, " + _case("event_id % 9", labels.FIREFOX_VISITS, repr("unknown")) + " AS visit_type FROM events")
+@query("SELECT user_id AS url_id, event_id AS visit_id, 'u' || user_id AS url, epoch_us(ts) AS visit_micros, " + cases("event_id % 9", labels.FIREFOX_VISITS, repr("unknown")) + " AS visit_type FROM events")
 def firefox_visits(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
     visits = ev.select(F.col("event_id").alias("id"), F.col("user_id").alias("place_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("visit_date"), (F.col("event_id") % 9).alias("visit_type"))
@@ -601,8 +655,11 @@ def failed_attempts_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    from quarrybed.plans import browsing, casework, decoding  # noqa: F401  (they register their queries)
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return dict(_SQL)
+    queries()
+    return dict(SQL)

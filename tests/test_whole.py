@@ -10,7 +10,7 @@ def test_all_mails(spark, tmp_path):
     heads = [("Ann <a@x.test>", "plain", "<1@x>"), ("Zoë Ingström <z@x.test>", long, "<2@x>"), ("A  B <b@x.test>", "a =?utf-8?q?b?= c", None), ("C", None, "<4@x>"), (None, " ß  two ", None), (None, None, None), ("", "line\r\nTo: x", "<ü@x>")]
     rows = [(i, *h, "body: x\n\nÜ") for i, h in enumerate(heads)]
     spark.createDataFrame(rows + rows[:2], "entry_id bigint, from_header string, subject string, message_id string, body_preview string").write.parquet(f"{tmp_path}/rfc822_metadata.parquet")
-    got = {tuple(r) for r in catalogue.eml_parse_all(spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in catalogue.eml_parse(spark, str(tmp_path)).collect()}
     assert got == {(i, *(h if h is None else " ".join(h.split()) for h in hs)) for i, hs in enumerate(heads)}
 
 
@@ -20,8 +20,8 @@ def test_offsets_in_all_texts(spark, tmp_path):
     want = {(i, t.encode().find(b"hashed again")) for i, t in enumerate(texts) if t and "hashed again" in t}
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    assert want == set(con.execute(catalogue.oracle_sql()["content_offset_all"]).fetchall())
-    assert {tuple(r) for r in catalogue.content_offset_all(spark, str(tmp_path)).collect()} == want
+    assert want == set(con.execute(catalogue.oracle_sql()["content_offset"]).fetchall())
+    assert {tuple(r) for r in catalogue.content_offset(spark, str(tmp_path)).collect()} == want
 
 
 def test_trees_say_what_they_omit(spark, tmp_path):
@@ -32,5 +32,5 @@ def test_trees_say_what_they_omit(spark, tmp_path):
     for e in (1, 2, None):
         rows = sorted(r[1:] for r in split if r[0] == e and r[1])
         want |= {(e, k, p, len(parts) - 1, parts[-1], len(rows), max(len(rows) - 2000, 0)) for k, (parts, p) in enumerate(rows[:2000], 1)}
-    got = [tuple(r) for r in catalogue.tree_lines_omitted(spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in catalogue.tree_lines(spark, str(tmp_path)).collect()]
     assert len(got) == 2003 and set(got) == want and {r[6] for r in got if r[0] == 1} == {3}
