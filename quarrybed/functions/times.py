@@ -53,9 +53,10 @@ def safari_micros(c: Column) -> Column:
 
 
 def timeline_micros(text: Column) -> Column:
-    """Numbers in text: above 1e17 100 ns since 1601, above 1e10 milliseconds, else seconds; not above 0 is none."""
+    """Numbers in text: above 1e17 100 ns since 1601, above 1e10 milliseconds, else seconds; not above 0 is none, nor is
+    what no instant in microseconds can hold."""
     n = F.trim(text).try_cast("bigint")
-    return F.when(n <= 0, F.lit(None).cast("bigint")).when(n > 100_000_000_000_000_000, filetime_micros(n)).when(n > 10_000_000_000, n * 1_000).otherwise(n * 1_000_000)
+    return F.when(n <= 0, F.lit(None).cast("bigint")).when(n > 100_000_000_000_000_000, filetime_micros(n)).when(n > 10_000_000_000, F.try_multiply(n, F.lit(1_000))).otherwise(n * 1_000_000)
 
 
 def sentinel_date(text: Column) -> Column:

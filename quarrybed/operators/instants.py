@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrybed.functions.text import let
+
 #: Bare numbers count only if they lie in these years, the second not included.
 FROM_S, TO_S = 946684800, 2208988800
 #: Seconds from 1601 to 1970.
@@ -186,11 +188,6 @@ def _iana(name: str) -> Column:
     return F.expr(f"CASE WHEN lower({name}) IN ({listed}) THEN lower({name}) END")
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def parse(text: Column, abbreviations: dict[str, int]) -> Column:
     """Text to STRUCT<micros, local_micros, zone>: a stated instant, or a local time with the zone it names ('' for
     none), or all null. ``abbreviations`` maps upper-case letters to minutes."""
@@ -234,7 +231,7 @@ def parse(text: Column, abbreviations: dict[str, int]) -> Column:
             named = F.when(x.m.isNull(), zone)
             return F.struct((x.t - x.m * 60_000_000).alias("micros"), F.when(named.isNotNull(), x.t).alias("local_micros"), named.alias("zone"))
 
-        return _let(F.struct(local(p).alias("t"), minutes(zone).alias("m")), done)
+        return let(F.struct(local(p).alias("t"), minutes(zone).alias("m")), done)
 
     def bare(s: Column) -> Column:
         pattern = r"^(\d{1,19})(?:\.(\d+))?$"
@@ -243,12 +240,12 @@ def parse(text: Column, abbreviations: dict[str, int]) -> Column:
             seconds = F.when((x.n >= FROM_S) & (x.n < TO_S), x.n * 1_000_000 + F.rpad(F.substring(x.f, 1, 6), 6, "0").try_cast("bigint"))
             return F.struct(F.when(x.f == "", number_micros(x.n)).otherwise(seconds).alias("micros"), none.alias("local_micros"), F.lit(None).cast("string").alias("zone"))
 
-        return _let(F.struct(F.regexp_extract(s, pattern, 1).try_cast("bigint").alias("n"), F.regexp_extract(s, pattern, 2).alias("f")), count)
+        return let(F.struct(F.regexp_extract(s, pattern, 1).try_cast("bigint").alias("n"), F.regexp_extract(s, pattern, 2).alias("f")), count)
 
     def read(s: Column) -> Column:
-        return F.when(s.rlike(r"^\d+(?:\.\d+)?$"), bare(s)).otherwise(_let(canonical(s), written))
+        return F.when(s.rlike(r"^\d+(?:\.\d+)?$"), bare(s)).otherwise(let(canonical(s), written))
 
-    return _let(F.trim(F.regexp_replace(F.regexp_replace(text, r"\([^()]*\)", " "), r"[\s\u00a0\u202f\u2009]+", " ")), read)
+    return let(F.trim(F.regexp_replace(F.regexp_replace(text, r"\([^()]*\)", " "), r"[\s\u00a0\u202f\u2009]+", " ")), read)
 
 
 def resolve(df: DataFrame, value: Column, out: str, hints: list[Column], abbreviations: dict[str, int], numeric: bool = False, how: str | None = None, zones: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrybed.functions.text import ascii_lower, contains_any, lenient_hex
+from quarrybed.functions.text import ascii_lower, contains_any, lenient_hex, let
 
 SECTOR = 512
 CONTEXT = 8
@@ -126,13 +126,18 @@ def earliest_match(content: Column, query: str) -> Column:
     """STRUCT<offset, length, encoding> of the first match of a text in bytes, letters folded: plain before 16-bit little-endian
     before big-endian where they begin together; null if there is none. A big-endian match one byte before a little-endian
     one is only its shadow. Blank queries and null content match nothing."""
-    fold = ascii_lower(F.decode(content, "ISO-8859-1"))
-    size = {"ascii": len(query.encode()), "utf16le": len(query.encode("utf-16-le")), "utf16be": len(query.encode("utf-16-le"))}
-    place = {name: F.nullif(F.instr(fold, _folded(query.encode(cs)).decode("latin-1")), F.lit(0)) - 1 for name, cs in (("ascii", "utf-8"), ("utf16le", "utf-16-le"), ("utf16be", "utf-16-be"))}
-    place["utf16be"] = F.when(place["utf16be"] + 1 == F.coalesce(place["utf16le"], F.lit(-9)), None).otherwise(place["utf16be"])
-    found = [F.when(at.isNotNull(), F.struct(at.cast("bigint").alias("offset"), F.lit(rank).alias("rank"), F.lit(size[name]).alias("length"), F.lit(name).alias("encoding"))) for rank, (name, at) in enumerate(place.items())]
-    best = F.least(*found)
-    return F.when(best.isNotNull() & F.lit(bool(query.strip())), F.struct(best.offset.alias("offset"), best.length.alias("length"), best.encoding.alias("encoding")))
+    forms = [("ascii", query.encode()), ("utf16le", query.encode("utf-16-le")), ("utf16be", query.encode("utf-16-be"))]
+
+    def places(fold: Column) -> Column:
+        return F.array(*[F.instr(fold, _folded(n).decode("latin-1")).cast("bigint") - 1 for _, n in forms])
+
+    def first(at: Column) -> Column:
+        shadow = (at[2] + 1 == at[1]) & (at[1] >= 0)
+        found = [F.struct(at[i].alias("offset"), F.lit(i).alias("rank"), F.lit(len(n)).alias("length"), F.lit(name).alias("encoding")) for i, (name, n) in enumerate(forms)]
+        return F.array_min(F.filter(F.array(*found), lambda x: (x.offset >= 0) & ~((x["rank"] == 2) & shadow)))
+
+    best = let(let(ascii_lower(F.decode(content, "ISO-8859-1")), places), first)
+    return F.when(F.lit(bool(query.strip())), let(best, lambda b: F.when(b.isNotNull(), F.struct(b.offset.alias("offset"), b.length.alias("length"), b.encoding.alias("encoding")))))
 
 
 def _folded(data: bytes) -> bytes:

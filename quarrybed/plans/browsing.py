@@ -33,7 +33,7 @@ def chromium_shortcuts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH c AS (SELECT l_orderkey AS id, list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS urls FROM lineitem WHERE l_partkey % 11 > 0 GROUP BY 1)
-SELECT o_orderkey AS id, 'f' || o_custkey || '.bin' AS file_name, urls[1] AS original_url, urls[-1] AS final_url, array_to_string(urls[1:4], ' ') AS url_chain, greatest(len(urls) - 4, 0) AS chain_omitted, o_custkey * 1000000 AS start_micros, (o_custkey + 90) * 1000000 AS end_micros, {cases('o_orderkey % 5', labels.DOWNLOAD_STATES, "''")} AS state, '1m 30.0s' AS duration_human, CASE WHEN o_custkey % 4 > 0 THEN CAST(50.0 AS DOUBLE) END AS percent_complete
+SELECT o_orderkey AS id, 'f' || o_custkey || '.bin' AS file_name, urls[1] AS original_url, urls[-1] AS final_url, array_to_string(urls[1:4], ' ') AS url_chain, CASE WHEN len(urls) > 0 THEN greatest(len(urls) - 4, 0) END AS chain_omitted, o_custkey * 1000000 AS start_micros, (o_custkey + 90) * 1000000 AS end_micros, {cases('o_orderkey % 5', labels.DOWNLOAD_STATES, "''")} AS state, '1m 30.0s' AS duration_human, CASE WHEN o_custkey % 4 > 0 THEN CAST(50.0 AS DOUBLE) END AS percent_complete
 FROM orders LEFT JOIN c ON id = o_orderkey WHERE o_custkey > 0""")
 def chromium_downloads(spark: SparkSession, d: str) -> DataFrame:
     """Downloads with bounded chains of addresses: stamps of two kinds, seconds since 1970 or microseconds since 1601."""
@@ -136,7 +136,7 @@ def profile_files(spark: SparkSession, d: str) -> DataFrame:
     """Files of browser profiles in an index, side files and network folders included."""
     pick = lambda n, *vs: F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in vs]), (F.col("doc_id") % n + 1).cast("int"))
     name = pick(7, *_FILES)
-    folder = pick(3, "C_/Users/a/Google/Chrome/User Data/Default".replace("C_", ""), F.concat(F.lit("/home/x/.mozilla/p"), (F.col("doc_id") % 10).cast("string")), "\\Users\\a\\Microsoft\\Edge\\Profile 1")
+    folder = pick(3, "/Users/a/Google/Chrome/User Data/Default", F.concat(F.lit("/home/x/.mozilla/p"), (F.col("doc_id") % 10).cast("string")), "\\Users\\a\\Microsoft\\Edge\\Profile 1")
     path = F.concat(folder, F.when(F.col("doc_id") % 7 == 1, "/Network/").otherwise("/"), name)
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("entry_id"), F.lit(1).alias("evidence_id"), path.alias("logical_path"), name.alias("entry_name"))
     return browser.profile_files(rows).drop("evidence_id")
@@ -176,7 +176,7 @@ def sqlite_profile(spark: SparkSession, d: str) -> DataFrame:
     return out.where("title is null").select("visit_id", "url", "visit_count", F.coalesce("visit_micros", F.lit(0)).alias("visit_micros"), F.lit(sqlite.browser_family(path)).alias("family"))
 
 
-@query("SELECT event_id, CASE WHEN (event_id * 7) & 255 IN (1, 2, 5, 7, 8, 9, 10) OR (event_id * 1664525) & 33554432 <> 0 THEN true ELSE false END AS user_initiated, (event_id * 1664525) & 1073741824 <> 0 OR (event_id * 1664525) & 2147483648 <> 0 AS is_redirect FROM (SELECT event_id FROM events)".replace("(event_id * 7) & 255", "(event_id * 1664525) & 255"))
+@query("SELECT event_id, (event_id * 1664525) & 255 IN (1, 2, 5, 7, 8, 9, 10) OR (event_id * 1664525) & 33554432 <> 0 AS user_initiated, (event_id * 1664525) & 1073741824 <> 0 OR (event_id * 1664525) & 2147483648 <> 0 AS is_redirect FROM events")
 def visit_flags(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("event_id") * 1664525
     return table(spark, d, "events").select("event_id", labels.is_user_initiated(t).alias("user_initiated"), labels.is_redirect(t).alias("is_redirect"))

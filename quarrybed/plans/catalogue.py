@@ -134,8 +134,9 @@ def sector_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, doc_id % 3 AS k, translate(text, {FOLD}) AS f FROM documents WHERE text IS NOT NULL), h AS (SELECT *, left(f, instr(f, 'shadow copy') - 1) AS before FROM t WHERE contains(f, 'shadow copy'))
-SELECT doc_id, CAST(CASE WHEN k = 0 THEN octet_length(encode(before)) ELSE 2 * (length(before) + len(regexp_extract_all(before, '[\\x{{10000}}-\\x{{10FFFF}}]'))) END AS BIGINT) AS match_offset, CASE k WHEN 0 THEN 11 ELSE 22 END AS length, CASE k WHEN 0 THEN 'ascii' WHEN 1 THEN 'utf16le' ELSE 'utf16be' END AS encoding FROM h""")
+WITH t AS (SELECT doc_id, doc_id % 3 AS k, translate(text, {FOLD}) AS f FROM documents WHERE text IS NOT NULL), h AS (SELECT *, left(f, instr(f, 'shadow copy') - 1) AS before, substr(f, instr(f, 'shadow copy') + 11, 1) AS after FROM t WHERE contains(f, 'shadow copy')),
+p AS (SELECT doc_id, k, k = 2 AND after <> '' AND unicode(after) < 256 AS shadowed, CASE WHEN k = 0 THEN octet_length(encode(before)) ELSE 2 * (length(before) + len(regexp_extract_all(before, '[\\x{{10000}}-\\x{{10FFFF}}]'))) END AS pos FROM h)
+SELECT doc_id, CAST(pos + CASE WHEN shadowed THEN 1 ELSE 0 END AS BIGINT) AS match_offset, CASE k WHEN 0 THEN 11 ELSE 22 END AS length, CASE WHEN k = 0 THEN 'ascii' WHEN k = 1 OR shadowed THEN 'utf16le' ELSE 'utf16be' END AS encoding FROM p""")
 def content_earliest(spark: SparkSession, d: str) -> DataFrame:
     """The first match in content of any of three encodings."""
     k = F.col("doc_id") % 3

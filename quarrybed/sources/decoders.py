@@ -17,7 +17,7 @@ from email.parser import BytesParser
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -82,15 +82,19 @@ def usn_journal(data: bytes) -> Iterator[dict]:
 USN_JOURNAL = "status string, major_version int, byte_offset bigint, file_ref string, parent_ref string, usn bigint, time_micros bigint, reason bigint, file_attributes bigint, file_name string"
 
 
-def shimcache(data: bytes, most: int = 100_000) -> Iterator[dict]:
-    """Compatibility cache: the table of 64-bit Windows 7, or the tagged entries of Windows 8 and later."""
+def shimcache(data: bytes, most: int | None = None) -> Iterator[dict]:
+    """Compatibility cache: the table of 64-bit Windows 7, or the tagged entries of Windows 8 and later. With ``most``, a row
+    of status ``truncated`` says where reading stopped."""
 
     def row(path: bytes, stamp: int, executed: bool | None, size: int | None, at: int) -> dict:
         return {"status": "recognized", "file_path": _utf16(path).rstrip("\0"), "modified_micros": filetime(stamp), "executed": executed, "file_size": size, "byte_offset": at}
 
     if _int(data, 0, 4) == 0xBADC0FEE:
-        for i in range(min(_int(data, 4, 4), most)):
+        for i in range(_int(data, 4, 4)):
             at = 128 + 32 * i
+            if i == most:
+                yield {"status": "truncated", "byte_offset": at}
+                return
             if at + 32 > len(data):
                 yield {"status": "partial", "byte_offset": at}
                 return
@@ -101,7 +105,7 @@ def shimcache(data: bytes, most: int = 100_000) -> Iterator[dict]:
             yield row(data[where : where + n], _int(data, at + 8, 8), bool(_int(data, at + 16, 4) & 2), _int(data, at + 20, 8), at)
         return
     at = found = 0
-    while found < most:
+    while True:
         nearest = [p for p in (data.find(b"10ts", at), data.find(b"30ts", at), data.find(b"00ts", at)) if p >= 0]
         if not nearest:
             return
@@ -110,6 +114,9 @@ def shimcache(data: bytes, most: int = 100_000) -> Iterator[dict]:
         if n == 0 or n % 2 or at + 14 + n + 8 > len(data):
             at += 4
             continue
+        if found == most:
+            yield {"status": "truncated", "byte_offset": at}
+            return
         yield row(data[at + 14 : at + 14 + n], _int(data, at + 14 + n, 8), None, None, at)
         found += 1
         at += 12 + size if size >= 10 + n else 22 + n
@@ -401,7 +408,7 @@ def prefetch(data: bytes) -> Iterator[dict]:
         runs_at = 200
     names = data[_int(data, 100, 4) : _int(data, 100, 4) + _int(data, 104, 4)]
     files = [x for x in _utf16(names).split("\0") if x]
-    times = [t for i in range(many) if (t := filetime(_int(data, times_at + 8 * i, 8)))]
+    times = [t for i in range(many) if (t := filetime(_int(data, times_at + 8 * i, 8))) is not None]
     whole = len(data) >= runs_at + 4 and len(names) == _int(data, 104, 4)
     yield {"status": "recognized" if whole else "partial", "version": version, "executable": _utf16(data[16:76]).split("\0")[0], "path_hash": f"0x{_int(data, 76, 4):08X}", "run_count": _int(data, runs_at, 4), "run_micros": times, "referenced_files": files, "volume_count": _int(data, 112, 4)}
 
@@ -413,7 +420,7 @@ def _xml(data: bytes) -> ElementTree.Element | None:
     """The root of a document without a type declaration, namespaces dropped; None if it is none."""
     mark = data[:2]
     text = data.decode("utf-16" if mark in (b"\xff\xfe", b"\xfe\xff") else "utf-8-sig", "replace")
-    if len(data) > 16 << 20 or "<!DOCTYPE" in text[:4096].upper() or "<!ENTITY" in text.upper():
+    if "<!DOCTYPE" in text[:4096].upper() or "<!ENTITY" in text.upper():
         return None
     try:
         root = ElementTree.fromstring(text.split("?>", 1)[1] if text.lstrip().startswith("<?xml") else text)
@@ -450,8 +457,12 @@ def wifi_profile(data: bytes) -> Iterator[dict]:
 WIFI_PROFILE = "status string, profile_name string, ssid string, authentication string, encryption string, key_type string, protected boolean"
 
 
+#: Characters of a mail's preview, whose bound is its feature; ``body_truncated`` says that there is more.
+PREVIEW = 1_200
+
+
 def mail_message(data: bytes) -> Iterator[dict]:
-    """A mail: headers unfolded and decoded, non-blank lines of the body as a preview of at most 1,200 characters."""
+    """A mail: headers unfolded and decoded, non-blank lines of the body as a preview of ``PREVIEW`` characters."""
     message = BytesParser(policy=policy.compat32).parsebytes(data)
 
     def header(name: str) -> str | None:
@@ -471,7 +482,7 @@ def mail_message(data: bytes) -> Iterator[dict]:
         text = content.decode("utf-8", "replace")
     lines = "\n".join(x.rstrip() for x in text.splitlines() if x.strip())
     found = [header(k) for k in ("From", "To", "Cc", "Bcc", "Subject", "Date", "Message-ID", "Reply-To", "In-Reply-To")]
-    yield dict(zip(("from_header", "to_header", "cc_header", "bcc_header", "subject", "date_header", "message_id", "reply_to", "in_reply_to"), found)) | {"status": "recognized" if any(found) and not message.defects else "partial" if any(found) else "failed", "body_preview": lines[:1200], "body_truncated": len(lines) > 1200}
+    yield dict(zip(("from_header", "to_header", "cc_header", "bcc_header", "subject", "date_header", "message_id", "reply_to", "in_reply_to"), found)) | {"status": "recognized" if any(found) and not message.defects else "partial" if any(found) else "failed", "body_preview": lines[:PREVIEW], "body_truncated": len(lines) > PREVIEW}
 
 
 MAIL_MESSAGE = "status string, from_header string, to_header string, cc_header string, bcc_header string, subject string, date_header string, message_id string, reply_to string, in_reply_to string, body_preview string, body_truncated boolean"
@@ -604,6 +615,17 @@ def crc32c(data: bytes, seed: int = 0xFFFFFFFF) -> int:
     return seed
 
 
+def lznt1_stream(data: bytes) -> Iterator[dict]:
+    """A compressed stream as one row."""
+    yield {"status": "recognized", "bytes": lznt1(data)}
+
+
+def protected_sector(offset: Column) -> tuple[Column, Column]:
+    """Where the sector of a byte offset begins in a protected volume, and the number that tweaks its key."""
+    size = F.lit(512).cast("bigint")
+    return offset - F.pmod(offset, size), F.call_function("div", offset, size)
+
+
 #: name: (decoder, schema)
 DECODERS: dict[str, tuple[Callable[[bytes], Iterator[dict]], str]] = {
     "recycle_bin": (recycle_bin, RECYCLE_BIN),
@@ -621,6 +643,7 @@ DECODERS: dict[str, tuple[Callable[[bytes], Iterator[dict]], str]] = {
     "word_document": (word_document, WORD_DOCUMENT),
     "image_chunks": (image_chunks, IMAGE_CHUNKS),
     "bitlocker_volume": (bitlocker_volume, BITLOCKER_VOLUME),
+    "lznt1_stream": (lznt1_stream, "status string, bytes binary"),
 }
 
 
