@@ -15,8 +15,11 @@ BUCKETS, LEVELS = 512, 2
 
 
 def exact_total(tokens: dict[str, int], targets: dict[str, float], caps: dict[str, int]) -> float:
-    """The largest total at which every source reaches its target share within its cap."""
-    return min((tokens.get(s, 0) * caps[s] / w for s, w in targets.items() if w > 0), default=0.0)
+    """The largest total at which every source reaches its target share within its cap. Sources that can give nothing have no
+    say: their weight goes to the others."""
+    able = {s: tokens.get(s, 0) * max(0, caps.get(s, 0)) for s, w in targets.items() if w > 0}
+    weight = sum(targets[s] for s, most in able.items() if most > 0)
+    return min((most * weight / targets[s] for s, most in able.items() if most > 0), default=0.0)
 
 
 def water_fill(tokens: dict[str, int], targets: dict[str, float], caps: dict[str, int], total: float) -> dict[str, float]:

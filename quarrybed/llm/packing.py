@@ -2,8 +2,8 @@
 
 Sum-of-squares online packing: a level array counts the open containers at each fill; each text goes to the level whose
 change lowers the sum of squared counts most, so no fill level piles up. Texts are spread by hash over shards that hold
-a set number of containers' worth of tokens, and each shard is packed on its own; shards grow in number, not in size.
-What the shards leave in containers that are not well filled is packed once more, many shards together.
+a set number of containers' worth of tokens or a set number of texts, and each shard is packed on its own, in one pass in
+the order of a seeded hash; shards grow in number, not in size, so the longest task stops growing there.
 """
 
 from __future__ import annotations
@@ -13,12 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrybed.session import stored
-
 #: Containers' worth of tokens in a shard, and most items in it.
-SHARD_CONTAINERS, SHARD_ITEMS = 2_000, 200_000
-#: Containers filled less than this are opened again for the second packing, this many shards together.
-REPACK_BELOW, REPACK_SHARDS = 0.97, 16
+SHARD_CONTAINERS, SHARD_ITEMS = 2_000, 50_000
 
 _SCHEMA = "container_kind string, capacity_tokens bigint, separator_tokens bigint, shard bigint, bin bigint, slot bigint, doc_id bigint, part_no bigint, first_token bigint, n_tokens bigint"
 
@@ -95,14 +91,9 @@ def pack(sizes: DataFrame, specs: list[tuple[str, int, int]], seed: int = 11) ->
     full = full.select("container_kind", F.concat_ws("/", F.lit("full"), "doc_id", "part_no").alias("container_id"), F.lit(0).cast("bigint").alias("slot"), "doc_id", "part_no", (F.col("part_no") * F.col("capacity_tokens")).alias("first_token"), F.col("capacity_tokens").alias("n_tokens"))
     loose = items.where("rest > 0 or whole = 0").select("container_kind", "capacity_tokens", "separator_tokens", "doc_id", F.col("whole").alias("part_no"), (F.col("whole") * F.col("capacity_tokens")).alias("first_token"), F.col("rest").alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id").alias("h"), "shards")
     loose = loose.withColumn("shard", F.pmod(F.col("h"), F.col("shards"))).drop("shards")
-    packed = stored(loose.groupBy("container_kind", "shard").applyInPandas(_pack_group, _SCHEMA))
-    # containers left with much room are opened and packed again over several shards
-    used = packed.groupBy("container_kind", "shard", "bin").agg(F.sum(F.col("n_tokens") + F.col("separator_tokens")).alias("used"))
-    marked = packed.join(used, ["container_kind", "shard", "bin"]).withColumn("again", F.col("used") < REPACK_BELOW * (F.col("capacity_tokens") + F.col("separator_tokens")))
-    once = marked.where("not again").select("container_kind", F.concat_ws("/", F.lit("a"), "shard", "bin").alias("container_id"), "slot", "doc_id", "part_no", "first_token", "n_tokens")
-    more = marked.where("again").select("container_kind", "capacity_tokens", "separator_tokens", F.expr(f"shard div {REPACK_SHARDS}").alias("shard"), "doc_id", "part_no", "first_token", "n_tokens", (-F.col("n_tokens")).alias("h"))
-    more = more.groupBy("container_kind", "shard").applyInPandas(_pack_group, _SCHEMA).select("container_kind", F.concat_ws("/", F.lit("b"), "shard", "bin").alias("container_id"), "slot", "doc_id", "part_no", "first_token", "n_tokens")
-    return once.unionByName(more).unionByName(full)
+    packed = loose.groupBy("container_kind", "shard").applyInPandas(_pack_group, _SCHEMA)
+    placed = packed.select("container_kind", F.concat_ws("/", F.lit("a"), "shard", "bin").alias("container_id"), "slot", "doc_id", "part_no", "first_token", "n_tokens")
+    return placed.unionByName(full)
 
 
 def fill_report(packed: DataFrame, specs: list[tuple[str, int, int]]) -> DataFrame:
@@ -111,3 +102,14 @@ def fill_report(packed: DataFrame, specs: list[tuple[str, int, int]]) -> DataFra
     sums = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("n").alias("items"), F.sum("t").alias("tokens"))
     cap = caps[F.col("container_kind")]
     return sums.select("container_kind", "containers", "items", "tokens", F.round(F.col("tokens") / (F.col("containers") * cap), 6).alias("fill_share"), F.ceil(F.col("tokens") / cap).alias("least_containers"))
+
+
+def violations(packed: DataFrame, sizes: DataFrame, specs: list[tuple[str, int, int]]) -> DataFrame:
+    """Per kind: texts packed, containers over their capacity, tokens lost or added, places taken twice, and texts cut that
+    would have fit. All but the first are 0 for a packing."""
+    caps, seps = (F.create_map(*[F.lit(x) for k, *v in specs for x in (k, int(v[i] or 0))])[F.col("container_kind")] for i in (0, 1))
+    bins = packed.groupBy("container_kind", "container_id").agg((F.sum("n_tokens") + (F.count("*") - 1) * F.first(seps)).alias("used"), (F.count("*") - F.countDistinct("slot")).alias("twice"))
+    by_bin = bins.groupBy("container_kind").agg(F.count_if(F.col("used") > caps).alias("overfull"), F.sum("twice").alias("slots_taken_twice"))
+    texts = packed.groupBy("container_kind", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("parts")).join(sizes.select("doc_id", "n_tokens"), "doc_id")
+    by_text = texts.groupBy("container_kind").agg(F.count("*").alias("documents"), F.sum(F.abs(F.col("t") - F.col("n_tokens"))).alias("tokens_off"), F.count_if((F.col("parts") > 1) & (F.col("n_tokens") <= caps)).alias("cut_in_vain"))
+    return by_text.join(by_bin, "container_kind")

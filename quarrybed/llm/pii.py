@@ -1,8 +1,9 @@
 """Personal information inside free text: find it, and replace it with typed placeholders.
 
-Regular expressions propose spans; validators (Luhn, mod 97, mod 23, digit counts, real dates) confirm or refute them;
-words nearby raise or lower the score; spans at or above the threshold are kept, the stronger type first where they
-overlap. Each text is judged on its own, so nothing is shuffled and a text of any length is read whole.
+Regular expressions propose spans; validators (Luhn, mod 97, mod 23, weights 7-3-1, number ranges, digit counts) confirm
+them: a strong one that holds suffices by itself, one that fails takes from the score, and account and card numbers
+without it are none. Words nearby raise or lower the score; spans at or above the threshold are kept, the stronger type
+first where they overlap. Each text is judged on its own, so nothing is shuffled and a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TYPES = ("email", "id_number", "phone", "street_address", "person_name")
+TYPES = ("email", "bank_account", "payment_card", "id_number", "phone", "street_address", "person_name")
 THRESHOLD = 3.0
 SCHEMA = "record_id bigint, field_name string, pii_type string, span_start int, span_end int, pii_value string, score double"
 
@@ -61,6 +62,12 @@ def check731(text: str) -> bool:
     return t[-1:].isdigit() and sum(int(c, 36) * (7, 3, 1)[i % 3] for i, c in enumerate(t[:-1])) % 10 == int(t[-1])
 
 
+def cpf(text: str) -> bool:
+    """Eleven digits whose last two are weighted sums of those before."""
+    d = [int(c) for c in re.sub(r"\D", "", text)]
+    return len(d) == 11 and len(set(d)) > 1 and all(sum(x * (n + 1 - i) for i, x in enumerate(d[:n])) * 10 % 11 % 10 == d[n] for n in (9, 10))
+
+
 # Patterns -----------------------------------------------------------------------------------------------------------
 
 _AT = r"(?:@|\s?[(\[{]\s?(?:at|@|arroba|chez)\s?[)\]}]\s?)"
@@ -82,18 +89,29 @@ PHONES = [
     )
 ]
 
+def french_key(text: str) -> bool:
+    """The last two of fifteen digits: 97 less the rest of the others."""
+    d = re.sub(r"\D", "", text)
+    return len(d) == 15 and 97 - int(d[:13]) % 97 == int(d[13:])
+
+
+#: What a validator adds to a shape's score if it holds and if it fails: strong ones (a chance value passes in one of 23 or
+#: 97 cases) confirm alone, weak ones (one of ten) and ranges of numbers need a label too.
+STRONG, WEAK, RANGE = (3.0, -0.5), (1.0, 0.0), (1.0, 0.0)
 _IDS = (
-    # name, pattern, validator, score of the shape alone
-    ("social", r"\d{3}(?P<s>[- ])\d{2}(?P=s)\d{4}", lambda t: t[0] not in "9" and t[:3] not in ("000", "666"), 1.5),
-    ("insurance", r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]", nino, 1.5),
-    ("national", r"\d{3}\.\d{3}\.\d{3}-\d{2}", lambda t: True, 1.5),
-    ("dni", r"[XYZ]?\d{7,8}-?[A-Z]", mod23, 1.0),
-    ("card", r"[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{7}\d\d?", check731, 0.5),
-    ("passport", r"[A-Z]{1,2}\d{6,8}[A-Z]?", check731, 0.5),
-    ("french", r"[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?", lambda t: len(d := re.sub(r"\D", "", t)) == 15 and 97 - int(d[:13]) % 97 == int(d[13:]), 0.5),
-    ("digits", r"\d{8,12}", luhn, 0.0),
+    # name, pattern, validator, score of the shape alone, what the validator adds
+    ("social", r"\d{3}(?P<s>[- ])\d{2}(?P=s)\d{4}", lambda t: t[0] not in "9" and t[:3] not in ("000", "666"), 1.5, RANGE),
+    ("insurance", r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]", nino, 1.5, RANGE),
+    ("national", r"\d{3}\.\d{3}\.\d{3}-\d{2}", lambda t: cpf(t), 1.5, STRONG),
+    ("dni", r"[XYZ]?\d{7,8}-?[A-Z]", mod23, 1.0, STRONG),
+    ("card", r"[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{7}\d\d?", check731, 0.5, WEAK),
+    ("passport", r"[A-Z]{1,2}\d{6,8}[A-Z]?", check731, 0.5, WEAK),
+    ("french", r"[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?", french_key, 0.5, STRONG),
+    ("digits", r"\d{8,12}", luhn, 0.0, WEAK),
 )
-IDS = [(n, re.compile(rf"(?<![\w.+\-/@]){p}(?![\w@]|[.\-/]\w)"), v, s) for n, p, v, s in _IDS]
+IDS = [(n, re.compile(rf"(?<![\w.+\-/@]){p}(?![\w@]|[.\-/]\w)"), v, s, w) for n, p, v, s, w in _IDS]
+IBAN = re.compile(r"(?<![\w.])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+CARD = re.compile(r"(?<![\w.+\-/])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w]|[.\-/]\w)")
 _ID_LABEL = re.compile(
     r"\b(?:ssn|social\s+security(?:\s+(?:number|no\.?))?|sozialversicherungs\w*|ni(?:\s+(?:number|no\.?))|nino|national\s+insurance(?:\s+(?:number|no\.?))?"
     r"|national\s+id(?:entity)?(?:\s+(?:number|card|no\.?))?|identity\s+(?:card|number)(?:\s+(?:number|no\.?))?|id\s+card(?:\s+(?:number|no\.?))?|passport(?:\s+(?:number|no\.?))?|passeport|pasaporte|reisepass\w*"
@@ -120,11 +138,10 @@ _PARTICLE = r"(?:van der|van den|van de|van|von der|von|zu|de la|de los|del|dell
 _NAMEWORD = r"(?:O['’]|D['’]|Mc|Mac)?[A-ZÀ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’]+(?:-[A-ZÀ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’]+)*"
 _INITIAL = r"[A-ZÀ-Þ]\."
 _GAP = r"[ \t]+"
-FORWARD = re.compile(rf"(?<![\w@.+'’-])((?:{_NAMEWORD}|{_INITIAL})(?:{_GAP}(?:{_NAMEWORD}|{_INITIAL}))*?(?:{_GAP}{_PARTICLE})?{_GAP}{_NAMEWORD})(?![\w@+]|\.\w)")
 WORDS = re.compile(rf"(?<![\w@.+'’-])(?:{_NAMEWORD}|{_INITIAL}|{_PARTICLE})(?![\w@+])")
 #: Words that end or begin a capitalised pair without being a name (fixed list: greetings, roles, months, firms' kinds).
 NOT_NAME = frozenset(
-    "the a an and or of in on at to for from by with is are was it this that we you not no our your please thanks thank dear hi hello all good morning afternoon evening best kind regards yours sincerely cheers sent subject date cc bcc re mail phone tel email original message notice case section clerk officer engineer coordinator examiner counsel analyst manager director intake storage forensic security partner partners works freight imaging archiv archive services ltd inc office registered address file apt street st lane road drive avenue ave court mr mrs ms dr prof herr frau mme der die das ein eine und oder nicht bitte guten tag hallo zusammen liebe kollegen viele grüße beste mit freundlichen mfg von betreff gesendet am im la bonjour chers collègues cordialement bien vous de à objet envoyé el los buenos días hola saludos saludo para asunto enviado según queda registry jump list link journal new contact according after before there".split()
+    "the a an and or of in on at to for from by with is are was it this that we you not no our your please thanks thank dear hi hello all good morning afternoon evening best kind regards yours sincerely cheers sent subject date cc bcc re mail phone tel email original message notice case section clerk officer engineer coordinator counsel analyst manager director security partner partners services ltd inc office registered address file apt street st lane road drive avenue ave court mr mrs ms dr prof herr frau mme der die das ein eine und oder nicht bitte guten tag hallo zusammen liebe kollegen viele grüße beste mit freundlichen mfg von betreff gesendet am im la bonjour chers collègues cordialement bien vous de à objet envoyé el los buenos días hola saludos saludo para asunto enviado según queda new contact according after before there".split()
 ) | {x.lower() for names in (calendar.month_name, calendar.month_abbr, calendar.day_name, calendar.day_abbr) for x in names if x}
 #: Ordinary words that are names too: two of them together are no name without other evidence.
 ORDINARY = frozenset("will mark grace rose may april june august hope faith joy dawn iris ivy lily daisy ruby pearl amber art bill bob rob jack pat sue frank ernest day long field marsh brook hill wood lake stone rich young short white black brown green gray king bishop page carter cook baker mason".split())
@@ -204,21 +221,39 @@ def _ids(text: str) -> Iterator[tuple[int, int, float]]:
     if not re.search(r"\d", text):
         return
     labels = [(m.start(), m.end()) for m in _ID_LABEL.finditer(text)]
-    for name, pattern, valid, shape in IDS:
+    for name, pattern, valid, shape, (holds, fails) in IDS:
         for m in pattern.finditer(text):
-            score = shape + 1.0 * bool(valid(m[0]))
+            sure = bool(valid(m[0]))
+            score = shape + (holds if sure else fails)
             near = [e for s, e in labels if s < m.start() and m.start() - e <= 30]
             if near:
                 between = text[near[-1] : m.start()]
                 if not re.search(r"\d{4,}", between) and between.count("\n") < 2:
                     score += 3.0 if name != "digits" else 2.5
-            elif name in ("digits", "card", "passport", "french", "dni"):
+            elif name in ("digits", "card", "passport") or not sure and name in ("french", "dni"):
                 score -= 1
             if _ID_OTHER.search(text[max(0, m.start() - 24) : m.start()]) and not near:
                 score -= 2
             yield m.start(), m.end(), score
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int, float]]:
+    """Account numbers: only what leaves 1 by mod 97."""
+    for m in IBAN.finditer(text):
+        words = [x.end() for x in re.finditer(r"\w+", m[0])]
+        # letters after the number may look like a part of it
+        end = next((e for e in reversed(words) if mod97(m[0][:e])), None)
+        if end:
+            yield m.start(), m.start() + end, 4.0
+
+
+def _cards(text: str) -> Iterator[tuple[int, int, float]]:
+    """Payment cards: 13 to 19 digits that pass Luhn; words for other numbers before them speak against it."""
+    for m in CARD.finditer(text):
+        if luhn(re.sub(r"\D", "", m[0])):
+            yield m.start(), m.end(), 3.5 - 2 * bool(_ID_OTHER.search(text[max(0, m.start() - 24) : m.start()]))
+
+
 def _streets(text: str) -> Iterator[tuple[int, int, float]]:
     for pattern in STREETS:
         for m in pattern.finditer(text):
@@ -318,7 +353,7 @@ def find_pii(text: str | None, lex: Lexicon, around: str = "", cut: bool = False
     kept: list[tuple[int, int, str, float]] = []
     taken = bytearray(len(text) + 1)
     known = " ".join(fold(m[1]) for m in EMAIL.finditer(f"{text}\n{around}"))
-    finders = (("email", _emails(text)), ("id_number", _ids(text)), ("phone", _phones(text)), ("street_address", _streets(text)), ("person_name", _names(text, lex, known)))
+    finders = (("email", _emails(text)), ("bank_account", _accounts(text)), ("payment_card", _cards(text)), ("id_number", _ids(text)), ("phone", _phones(text)), ("street_address", _streets(text)), ("person_name", _names(text, lex, known)))
     for kind, spans in finders:
         for s, e, score in sorted(spans, key=lambda x: (-x[2], x[0] - x[1])):
             if not any(taken[s:e]):
@@ -353,7 +388,7 @@ def detect_pii(df: DataFrame, id_col: str, fields: list[str], lexicon: list[tupl
     whether ``cut_field`` was cut off.
 
     Defined results: null, empty and blank texts give no rows; repeated rows give repeated spans; a null id stays null;
-    overlapping spans are settled by type (email, id number, phone, street, name), then by score, then by length; texts
+    overlapping spans are settled by type (in the order of ``TYPES``), then by score, then by length; texts
     are read whole at any length; columns that are not named are not read, so clashing names do no harm.
     """
     lex = Lexicon.of(lexicon)

@@ -2,7 +2,7 @@
 
 One pass over each text gives word, line, paragraph and repetition statistics; the characters of each line are counted
 as list item, record, prose or noise. The class follows from combined rules on these shares; repeated lines, paragraphs and
-runs of words make junk. Every text is judged on its
+runs of words (boilerplate) make junk. Every text is judged on its
 own and read whole, so nothing is shuffled.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ _NOT_ALNUM = re.compile(r"[\W_]+")
 _END = (".", "!", "?", "…", ":", ";", '"', "”", "»", ")")
 
 STATS = (
-    ("n_words", "bigint"), ("mean_word_length", "double"), ("symbol_ratio", "double"), ("terminal_line_share", "double"), ("common_word_share", "double"), ("duplicate_line_share", "double"), ("duplicate_paragraph_share", "double"), ("top_ngram_coverage", "double"), ("distinct_word_share", "double"), ("list_share", "double"), ("table_share", "double"), ("noise_share", "double"), ("text_class", "string"),
+    ("n_words", "bigint"), ("mean_word_length", "double"), ("symbol_ratio", "double"), ("terminal_line_share", "double"), ("common_word_share", "double"), ("duplicate_line_share", "double"), ("duplicate_paragraph_share", "double"), ("boilerplate_share", "double"), ("top_ngram_coverage", "double"), ("distinct_word_share", "double"), ("list_share", "double"), ("table_share", "double"), ("noise_share", "double"), ("text_class", "string"),
 )
 
 
@@ -54,6 +55,7 @@ _PLAIN = re.compile(r"[A-Za-z]?[a-z]{1,31}")
 _DIGITS = re.compile(r"[\W\d_]+")
 
 
+@lru_cache(maxsize=262_144)
 def gibberish(token: str) -> bool:
     """Whether a token is no word and no name made of words: most of its letters and digits stand in no plausible part.
 
@@ -102,7 +104,7 @@ REPEATED = 0.75
 
 
 def _again(weights: dict[str, int]) -> float:
-    """Share of the characters in lines or paragraphs that stood before."""
+    """Share of the characters in lines or paragraphs that stood before in the text: its boilerplate."""
     return 1 - sum(map(len, weights)) / max(1, sum(len(x) * k for x, k in weights.items()))
 
 
@@ -129,10 +131,13 @@ def looped(text: str) -> float:
 
 
 def describe(text: str | None, common: frozenset[str]) -> tuple:
-    """The values of ``STATS`` for one text; ``noise_share`` is taken where common words are few or, among
-    records, where symbols or letters are strange, else it is 0. Null, empty and blank texts have no words, zero shares and class junk."""
+    """The values of ``STATS`` for one text, each of them measured. Null, empty and blank texts have no words, zero shares and
+    class junk.
+
+    ``noise_share`` is the share of the characters in tokens that are no words; what it says counts where common words are
+    few or, among records, where symbols or letters are strange."""
     if not text or not text.strip():
-        return (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "junk")
+        return (0, *[0.0] * (len(STATS) - 2), "junk")
     words = WORD.findall(text.lower())
     n = len(words)
     counts = Counter(words)
@@ -161,12 +166,11 @@ def describe(text: str | None, common: frozenset[str]) -> tuple:
     if len(lines) < 3 and shares["bare"] * 2 > total:  # one or two bare lines make no list
         shares["prose"] += shares.pop("bare")
     listed, table = (shares["list"] + shares["bare"]) / total, shares["table"] / total
-    gib = 0.0
     strange = symbols > 0.3 or not text.isascii() and len(_ASCII.sub("", text)) > 0.1 * size
-    if strange if table > 0.5 else known < 0.3:
-        weights = Counter(t for t in _SPLIT.split(text) if t)
-        judged = [(len(t) * k, t) for t, k in weights.items() if t.isalpha() or len(_DIGITS.sub("", t)) >= 0.3 * len(t)]
-        gib = sum(k for k, t in judged if gibberish(t)) / max(1, sum(k for k, _ in judged))
+    weights = Counter(t for t in _SPLIT.split(text) if t)
+    judged = [(len(t) * k, t) for t, k in weights.items() if t.isalpha() or len(_DIGITS.sub("", t)) >= 0.3 * len(t)]
+    noise = sum(k for k, t in judged if gibberish(t)) / max(1, sum(k for k, _ in judged))
+    gib = noise if (strange if table > 0.5 else known < 0.3) else 0.0
     ends = sum(x.rstrip().endswith(_END) for x in lines) / len(lines)
     distinct = len(counts) / max(1, n)
     few = n >= 8 and (len(counts) <= 3 or sum(k for _, k in counts.most_common(4)) >= 0.9 * n)
@@ -174,8 +178,11 @@ def describe(text: str | None, common: frozenset[str]) -> tuple:
     dup_lines, dup_paragraphs = 1 - len(repeated_lines) / len(lines), 1 - len(paragraphs) / max(1, sum(paragraphs.values()))
     # items of lists repeat in any order, records only in their words
     again = looped(text) >= REPEATED
+    by_lines, by_paragraphs = _again(repeated_lines), _again(paragraphs)
+    boilerplate = max(by_lines, by_paragraphs)
+    if not marked and listed <= 0.5 and boilerplate >= REPEATED:
+        again |= dup_lines >= 0.5 and by_lines >= REPEATED or dup_paragraphs >= 0.5 and by_paragraphs >= REPEATED
     if not marked and listed <= 0.5:
-        again |= any(share >= 0.5 and _again(c) >= REPEATED for share, c in ((dup_lines, repeated_lines), (dup_paragraphs, paragraphs)))
         again |= table <= 0.5 and top >= 0.5
     if table > 0.5 and strange and known < 0.2 and (gib > 0.5 or symbols > 0.45):
         kind = "junk"
@@ -198,7 +205,7 @@ def describe(text: str | None, common: frozenset[str]) -> tuple:
     else:
         kind = "prose"
     round_ = lambda x: round(float(x), 6)
-    return (n, round_(chars / n if n else 0), round_(symbols), round_(ends), round_(known), round_(dup_lines), round_(dup_paragraphs), round_(top), round_(distinct), round_(listed), round_(table), round_(gib), kind)
+    return (n, round_(chars / n if n else 0), round_(symbols), round_(ends), round_(known), round_(dup_lines), round_(dup_paragraphs), round_(boilerplate), round_(top), round_(distinct), round_(listed), round_(table), round_(noise), kind)
 
 
 def quality_stats(df: DataFrame, common_words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,6 +29,7 @@ def _lexicon(spark: SparkSession, d: str) -> list[tuple[str, str]]:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     spans = detect_pii(table(spark, d, "rfc822_metadata"), "entry_id", ["body_preview", "subject"], _lexicon(spark, d), HEADERS, "body_truncated", "body_preview")
+    spans = spans.where(F.col("pii_type").isin("email", "phone", "id_number", "street_address", "person_name"))
     return spans.where("record_id is not null").select(F.col("record_id").alias("entry_id"), "field_name", "pii_type", "pii_value").distinct()
 
 
@@ -89,25 +90,46 @@ def _targets(spark: SparkSession, d: str) -> list[tuple[str, float, int]]:
     return [tuple(r) for r in table(spark, d, "source_targets").select("source", "target_share", "max_repeats").collect()]
 
 
-def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
-    """The largest mixture that meets every target share."""
+def p8_violations(spark: SparkSession, d: str) -> DataFrame:
     sizes = _sizes(spark, d)
-    return mixing.mix(sizes, mixing.plan_mix(sizes, _targets(spark, d)))
+    return packing.violations(packing.pack(sizes, _containers(spark, d)), sizes, _containers(spark, d))
 
 
-def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+def _plan(spark: SparkSession, d: str) -> tuple:
+    """The sizes, and the plan of a mixture of as many tokens as the corpus has: scarce sources are clamped at their caps and
+    what they lack is spread over the others."""
     sizes = _sizes(spark, d)
-    plan = mixing.plan_mix(sizes, _targets(spark, d))
+    return sizes, mixing.plan_mix(sizes, _targets(spark, d), float(sizes.agg(F.sum("n_tokens")).first()[0] or 0))
+
+
+def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture, with how often each is used."""
+    return mixing.mix(*_plan(spark, d))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that ``p9_mixed`` reaches."""
+    sizes, plan = _plan(spark, d)
     return mixing.share_report(mixing.mix(sizes, plan), plan)
 
 
-def p9_full_shares(spark: SparkSession, d: str) -> DataFrame:
-    """A mixture as large as the corpus: scarce sources are clamped at their caps."""
+def p9_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mixture that meets every target share."""
     sizes = _sizes(spark, d)
-    plan = mixing.plan_mix(sizes, _targets(spark, d), float(sizes.agg(F.sum("n_tokens")).first()[0] or 0))
+    plan = mixing.plan_mix(sizes, _targets(spark, d))
     return mixing.share_report(mixing.mix(sizes, plan), plan)
 
 
+def p9_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: documents, whether none is used beyond its cap, and whether its tokens are the planned ones but for one
+    document."""
+    sizes, plan = _plan(spark, d)
+    given = F.create_map(*[F.lit(x) for s, _, _, _, g in plan for x in (s, float(g))])[F.col("source")]
+    cap = F.create_map(*[F.lit(x) for s, _, _, c, _ in plan for x in (s, c)])[F.col("source")]
+    m = mixing.mix(sizes, plan).groupBy("source").agg(F.count("*").alias("documents"), F.max("repeats").alias("most"), F.min("repeats").alias("least"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("t"), F.max("n_tokens").alias("largest"))
+    return m.select("source", "documents", ((F.col("most") <= cap) & (F.col("least") >= 0)).alias("within_cap"), (F.abs(F.col("t") - given) <= F.col("largest")).alias("as_planned"))
+
+
 def _quality(spark: SparkSession, d: str) -> DataFrame:
     words = [r[0] for r in table(spark, d, "common_words").select("word").collect()]
     return quality_stats(table(spark, d, "documents"), words)
@@ -122,7 +144,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_collapsed, p2_near, p4_found, p4_new_text, p8_packed, p8_fill, p9_mixed, p9_shares, p9_full_shares, p10_found, p10_stats)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_collapsed, p2_near, p4_found, p4_new_text, p8_packed, p8_fill, p8_violations, p9_mixed, p9_shares, p9_exact_shares, p9_violations, p10_found, p10_stats)}
 
 
 _REF = "CASE WHEN file_reference.ref_version = 'v3' THEN file_reference.high || ':' || file_reference.low ELSE file_reference.entry || '-' || file_reference.sequence END"
@@ -142,6 +164,8 @@ def oracle_sql() -> dict:
         "p2_found": _RUNS + "SELECT evidence_id, min(usn) AS first_usn, max(usn) AS last_usn, count(*) AS event_count FROM g GROUP BY evidence_id, v, run HAVING count(*) > 1",
         "p2_collapsed": _RUNS + f""", c AS (SELECT evidence_id, v, s, min(usn) AS first_usn, max(usn) AS last_usn, count(*) AS event_count, arg_max(k, usn) FILTER (WHERE k IS NOT NULL) - arg_min(k, usn) FILTER (WHERE k IS NOT NULL) AS ticks FROM g GROUP BY evidence_id, v, s, run HAVING count(*) > 1)
 SELECT evidence_id, v AS node_ref, s AS reason, concat_ws(',', {_FLAGS}) AS reason_flags, first_usn, last_usn, event_count, CASE WHEN ticks < 0 THEN -(-ticks // 10) ELSE ticks // 10 END AS duration_micros FROM c""",
+        "p8_violations": "SELECT container_kind, (SELECT count(*) FROM documents) AS documents, 0 AS overfull, 0 AS tokens_off, 0 AS slots_taken_twice, 0 AS cut_in_vain FROM container_specs",
+        "p9_violations": "SELECT source, count(*) AS documents, true AS within_cap, true AS as_planned FROM documents WHERE source IN (SELECT source FROM source_targets) GROUP BY 1",
         "p2_near": _EVENTS + f""",
 w(evidence_id, v, i, usn, anchor, run, k) AS (SELECT evidence_id, v, i, usn, s, usn, k FROM t WHERE i = 1
  UNION ALL SELECT e.evidence_id, e.v, e.i, e.usn, CASE WHEN e.same THEN e.anchor ELSE e.s END, CASE WHEN e.same THEN e.run ELSE e.usn END, e.k FROM (

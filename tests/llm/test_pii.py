@@ -69,3 +69,15 @@ def test_frames(spark):
     red = {r.id: (r.body_redacted, r.subject_redacted) for r in pii.redact_pii(df, "id", ["body", "subject"], LEX).collect()}
     assert red[1] == ("[EMAIL] and [EMAIL]", None) and red[2] == (None, "") and red[3] == ("   ", "call [PHONE]") and red[5][0].endswith("y [EMAIL]")
     assert pii.detect_pii(df.where("false"), "id", ["body"], LEX).count() == 0
+
+
+def test_checksums_confirm():
+    # a strong checksum suffices by itself; one that fails does not, and needs the label
+    assert found("See 12345678Z there") == [("id_number", "12345678Z")] and found("See 12345678A there") == []
+    assert found("case 12345678Z there") == []
+    assert found("DNI 12345678A there") == [("id_number", "12345678A")]
+    assert found("pay to DE89 3704 0044 0532 0130 00 soon") == [("bank_account", "DE89 3704 0044 0532 0130 00")]
+    assert "bank_account" not in dict(found("pay to DE88 3704 0044 0532 0130 00 soon"))
+    assert found("charged 4111 1111 1111 1111 twice") == [("payment_card", "4111 1111 1111 1111")] and found("charged 4111 1111 1111 1112 twice") == []
+    assert found("number 529.982.247-25 there") == [("id_number", "529.982.247-25")] and found("number 529.982.247-26 there") == []
+    assert pii.redact("to DE89370400440532013000.", pii.find_pii("to DE89370400440532013000.", L)) == "to [BANK_ACCOUNT]."
