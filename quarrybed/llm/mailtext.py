@@ -1,16 +1,19 @@
 """Emails reduced to what their sender newly wrote.
 
 A linear-chain model labels the lines of a message. Its states are new text, closing or signature, disclaimer, header or
-introduction of a quotation, marked quotation, unmarked quotation and the ending of a quoted message. Each line gives scores to the states by its
-position, punctuation, prefix and neighbouring lines, and by whether its words stand in the message it answers; scores
-of transitions say which parts follow which. The best labelling of the whole message is found by dynamic programming.
-The weights are fixed parameters of the model, stated below.
+introduction of a quotation, marked quotation, unmarked quotation and the ending of a quoted message. Each line has
+features of position, punctuation, prefix and neighbouring lines, and whether its words stand in the message it answers;
+each feature has a weight per state, and pairs of states have weights that say which parts follow which. The best labelling
+of the whole message is found by dynamic programming. The weights are fitted (``fit_mail``) and kept in ``mail_weights.json``.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -21,22 +24,6 @@ from quarrybed.llm.pii import EMAIL, PHONES, STREETS, fold
 
 STATES = ("new", "signature", "disclaimer", "intro", "quoted", "unmarked", "quoted_end")
 NEW, SIGN, DISC, INTRO, QUOTE, BARE, ENDING = range(7)
-#: Score of going from one state (row) to another (column), in the order of ``STATES``.
-TRANSITIONS = (
-    (0.9, 0.0, -0.3, 0.0, -0.5, -4.0, -6.0),
-    (-4.0, 0.5, 0.0, 0.0, 0.0, -1.0, -3.0),
-    (-3.0, -0.5, 0.8, 0.0, 0.0, -0.8, -3.0),
-    (-3.5, -2.0, -2.0, 0.6, 0.6, 0.8, -1.0),
-    (-0.6, -0.5, -1.0, 0.0, 0.8, -2.0, -1.0),
-    (-3.0, -4.0, -4.0, 0.2, 0.2, 0.9, 0.0),
-    (-1.5, -1.0, -1.0, 0.2, 0.2, -0.3, 0.5),
-)
-START = (0.0, -1.0, -2.0, 0.0, 0.0, -2.5, -4.0)
-#: A greeting after the first line opens a section of its own: added to transitions into new text from each state.
-GREETED = (-5.9, 0.0, 0.0, 0.0, 1.0, 4.2, 2.0)
-#: Added when new text begins again after the sender signed, disclaimed or forwarded.
-REOPENED = -6.0
-
 _PREFIX = re.compile(r"^\s*((?:[>|:]\s?)+)")
 _CLOSING = re.compile(
     r"^(?:(?:with )?(?:best|kind|kindest|warm|many)?\s?(?:regards|wishes)|yours(?: sincerely| faithfully| truly)?|sincerely(?: yours)?|cheers|thanks(?: again| in advance)?|many thanks|thank you|br|kr|best|rgds|all the best|take care"
@@ -49,10 +36,12 @@ _DEVICE = re.compile(r"^(?:sent from my|sent via|get the .{1,40} app|get outlook
 _RULE = re.compile(r"^(?:--|__|---|—|–{1,2}|_{2,4}|-{2,4}|={2,4}|\*{2,4}) ?$")
 _LONG_RULE = re.compile(r"^[_=*-]{8,}$")
 _LIST = re.compile(r"mailing list|to leave, write to|unsubscribe|list-?info|se désabonner|abmelden|darse de baja", re.I)
-_DISCLAIMER = re.compile(
-    r"confidentiality notice|confidential and|privileged|meant only for|intended (?:only|solely)|received (?:it|this).{0,20} in error|copying is prohibited|accepts no liability|consider the environment|registered under number|registered office|views expressed"
-    r"|vertrauliche informationen|nicht der\s*$|richtige adressat|inhalt dieser nachricht|nur für den empfänger|weitergabe|weitergabe ist untersagt|löschen sie sie"
-    r"|message est confidentiel|réservé à son destinataire|reçu par erreur|de le détruire|mensaje es confidencial|solo a su destinatario|recibe por error|bórrelo",
+#: Words of legal notices in general, by language; a line is judged by how many it has and by those of the lines beside it.
+_LEGAL = re.compile(
+    r"\b(?:confidential\w*|privileged|intended|addressee|recipients?|received|error|notify|delete|unauthori[sz]ed|disclos\w+|copying|prohibited|liab\w+|virus\w*|registered|environment|printing|views|disclaimer"
+    r"|vertraulich\w*|empfänger\w*|adressat\w*|irrtümlich|unbefugt\w*|weitergabe|untersagt|haftung|löschen|umwelt|ausdrucken|inhalt"
+    r"|confidentiel\w*|destinataire\w*|réservé\w*|erreur|détruire|divulgation|interdit\w*|imprimer"
+    r"|confidencial\w*|destinatario\w*|dirigido|recib\w+|elimin\w+|bórr\w+|divulgación|prohibid\w+|imprimir)\b",
     re.I,
 )
 _DATE = r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}"
@@ -103,9 +92,9 @@ def _contact(line: str) -> bool:
     return False
 
 
-def scores(lines: list[str], parent: str, parent_whole: bool, sender: str = "") -> list[list[float]]:
-    """For each line the score of each state. ``parent`` is the result of ``answered``; ``parent_whole`` says that it was
-    not cut, so that a line it lacks is none of its own. ``sender`` is the sender's header: a name or address that it
+def features(lines: list[str], parent: str, parent_whole: bool, sender: str = "") -> list[list[tuple[str, float]]]:
+    """For each line its features and their values. ``parent`` is the result of ``answered``; ``parent_whole`` says that it
+    was not cut, so that a line it lacks is none of its own. ``sender`` is the sender's header: a name or address that it
     holds too signs the sender's own text, not a quoted one."""
     sender = fold(sender)
     bare = [clean(x) for x in lines]
@@ -113,137 +102,180 @@ def scores(lines: list[str], parent: str, parent_whole: bool, sender: str = "")
     text = [_PREFIX.sub("", x) for x in bare]
     n = len(lines)
     marked = " " + normal("\n".join(t for t, m in zip(text, marks) if m)) + " "
+    legal = [len(_LEGAL.findall(t)) for t in text]
 
-    def intro(i: int) -> float:
+    def intro(i: int) -> str:
         line = bare[i].strip()
         for k, p in enumerate(_INTRO):
             if p.match(line):
                 if k == 2 and not line.endswith(":"):  # the introduction goes on in the next line
-                    return 4.0 if i + 1 < n and re.match(r"^\S*.{0,60}(?:wrote|writes) ?:$", bare[i + 1].strip()) else 0.0
+                    return "broken" if i + 1 < n and re.match(r"^\S*.{0,60}(?:wrote|writes) ?:$", bare[i + 1].strip()) else "maybe"
                 if k == 6 and not line.endswith(":"):
-                    return 3.0 if i + 1 < n and bare[i + 1].strip().endswith(":") else 0.0
-                return 5.0
+                    return "broken" if i + 1 < n and bare[i + 1].strip().endswith(":") else "maybe"
+                return "said"
         if i and re.match(r"^.{0,80}(?:wrote|schrieb|escribió|a écrit) ?:$", line) and re.match(r"^(?:On|Am|Le|El) .*\d", bare[i - 1]) and not bare[i - 1].rstrip().endswith((".", ":")):
-            return 5.0
+            return "said"
         m = _HEAD.match(line)
         if m:
             near = sum(bool(_HEAD.match(bare[j].strip())) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < n)
             sure = bool(_HEAD_SURE.search(m[1])) and not m[1].endswith(".")
-            return 4.0 if near >= 1 and (sure or near >= 2 or not m[1].endswith(".")) else (1.0 if sure and "@" in m[1] else -4.0)
-        return -4.0
+            return "header" if near >= 1 and (sure or near >= 2 or not m[1].endswith(".")) else "lone" if sure and "@" in m[1] else "none"
+        return "none"
 
     intros = [intro(i) for i in range(n)]
+    certain = {"said", "header", "broken"}
     out = []
     for i in range(n):
-        s, line = [0.0] * 7, text[i].strip()
+        f: list[tuple[str, float]] = []
+        line = text[i].strip()
         words = normal(line)
         size = len(words)
         goes_on = i > 0 and len(bare[i - 1]) > 38 and not _END.search(bare[i - 1]) and not marks[i - 1]
         # quotation marks: one kind of mark in a block, or after an introduction; a lone one may be the sender's own
         mark = marks[i]
         around = sum(1 for j in (i - 1, i + 1) if 0 <= j < n and marks[j][:1] == mark[:1]) if mark else 0
-        led = any(x > 2 for x in intros[max(0, i - 2) : i]) if mark else False
+        led = any(x in certain for x in intros[max(0, i - 2) : i]) if mark else False
         if mark:
-            s[QUOTE] += 3.5 if around else (2.5 if led else (1.0 if mark[0] == ">" else -0.5))
-            s[QUOTE] += 1.0 if len(mark) > 1 else 0.0
+            f.append(("mark", 1.0))
+            f.append(("mark:block" if around else "mark:led" if led else "mark:lone>" if mark[0] == ">" else "mark:lone", 1.0))
+            if len(mark) > 1:
+                f.append(("mark:deep", 1.0))
             if not around and not led and (re.match(r"^\d+ ?%", line) or "|" in line):
-                s[QUOTE] -= 3.0
-            s[NEW] -= 3.0 if around else (1.5 if led else 0.0)
-            s[BARE] += 0.5 if around else 0.0
+                f.append(("mark:cells", 1.0))
         else:
-            s[QUOTE] -= 5.0
-            if any(marks[j] for j in (i - 1, i + 1) if 0 <= j < n) and i and marks[i - 1] and i + 1 < n and marks[i + 1] and size < 40 and bare[i - 1] and not _END.search(bare[i - 1]):
-                s[QUOTE] += 4.0  # the rest of a quoted line that was wrapped without its mark
-        s[INTRO] += intros[i] if not mark else -4.0
-        if intros[i] > 2 and not mark:
-            s[NEW] -= 3.0
-            s[SIGN] -= 3.0
-            s[BARE] -= 3.0
+            f.append(("plain", 1.0))
+            f.append((f"intro:{intros[i]}", 1.0))
+            if 0 < i < n - 1 and marks[i - 1] and marks[i + 1] and size < 40 and bare[i - 1] and not _END.search(bare[i - 1]):
+                f.append(("rest of a marked line", 1.0))
         # closings, signatures
-        sign = -2.5
+        kind = "none"
         if _CLOSING.match(line):
-            sign = 4.0
+            kind = "closing"
         elif _DEVICE.match(line):
-            sign = 5.0
-        elif _RULE.match(bare[i].strip() + (" " if bare[i].strip() in ("--",) else "")) or _RULE.match(bare[i].strip()):
-            sign = 4.0
+            kind = "device"
+        elif _RULE.match(bare[i].strip()):
+            kind = "rule"
         elif _LONG_RULE.match(line):
-            sign = 2.5
-            s[INTRO] += 5.5
-            s[DISC] += 4.5
+            kind = "long rule"
         elif _LIST.search(line):
-            sign = 1.0
-            s[DISC] += 4.0
+            kind = "list"
         elif _contact(line) and not goes_on:
-            sign = 3.5
+            kind = "contact"
         elif _LABELLED.match(line) and re.search(r"[@\d]", line):
-            sign = 2.5
+            kind = "labelled"
         elif _NAME.match(line) and not goes_on and not _GREETING.match(line):
-            sign = 2.5
+            kind = "name"
         elif _ROLE.match(line) and not goes_on and size < 60 and not _GREETING.match(line):
-            sign = 1.5
-        if sign > 0 and not mark:
-            s[NEW] -= 2.0
-        s[SIGN] += sign if not mark else -3.0
-        # disclaimers
-        if _DISCLAIMER.search(line):
-            s[DISC] += 4.5
-            s[NEW] -= 3.0
-        elif goes_on and i and _DISCLAIMER.search(text[i - 1]):
-            s[DISC] += 1.5
-        else:
-            s[DISC] -= 2.5 if not (_LIST.search(line) or _LONG_RULE.match(line)) else 0.0
-        if mark:
-            s[DISC] -= 3.0
-        s[ENDING] = max(s[SIGN], s[DISC])
-        if sender and sign >= 2.5 and not mark and (own := _OWN.findall(line)):
+            kind = "role"
+        f.append((f"sign:{kind}" if not mark else f"marked sign:{kind != 'none'}", 1.0))
+        # legal notices: words in the line and beside it
+        if not mark:
+            own = legal[i]
+            beside = max(legal[i - 1] if i and not marks[i - 1] else 0, legal[i + 1] if i + 1 < n and not marks[i + 1] else 0)
+            f.append((f"legal:{min(own, 3)},{min(beside, 2)}", 1.0))
+            if goes_on and legal[i - 1]:
+                f.append(("legal goes on", 1.0))
+        if sender and kind in ("closing", "device", "rule", "long rule", "contact", "labelled", "name") and not mark and (own_ := _OWN.findall(line)):
             # the last word of a name, any word of an address before its @
-            words_ = _OWN.findall(line.split("@")[0]) if "@" in line else own[-1:]
-            if any(len(f := fold(w)) >= 4 and f in sender for w in words_):
-                s[SIGN] += 2.0
-                s[ENDING] -= 2.0
+            words_ = _OWN.findall(line.split("@")[0]) if "@" in line else own_[-1:]
+            if any(len(w_ := fold(w)) >= 4 and w_ in sender for w in words_):
+                f.append(("sender's name", 1.0))
         # running text, the sender's or another's
-        running = (1.0 if re.search(r"[a-zà-ÿ]{3,} [a-zà-ÿ]{2,}", line) else 0.0) + (1.5 if _GREETING.match(line) else 0.0) if not mark else 0.0
-        s[NEW] += running + (1.0 if _GREETING.match(line) and i == 0 else 0.0) - (3.0 if not line else 0.0)
-        s[BARE] += running
+        if not mark:
+            if re.search(r"[a-zà-ÿ]{3,} [a-zà-ÿ]{2,}", line):
+                f.append(("running", 1.0))
+            if _GREETING.match(line):
+                f.append(("greeting", 1.0))
+        if _GREETING.match(line) and i == 0:
+            f.append(("greeting first", 1.0))
+        if not line:
+            f.append(("blank", 1.0))
         # unmarked quotation: words of the message answered
         if parent and size >= 12:
-            inside = f" {words} " in parent
             weight = min(3.0, size / 14)
-            if inside:
+            if f" {words} " in parent:
                 # what is quoted with marks already explains why the answered message has these words
-                if not mark and f" {words} " in marked:
-                    weight *= 0.1
-                s[BARE] += weight * 0.8
-                s[NEW] -= weight * 0.6
+                f.append(("answered", weight * (0.1 if not mark and f" {words} " in marked else 1.0)))
                 if size > 40 and mark:
-                    s[QUOTE] += 1.0
+                    f.append(("answered, marked", 1.0))
             elif parent_whole and size >= 20 and not mark:
-                s[BARE] -= weight * 0.7
-        out.append(s)
-    return out
-
-
-def _steps(greeted: bool, header: bool) -> np.ndarray:
-    """Scores of steps between (mode, state) pairs. Beside its state a line has a mode: 0 before any new text, 1 in it, 2
-    after the sender closed it by signing, a disclaimer or a forwarded message's header."""
-    width = len(STATES)
-    out = np.full((3 * width, 3 * width), -np.inf)
-    for mode in range(3):
-        for j in range(width):
-            for k in range(width):
-                value, then = TRANSITIONS[j][k], mode
-                if k == NEW:
-                    value += (GREETED[j] if greeted else 0.0) + (REOPENED if mode == 2 else 0.0)
-                    then = mode or 1
-                elif mode == 1 and (k in (SIGN, DISC) or header and k == INTRO):
-                    then = 2
-                out[mode * width + j, then * width + k] = value
+                f.append(("not answered", weight))
+        out.append(f)
     return out
 
 
-_STEPS = {(g, h): _steps(g, h) for g in (False, True) for h in (False, True)}
-_ALL = np.arange(3 * len(STATES))
+def conditions(line: str) -> tuple[bool, bool]:
+    """Whether a line greets, and whether it is the header of a forwarded message: what transitions depend on."""
+    bare = clean(line).strip()
+    return bool(_GREETING.match(bare)), bool(_HEAD.match(bare) or _INTRO[-2].match(bare) or _INTRO[-1].match(bare))
+
+
+class Model:
+    """Weights of features per state, of pairs of states, of the first state, and of new text that begins again."""
+
+    def __init__(self, weights: dict):
+        width = len(STATES)
+        self.emission = {k: np.array([w.get(s, 0.0) for s in STATES]) for k, w in weights["features"].items()}
+        pairs = lambda key: np.array([[weights[key].get(a, {}).get(b, 0.0) for b in STATES] for a in STATES])
+        self.transitions = pairs("transitions")
+        self.start = np.array([weights["start"].get(s, 0.0) for s in STATES])
+        self.greeted = np.array([weights["greeted"].get(s, 0.0) for s in STATES])
+        self.reopened = float(weights["reopened"])
+        self.steps = {(g, h): self._steps(g, h) for g in (False, True) for h in (False, True)}
+        self.all = np.arange(3 * width)
+        self.zero = np.zeros(width)
+
+    def _steps(self, greeted: bool, header: bool) -> np.ndarray:
+        """Scores of steps between (mode, state) pairs. Beside its state a line has a mode: 0 before any new text, 1 in it, 2
+        after the sender closed it by signing, a disclaimer or a forwarded message's header."""
+        width = len(STATES)
+        out = np.full((3 * width, 3 * width), -np.inf)
+        for mode in range(3):
+            for j in range(width):
+                for k in range(width):
+                    value, then = self.transitions[j][k], mode
+                    if k == NEW:
+                        value += (self.greeted[j] if greeted else 0.0) + (self.reopened if mode == 2 else 0.0)
+                        then = mode or 1
+                    elif mode == 1 and (k in (SIGN, DISC) or header and k == INTRO):
+                        then = 2
+                    out[mode * width + j, then * width + k] = value
+        return out
+
+    def line(self, found: list[tuple[str, float]]) -> np.ndarray:
+        s = self.zero.copy()
+        for name, value in found:
+            w = self.emission.get(name)
+            if w is not None:
+                s += w * value
+        # the ending of a quoted message looks like a signature or a disclaimer
+        s[ENDING] += max(s[SIGN], s[DISC])
+        return s
+
+    def best(self, lines: list[str], table: list[list[tuple[str, float]]]) -> list[int]:
+        """The states of the best path; among equals the one with new text."""
+        width = len(STATES)
+        rows = [self.line(f) for f in table]
+        best = np.full(3 * width, -np.inf)
+        for k in range(width):
+            best[(width if k == NEW else 0) + k] = self.start[k] + rows[0][k]
+        back = []
+        for line, s in zip(lines[1:], rows[1:]):
+            ways = best[:, None] + self.steps[conditions(line)]
+            step = ways.argmax(axis=0)
+            back.append(step)
+            best = ways[step, self.all] + np.tile(s, 3)
+        at = len(best) - 1 - int(best[::-1].argmax())
+        path = [at % width]
+        for step in reversed(back):
+            at = int(step[at])
+            path.append(at % width)
+        return path[::-1]
+
+
+@lru_cache(maxsize=1)
+def fitted() -> Model:
+    return Model(json.loads(files("quarrybed.llm").joinpath("mail_weights.json").read_text("utf-8")))
 
 
 def label_lines(text: str | None, parent: str | None = None, parent_whole: bool = False, sender: str | None = None) -> list[int]:
@@ -251,25 +283,7 @@ def label_lines(text: str | None, parent: str | None = None, parent_whole: bool
     if not text:
         return []
     lines = text.split("\n")
-    table = scores(lines, answered(parent), parent_whole, sender or "")
-    width = len(STATES)
-    best = np.full(3 * width, -np.inf)
-    for k in range(width):
-        best[(width if k == NEW else 0) + k] = START[k] + table[0][k]
-    back = []
-    for line, s in zip(lines[1:], table[1:]):
-        bare = clean(line).strip()
-        greeted, header = bool(_GREETING.match(bare)), bool(_HEAD.match(bare) or _INTRO[-2].match(bare) or _INTRO[-1].match(bare))
-        ways = best[:, None] + _STEPS[greeted, header]
-        step = ways.argmax(axis=0)
-        back.append(step)
-        best = ways[step, _ALL] + np.tile(s, 3)
-    at = len(best) - 1 - int(best[::-1].argmax())  # among equals the one with new text
-    path = [at % width]
-    for step in reversed(back):
-        at = int(step[at])
-        path.append(at % width)
-    return path[::-1]
+    return fitted().best(lines, features(lines, answered(parent), parent_whole, sender or ""))
 
 
 def mail_lines(df: DataFrame, id_col: str = "entry_id", body: str = "body_preview", message_id: str = "message_id", in_reply_to: str = "in_reply_to", cut_col: str | None = "body_truncated", sender: str | None = "from_header") -> DataFrame:
