@@ -78,6 +78,7 @@ def clean(line: str) -> str:
     return re.sub(r"=(?:20)?$", "", line.rstrip("\r")).rstrip()
 
 
+@lru_cache(maxsize=256)
 def answered(text: str | None) -> str:
     """The message answered, as one run of words, without quotation marks at its line starts."""
     return "" if not text else " " + normal("\n".join(_PREFIX.sub("", clean(x)) for x in text.split("\n"))) + " "
@@ -298,7 +299,10 @@ def mail_lines(df: DataFrame, id_col: str = "entry_id", body: str = "body_previe
     """
     cut = F.coalesce(F.col(cut_col).cast("boolean"), F.lit(False)) if cut_col else F.lit(False)
     mails = df.select(F.col(id_col).cast("bigint").alias("i"), F.col(body).cast("string").alias("b"), F.trim(F.col(in_reply_to)).alias("r"), (F.col(sender).cast("string") if sender else F.lit(None).cast("string")).alias("f"))
-    known = df.where(F.col(message_id).isNotNull() & F.col(body).isNotNull()).groupBy(F.trim(F.col(message_id)).alias("r")).agg(F.min(F.struct(F.col(body).alias("b"), cut.alias("c"))).alias("p"))
+    # only messages that are answered are brought to their answers
+    asked = mails.where("r is not null").select("r").distinct()
+    found = df.where(F.col(message_id).isNotNull() & F.col(body).isNotNull()).select(F.trim(F.col(message_id)).alias("r"), F.col(body).cast("string").alias("b"), cut.alias("c")).join(asked, "r", "left_semi")
+    known = found.groupBy("r").agg(F.min(F.struct("b", "c")).alias("p"))
     known = known.select("r", F.col("p.b").alias("pb"), (~F.col("p.c")).alias("pw"))
     answers = mails.where("r is not null").join(known, "r", "left").select("i", "b", "f", "pb", "pw")
     first = mails.where("r is null").select("i", "b", "f", F.lit(None).cast("string").alias("pb"), F.lit(None).cast("boolean").alias("pw"))

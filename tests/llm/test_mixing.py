@@ -49,3 +49,5 @@ def test_clamped_total_and_empty(spark):
     none = sizes.where("false")
     assert mix(none, plan_mix(none, specs)).count() == 0 and mix(sizes, plan_mix(sizes, [])).count() == 0
     assert exact_total({}, {}, {}) == 0.0
+    # sources that can give nothing have no say in the size of the mixture
+    assert exact_total({"a": 10}, {"a": 0.5, "b": 0.5}, {"a": 2, "b": 1}) == 20.0 and exact_total({"a": 10, "b": 3}, {"a": 0.5, "b": 0.5}, {"a": 2, "b": 0}) == 20.0
