@@ -1,4 +1,4 @@
-"""Command line: run a query of the catalogue, decode files, search an image, list what there is."""
+"""Command line: run a query, decode files, search or carve an image, find file systems in it, list what there is."""
 
 from __future__ import annotations
 
@@ -24,9 +24,13 @@ def main(args: list[str] | None = None) -> int:
     raw.add_argument("image")
     raw.add_argument("needle")
     raw.add_argument("out")
+    for name, does in (("carve", "find files by signature in an image, write Parquet"), ("gaps", "find where file systems begin in an image, write Parquet")):
+        c = sub.add_parser(name, help=does)
+        c.add_argument("image")
+        c.add_argument("out")
     a = p.parse_args(args)
 
-    from quarrybed.sources import extfs, hives  # noqa: F401  (they register their decoders)
+    from quarrybed.sources import eventlogs, extfs, hives  # noqa: F401  (they register their decoders)
     from quarrybed.sources.decoders import DECODERS, decode
 
     if a.command == "decoders":
@@ -41,6 +45,7 @@ def main(args: list[str] | None = None) -> int:
     from pyspark.sql import functions as F
 
     from quarrybed.functions.text import overlap_bytes
+    from quarrybed.operators import carving
     from quarrybed.operators.search import raw_search
     from quarrybed.session import session
     from quarrybed.sources.images import read_image
@@ -55,6 +60,10 @@ def main(args: list[str] | None = None) -> int:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(a.path)
         files = files.select("path", F.xxhash64("path").alias("id"), "content")
         df = decode(files, a.decoder, "id", "content").join(files.select(F.col("path").alias("source_path"), F.col("id").alias("source_id")), "source_id")
+    elif a.command == "carve":
+        df = carving.carve_chunks(read_image(spark, a.image, overlap=carving.REACH))
+    elif a.command == "gaps":
+        df = carving.lost_in_chunks(read_image(spark, a.image, overlap=carving.FS_REACH))
     else:
         df = raw_search(read_image(spark, a.image, overlap=overlap_bytes(a.needle)), a.needle)
     df.write.mode("errorifexists").parquet(a.out)

@@ -97,16 +97,15 @@ def _compose(state: DataFrame, to: str, steps: str, text: str) -> DataFrame:
     return state
 
 
-def descendants(trees: DataFrame, edges: DataFrame) -> DataFrame:
-    """All pairs ``t, ancestor, descendant`` with ``distance`` >= 1, for nodes that have rows, by chain intervals.
+def ancestor_spans(trees: DataFrame, edges: DataFrame) -> DataFrame:
+    """``t, v, depth, chain, upto``: the ancestors of each node, itself among them, as places 0 to ``upto`` of chains.
 
-    A node's ancestors are the upper parts of the chains on its way to the root, so each (node, chain) gives one interval
-    of chain places, and the pairs are the join of these intervals with the places. ``trees`` is the result of
-    ``build_trees``, ``edges`` its input. Each pair comes once; nodes on or below cycles have none.
+    A path upward passes at most log2(n) chains, so there are few rows per node however deep it lies: a result of linear size
+    that says all that the pairs say. ``trees`` is the result of ``build_trees``, ``edges`` its input.
     """
     nodes = trees.where("depth >= 0").select("t", "v", "chain", "chain_pos", "depth")
     parent = edges.select("t", "v", F.when(F.col("p") != F.col("v"), F.col("p")).alias("p"))
-    # the chain intervals of every node, one hop between chains per round, at most log2(n) rounds
+    # one hop between chains per round, at most log2(n) rounds
     hops = nodes.where("chain = v").join(parent, ["t", "v"]).select("t", F.col("v").alias("chain"), "p")
     place = nodes.select("t", F.col("v").alias("p"), F.col("chain").alias("chain2"), F.col("chain_pos").alias("pos2"))
     hops = stored(hops.join(place, ["t", "p"]).select("t", "chain", "chain2", "pos2"))
@@ -114,13 +113,23 @@ def descendants(trees: DataFrame, edges: DataFrame) -> DataFrame:
     parts = [now]
     for _ in range(ROUNDS):
         now = now.join(hops, ["t", "chain"]).select("t", "v", "depth", F.col("chain2").alias("chain"), F.col("pos2").alias("upto"))
-        now = stored(now)
-        if now.isEmpty():
+        now, more = stored_counting(now, F.lit(True))
+        if not more:
             break
         parts.append(now)
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.unionByName(p)
+    return spans
+
+
+def descendants(trees: DataFrame, edges: DataFrame) -> DataFrame:
+    """All pairs ``t, ancestor, descendant`` with ``distance`` >= 1, for nodes that have rows: the join of ``ancestor_spans``
+    with the places of the chains. As many rows as there are pairs, which grows with the depth; ``ancestor_spans`` does not.
+    Each pair comes once; nodes on or below cycles have none.
+    """
+    nodes = trees.where("depth >= 0").select("t", "v", "chain", "chain_pos", "depth")
+    spans = ancestor_spans(trees, edges)
     points = spans.select("t", "v", "depth", "chain", F.explode(F.sequence(F.lit(0).cast("bigint"), "upto")).alias("chain_pos"))
     upper = nodes.select("t", "chain", "chain_pos", F.col("v").alias("ancestor"), F.col("depth").alias("d2"))
     return points.join(upper, ["t", "chain", "chain_pos"]).where("ancestor <> v").select("t", "ancestor", F.col("v").alias("descendant"), (F.col("depth") - F.col("d2")).alias("distance"))

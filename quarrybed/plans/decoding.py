@@ -234,3 +234,89 @@ def raw_cursor(spark: SparkSession, d: str) -> DataFrame:
     """Hits that follow a cursor."""
     hits = search.raw_search(_streams(spark, d), "hex: 73 63 61 6e")
     return search.after_cursor(hits, 300, 0, "hex").select(F.col("source_id").alias("doc_id"), F.col("offset").alias("match_offset"))
+
+
+class BinaryXml:
+    """Writes the binary XML of an event's definition at a place in a chunk; names stand where they are first used."""
+
+    def __init__(self, at: int):
+        self.at, self.out, self.names = at, bytearray(), {}
+
+    def name(self, text: str) -> None:
+        here = self.at + len(self.out) + 4
+        first = text not in self.names
+        where = self.names.setdefault(text, here)
+        self.out += where.to_bytes(4, "little")
+        if first:
+            self.out += bytes(6) + len(text).to_bytes(2, "little") + text.encode("utf-16-le") + bytes(2)
+
+    def open(self, name: str, **attributes: tuple[int, int] | str) -> None:
+        self.out += (b"\x41" if attributes else b"\x01") + b"\xff\xff" + bytes(4)
+        self.name(name)
+        if attributes:
+            self.out += bytes(4)
+        for key, value in attributes.items():
+            self.out += b"\x06"
+            self.name(key)
+            self.text(value) if isinstance(value, str) else self.value(*value)
+        self.out += b"\x02"
+
+    def text(self, text: str) -> None:
+        self.out += b"\x05\x01" + len(text).to_bytes(2, "little") + text.encode("utf-16-le")
+
+    def value(self, index: int, kind: int) -> None:
+        self.out += b"\x0d" + index.to_bytes(2, "little") + bytes([kind])
+
+    def close(self) -> None:
+        self.out += b"\x04"
+
+
+#: Where the definition stands in a chunk: behind a record's and a template's head.
+_DEFINITION = 512 + 24 + 4 + 10
+
+
+def event_definition() -> bytes:
+    """An event whose number, time, computer, account and one datum are values 0 to 4."""
+    x = BinaryXml(_DEFINITION + 24)
+    x.out += b"\x0f\x01\x01\x00"
+    x.open("Event")
+    x.open("System")
+    x.open("Provider", Name="Invented-Provider")
+    x.close()
+    x.open("EventID")
+    x.value(0, 6)
+    x.close()
+    x.open("TimeCreated", SystemTime=(1, 17))
+    x.close()
+    x.open("Computer")
+    x.value(2, 1)
+    x.close()
+    x.open("Security", UserID=(3, 19))
+    x.close()
+    x.close()
+    x.open("EventData")
+    x.open("Data", Name="kind")
+    x.value(4, 1)
+    x.close()
+    x.close()
+    x.close()
+    body = bytes(x.out) + b"\x00"
+    return bytes(4) + bytes(16) + len(body).to_bytes(4, "little") + body
+
+
+@query("""
+SELECT event_id AS id, 'recognized' AS status, event_id AS record_id, epoch_us(ts) AS written_micros, event_id % 60000 AS number, 'Invented-Provider' AS provider, 'pc' || user_id AS computer, epoch_us(ts) AS created_micros, 'S-1-5-' || user_id AS user_sid, event_type AS kind FROM events""")
+def event_logs_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Logs of one record each, with the record's template."""
+    t = little(F.unix_micros(F.col("ts").cast("timestamp")) * 10 + 116_444_736_000_000_000, 8)
+    computer, kind = utf16(F.format_string("pc%d", "user_id")), utf16("event_type")
+    account = F.concat(raw(b"\x01\x01\0\0\0\0\0\x05"), little(F.col("user_id"), 4))
+    values = [(little(F.col("event_id") % 60000, 2), 6), (t, 17), (computer, 1), (account, 19), (kind, 1)]
+    heads = F.concat(little(F.lit(len(values)), 4), *[F.concat(little(F.octet_length(v), 2), little(F.lit(k), 2)) for v, k in values])
+    body = F.concat(raw(b"\x0f\x01\x01\x00\x0c\x01\0\0\0\0"), little(F.lit(_DEFINITION), 4), raw(event_definition()), heads, *[v for v, _ in values], raw(b"\0"))
+    size = F.octet_length(body) + 28
+    record = F.concat(raw(b"\x2a\x2a\0\0"), little(size, 4), little(F.col("event_id"), 8), t, body, little(size, 4))
+    chunk = F.concat(raw(b"ElfChnk\0"), zeros(40), little(512 + size, 4), zeros(460), record)
+    data = F.concat(raw(b"ElfFile\0"), zeros(4088), chunk)
+    out = decode(table(spark, d, "events").select("event_id", data.alias("bytes")), "event_log", "event_id", "bytes")
+    return out.select(F.col("source_id").alias("id"), "status", "record_id", "written_micros", F.col("event_id").alias("number"), "provider", "computer", "created_micros", "user_sid", F.get_json_object("data_json", "$.kind").alias("kind"))

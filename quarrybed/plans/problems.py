@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrybed.functions import usn
-from quarrybed.operators.hierarchy import build_trees, descendants
+from quarrybed.operators.hierarchy import ancestor_spans, build_trees, descendants
 from quarrybed.operators.instants import resolve, zone_table
 from quarrybed.operators.nested import flatten_distinct, flatten_records, read_table, write_tables
 from quarrybed.operators.periods import gaps_between, merge_spans
@@ -69,6 +69,13 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("t").alias("evidence_id"), F.col("ancestor").alias("ancestor_ref"), F.col("descendant").alias("descendant_ref"), "distance")
 
 
+def p5_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The ancestors of each file as intervals of chains, a few for each: all descendants in a result of linear size."""
+    edges = p5_edges(spark, d)
+    spans = ancestor_spans(build_trees(edges), edges)
+    return spans.select(F.col("t").alias("evidence_id"), F.col("v").alias("node_ref"), F.col("chain").alias("chain_ref"), F.col("upto").alias("last_place"))
+
+
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
     rows = flatten_distinct(table(spark, d, "filesystem_entries"), "entry_id", "metadata_json")
     return rows.withColumnRenamed("record_id", "entry_id")
@@ -109,7 +116,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_resolutions, p5_found, p5_descendants, p6_found, p6_items, p6_tables, p7_found)}
+    return {f.__name__: f for f in (p3_found, p3_resolutions, p5_found, p5_descendants, p5_spans, p6_found, p6_items, p6_tables, p7_found)}
 
 
 def oracle_sql() -> dict:

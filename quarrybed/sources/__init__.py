@@ -1,3 +1,3 @@
 """Readers of files and images. Importing the package registers every decoder."""
 
-from quarrybed.sources import extfs, hives  # noqa: F401
+from quarrybed.sources import eventlogs, extfs, hives  # noqa: F401

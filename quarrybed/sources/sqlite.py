@@ -24,7 +24,11 @@ FAMILIES = {"chromium": {"urls", "visits"}, "firefox": {"moz_places", "moz_histo
 
 
 class private_copy:
-    """A context in which a copy of the database is open; it is gone afterwards."""
+    """A context in which a copy of the database is open; it is gone afterwards.
+
+    The database library works on files, so the copy lies in the reader's own temporary folder while it is read; nothing
+    that outlives the task is kept there.
+    """
 
     def __init__(self, path: str):
         self.path = path
