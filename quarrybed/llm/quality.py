@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import nlargest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -130,8 +131,16 @@ def looped(text: str) -> float:
     return covered / size if covered >= REPEATED * size else 0.0
 
 
-def describe(text: str | None, common: frozenset[str]) -> tuple:
-    """The values of ``STATS`` for one text, each of them measured. Null, empty and blank texts have no words, zero shares and
+def _noise(text: str) -> float:
+    """Share of the characters in tokens that are no words."""
+    weights = Counter(t for t in _SPLIT.split(text) if t)
+    judged = [(len(t) * k, t) for t, k in weights.items() if t.isalpha() or len(_DIGITS.sub("", t)) >= 0.3 * len(t)]
+    return sum(k for k, t in judged if gibberish(t)) / max(1, sum(k for k, _ in judged))
+
+
+def describe(text: str | None, common: frozenset[str], every: bool = True) -> tuple:
+    """The values of ``STATS`` for one text, each of them measured; without ``every`` only the class is meant, and the n-gram
+    coverage and the noise share are measured only where a rule reads them and could hold, which gives the same class. Null, empty and blank texts have no words, zero shares and
     class junk.
 
     ``noise_share`` is the share of the characters in tokens that are no words; what it says counts where common words are
@@ -151,7 +160,8 @@ def describe(text: str | None, common: frozenset[str]) -> tuple:
     longer = {w: k for w, k in counts.items() if len(w) > 1}
     known = sum(k for w, k in longer.items() if w in common) / max(1, sum(longer.values()))
     top = 0.0
-    if n >= 6:
+    # an n-gram covers no more than its words do
+    if n >= 6 and (every or sum(nlargest(3, (len(w) * k for w, k in counts.items()))) >= 0.5 * chars):
         gram, k = Counter(zip(words, words[1:], words[2:])).most_common(1)[0]
         top = min(1.0, k * sum(map(len, gram)) / max(1, chars)) if k > 1 else 0.0
     # lines, each different one judged once
@@ -167,10 +177,9 @@ def describe(text: str | None, common: frozenset[str]) -> tuple:
         shares["prose"] += shares.pop("bare")
     listed, table = (shares["list"] + shares["bare"]) / total, shares["table"] / total
     strange = symbols > 0.3 or not text.isascii() and len(_ASCII.sub("", text)) > 0.1 * size
-    weights = Counter(t for t in _SPLIT.split(text) if t)
-    judged = [(len(t) * k, t) for t, k in weights.items() if t.isalpha() or len(_DIGITS.sub("", t)) >= 0.3 * len(t)]
-    noise = sum(k for k, t in judged if gibberish(t)) / max(1, sum(k for k, _ in judged))
-    gib = noise if (strange if table > 0.5 else known < 0.3) else 0.0
+    read = strange if table > 0.5 else known < 0.3
+    noise = _noise(text) if every or read else 0.0
+    gib = noise if read else 0.0
     ends = sum(x.rstrip().endswith(_END) for x in lines) / len(lines)
     distinct = len(counts) / max(1, n)
     few = n >= 8 and (len(counts) <= 3 or sum(k for _, k in counts.most_common(4)) >= 0.9 * n)
@@ -215,15 +224,28 @@ def quality_stats(df: DataFrame, common_words: list[str], id_col: str = "doc_id"
     class junk; a null id stays null; repeated rows give repeated results; very long texts are read whole; other columns
     are not read.
     """
+    return _described(df, common_words, id_col, text_col, [n for n, _ in STATS])
+
+
+def text_classes(df: DataFrame, common_words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``record_id, text_class`` of every row: the class that ``quality_stats`` gives, without the other columns."""
+    return _described(df, common_words, id_col, text_col, ["text_class"])
+
+
+def _described(df: DataFrame, common_words: list[str], id_col: str, text_col: str, wanted: list[str]) -> DataFrame:
     common = frozenset(w.lower() for w in common_words if w and len(w) > 1)
     arrow = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
-    names = ["record_id", *(n for n, _ in STATS)]
-    types = [pa.int64(), *(arrow[t] for _, t in STATS)]
+    kinds = dict(STATS)
+    at = [k for k, (n, _) in enumerate(STATS) if n in wanted]
+    names = ["record_id", *(STATS[k][0] for k in at)]
+    types = [pa.int64(), *(arrow[STATS[k][1]] for k in at)]
+    every = len(at) > 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            rows = [describe(t.as_py(), common) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([ids, *zip(*rows)] if rows else [[]] * len(types), types)], names)
+            rows = [describe(t.as_py(), common, every) for t in batch.column(1)]
+            columns = [ids, *([r[k] for r in rows] for k in at)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, ", ".join(["record_id bigint", *(f"{n} {t}" for n, t in STATS)]))
+    return df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, ", ".join(["record_id bigint", *(f"{n} {kinds[n]}" for n in names[1:])]))

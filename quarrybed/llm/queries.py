@@ -9,7 +9,7 @@ from quarrybed.functions import usn
 from quarrybed.llm import mixing, packing
 from quarrybed.llm.mailtext import mail_lines, new_text
 from quarrybed.llm.pii import detect_pii, redact_pii
-from quarrybed.llm.quality import quality_stats
+from quarrybed.llm.quality import quality_stats, text_classes
 from quarrybed.llm.runs import collapse_runs, collapse_similar
 from quarrybed.llm.tokens import token_sizes
 from quarrybed.session import stored, table
@@ -130,17 +130,17 @@ def p9_violations(spark: SparkSession, d: str) -> DataFrame:
     return m.select("source", "documents", ((F.col("most") <= cap) & (F.col("least") >= 0)).alias("within_cap"), (F.abs(F.col("t") - given) <= F.col("largest")).alias("as_planned"))
 
 
-def _quality(spark: SparkSession, d: str) -> DataFrame:
-    words = [r[0] for r in table(spark, d, "common_words").select("word").collect()]
-    return quality_stats(table(spark, d, "documents"), words)
+def _common(spark: SparkSession, d: str) -> list[str]:
+    return [r[0] for r in table(spark, d, "common_words").select("word").collect()]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _quality(spark, d).where("text_class <> 'prose' and record_id is not null").select(F.col("record_id").alias("doc_id"), "text_class")
+    classes = text_classes(table(spark, d, "documents"), _common(spark, d))
+    return classes.where("text_class <> 'prose' and record_id is not null").select(F.col("record_id").alias("doc_id"), "text_class")
 
 
 def p10_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _quality(spark, d).withColumnRenamed("record_id", "doc_id")
+    return quality_stats(table(spark, d, "documents"), _common(spark, d)).withColumnRenamed("record_id", "doc_id")
 
 
 def queries() -> dict:

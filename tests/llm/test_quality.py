@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quarrybed.llm.quality import describe, gibberish, quality_stats
+from quarrybed.llm.quality import STATS, describe, gibberish, quality_stats
 
 COMMON = frozenset("the and of in is are it to was we not by der die das und ist wir nicht".split())
 PROSE = "The drive was sealed in the lab and it is not clear who opened it. We found two copies of the report in the archive."
@@ -28,7 +28,7 @@ def test_classes(text, want):
 
 
 def test_statistics():
-    s = dict(zip(("n", "mean", "sym", "ends", "common", "dup_line", "dup_par", "top", "distinct"), describe("The lab.\nThe lab.\n\nIt is it", COMMON)))
+    s = dict(zip(("n", "mean", "sym", "ends", "common", "dup_line", "dup_par", "boilerplate", "top", "distinct"), describe("The lab.\nThe lab.\n\nIt is it", COMMON)))
     assert (s["n"], s["mean"], s["dup_line"], s["ends"]) == (7, round(18 / 7, 6), round(1 / 3, 6), round(2 / 3, 6))
     assert s["common"] == round(5 / 7, 6) and s["distinct"] == round(4 / 7, 6) and s["sym"] == round(2 / 20, 6)
     assert gibberish("xKq7Pz9") and not gibberish("memo_1160.lnk") and not gibberish("Report")
@@ -39,3 +39,11 @@ def test_frames(spark):
     got = {r.record_id: (r.n_words, r.text_class) for r in quality_stats(df, ["the", "and", "of", "is", "it", None, "a"]).collect()}
     assert got[2] == (0, "junk") and got[None] == (0, "junk") and got[4][0] == 120_000 and got[1][1] == "prose"
     assert quality_stats(df.where("false"), []).count() == 0
+
+
+def test_the_class_needs_no_other_column():
+    texts = ["The cat sat on the mat. " * k for k in (1, 3, 40)] + ["a b c d e f g h", "ab ab ab ab ab ab ab x", "qzxkjw vbnmtrp xcvbnmk wrtpsdf " * 9, "- one\n- two\n- three", "a | b | c\n1 | 2 | 3", "", " ", "word", "one two three one two three one two three four"]
+    common = frozenset({"the", "on", "one", "two"})
+    assert [describe(t, common)[-1] for t in texts] == [describe(t, common, False)[-1] for t in texts]
+    stats = dict(zip((n for n, _ in STATS), describe("plain words and zzkqjwx bcdfghj here", common)))
+    assert stats["noise_share"] > 0.2
